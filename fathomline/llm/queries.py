@@ -58,7 +58,26 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op3_karmarkar_karp_packing, op6_kd_tree_search, op8_source_mixing, op9_warc_round_trip)}
+def _joined(spans: str) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op2_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .quality import rate_quality
+
+    return rate_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op2_crf_secret_scan, op3_karmarkar_karp_packing, op6_kd_tree_search, op7_fertility_quality, op8_source_mixing, op9_warc_round_trip)}
 SQL: dict[str, str] = {
     "op6_kd_tree_search": """
 WITH v AS (
