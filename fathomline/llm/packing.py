@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textkernel import slices, words_of
-from .tokens import WordIds, tokenizer
+from .textkernel import buffers, slices, words_of
+from .tokens import word_ids
 
 WINDOW = 4096
 END_ID = 2
@@ -75,7 +75,7 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def _pack(batches, path: str, window: int, end_id: int):
-    words_to_ids = WordIds(tokenizer(path))
+    words_to_ids = word_ids("tokenizer", path)
     sequence = TaskContext.get().partitionId() << 40
     piece_most = max(1, window // 4)
     rows: list[tuple] = []
@@ -100,7 +100,9 @@ def _pack(batches, path: str, window: int, end_id: int):
 
     for batch in batches:
         for part in slices(batch):
-            words = words_of(part.column("text"), hashed=False)
+            # the tokenizer lower-cases all but its special tokens' strings, as they stand
+            raw, _ = buffers(part.column("text"))
+            words = words_of(part.column("text"), lower=b"<|" not in raw.tobytes(), hashed=False)
             ids, size = words_to_ids(words)
             ends = np.concatenate(([0], np.cumsum(size)))[words.first]
             for i, doc in enumerate(part.column("doc_id").to_pylist()):

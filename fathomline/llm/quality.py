@@ -7,14 +7,14 @@ tokens.  Each measure has a band per script; a text outside a band is rejected.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .textkernel import SPACE, U64, Words, mix, slices, words_of
-from .tokens import WordIds, pieces
+from .tokens import WordIds, word_ids
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -110,6 +110,7 @@ def measure(part: pa.RecordBatch, encode: WordIds, is_byte: np.ndarray, column:
     return {k: pa.array(v, arrow[kinds[k]], from_pandas=True) for k, v in found.items()}
 
 
+@cache
 def _byte_pieces(path: str) -> np.ndarray:
     import sentencepiece
 
@@ -118,7 +119,7 @@ def _byte_pieces(path: str) -> np.ndarray:
 
 
 def _work(batches, path: str, keep_only: bool):
-    encode, is_byte = WordIds(pieces(path), strip=False), _byte_pieces(path)
+    encode, is_byte = word_ids("pieces", path), _byte_pieces(path)
     for batch in batches:
         for part in slices(batch):
             found = measure(part, encode, is_byte)

@@ -77,7 +77,26 @@ def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op2_crf_secret_scan, op3_karmarkar_karp_packing, op6_kd_tree_search, op7_fertility_quality, op8_source_mixing, op9_warc_round_trip)}
+def op4_bootstrapped_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import find_personal
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op2_crf_secret_scan, op3_karmarkar_karp_packing, op4_bootstrapped_personal_data, op5_counterfactual_toxicity, op6_kd_tree_search, op7_fertility_quality, op8_source_mixing, op9_warc_round_trip, op10_ftrl_language_id)}
 SQL: dict[str, str] = {
     "op6_kd_tree_search": """
 WITH v AS (

@@ -8,6 +8,7 @@ saw last, up to a bound, in sorted arrays that a whole slice is looked up in at
 from __future__ import annotations
 
 import os
+from functools import cache
 
 import numpy as np
 
@@ -22,7 +23,7 @@ class WordIds:
     ``strip`` parts a closing full stop or comma from a word that ends in a letter,
     where the tokenizer does so as well."""
 
-    def __init__(self, encode, most: int = 400_000, strip: bool = True):
+    def __init__(self, encode, most: int = 800_000, strip: bool = True):
         self.encode, self.most, self.strip = encode, most, strip
         self.clear()
         self.marks = {c: np.array(encode([chr(c)])[0], np.int32) for c in b".,"} if strip else {}
@@ -53,10 +54,8 @@ class WordIds:
             size = np.fromiter(map(len, found), np.int64, len(found))
             at = len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))
             self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.int32, int(size.sum()))])
-            everything = np.concatenate([self.hash, distinct[new]])
-            order = np.argsort(everything, kind="stable")
-            self.hash = everything[order]
-            self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            where = np.searchsorted(self.hash, distinct[new])
+            self.hash, self.at, self.size = np.insert(self.hash, where, distinct[new]), np.insert(self.at, where, at), np.insert(self.size, where, size)
             place = np.searchsorted(self.hash, distinct)
         at, size = self.at[place][inverse], self.size[place][inverse]
         total = size.copy()
@@ -72,6 +71,12 @@ class WordIds:
         return out, total
 
 
+@cache
+def word_ids(kind: str, path: str) -> WordIds:
+    """One for each vocabulary in a worker, whose words the next tasks find again."""
+    return WordIds(tokenizer(path)) if kind == "tokenizer" else WordIds(pieces(path), strip=False)
+
+
 def tokenizer(path: str):
     """The encoder of a tokenizers file: strings to lists of ids, without special tokens added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
