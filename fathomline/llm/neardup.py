@@ -185,6 +185,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = scratch.save(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
     heads = linked.join(classes, [linked.h1 == classes.h1, linked.h2 == classes.h2, linked.doc_id == classes.doc]).select("doc", "n", "regs")
     heads = scratch.save(heads.dropDuplicates(["doc"]), "heads")
+    wide, signed = signed, scratch.save(signed.drop("regs"), "slim")
+    scratch.drop(wide)
 
     cut = F.transform(F.sequence(F.lit(0), F.lit(S.BANDS - 1)), lambda k: F.substring("regs", k * S.ROWS + 1, F.lit(S.ROWS)))
     rows = heads.select("doc", F.posexplode(cut).alias("band", "value"))
