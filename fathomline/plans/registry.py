@@ -1,4 +1,352 @@
 """Queries of the analysis operators over the program view, and the SQL they must match."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..operators import graph, points_to
+from ..operators.components import connected_components
+from ..runtime import Scratch
+from .views import OBJECT, oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, recursive: bool = False, plain: bool = False):
+    """Registers a query (spark, sf_dir, scratch) under its function's name, with its oracle."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: view(spark, sf_dir, name), Scratch(spark, f.__name__))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql if plain else oracle(sql, recursive)
+        return run
+
+    return put
+
+
+# ---- graph fixpoints
+
+CLOSURE = ", t(src, dst) AS (SELECT src, dst FROM {pv_call} UNION SELECT t.src, c.dst FROM t JOIN {pv_call} c ON t.dst = c.src)"
+
+
+@query(CLOSURE + " SELECT src, dst FROM t", True)
+def gr2_transitive_closure(v, scratch):
+    """All pairs of functions with a path of calls."""
+    return graph.transitive_closure(v("pv_call"), scratch)
+
+
+@query(CLOSURE + ", n AS (SELECT src AS n FROM {pv_call} UNION SELECT dst FROM {pv_call}) SELECT a.n AS node FROM n a WHERE a.n IN (SELECT dst FROM t WHERE src = 1) OR a.n = 1 AND EXISTS (SELECT 1 FROM n WHERE n = 1) UNION SELECT 1", True)
+def gr2_reachable(v, scratch):
+    """Functions that function 1 reaches, itself included."""
+    start = v("pv_func").where("fid = 1").select(F.col("fid").alias("origin"), F.col("fid").alias("node"))
+    return graph.reachable(v("pv_call"), start, scratch).select("node")
+
+
+@query(
+    """, e AS (SELECT src AS a, dst AS b FROM {pv_call} UNION SELECT dst, src FROM {pv_call}),
+l(n, c) USING KEY (n) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a UNION
+  SELECT e.b, min(l.c) FROM l JOIN e ON l.n = e.a JOIN recurring.l o ON o.n = e.b WHERE l.c < o.c GROUP BY e.b)
+SELECT n AS vertex, c AS component FROM l""",
+    True,
+)
+def gr1_connected_components(v, scratch):
+    """Functions that calls connect, named by the least of them."""
+    return connected_components(v("pv_call"), scratch)
+
+
+@query(
+    CLOSURE
+    + """, n AS (SELECT src AS n FROM {pv_call} UNION SELECT dst FROM {pv_call}),
+s AS (SELECT n AS node, coalesce(min(t.dst), n) AS component FROM n LEFT JOIN (SELECT a.src, a.dst FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src) t ON n = t.src GROUP BY n)
+SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM s""",
+    True,
+)
+def gr3_strong_components(v, scratch):
+    """Strongly connected components of the call graph."""
+    return graph.strong_components(v("pv_call"), scratch)
+
+
+@query(
+    """, w(func, node, out_) AS (
+  SELECT DISTINCT func, CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM {pv_cfg}
+  UNION SELECT DISTINCT func, CAST(0 AS BIGINT), x FROM {pv_cfg}, range(1, 8) r(x)
+  UNION SELECT w.func, e.dst, w.out_ FROM w JOIN {pv_cfg} e ON w.func = e.func AND w.node = e.src WHERE e.dst <> w.out_),
+live AS (SELECT func, node FROM w WHERE out_ = -1)
+SELECT l.func, l.node, d.node AS dominator FROM live l JOIN live d ON l.func = d.func
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.func = l.func AND w.node = l.node AND w.out_ = d.node AND d.node <> 0)""",
+    True,
+)
+def gr15_dominators(v, scratch):
+    """Which boundaries every path from a function's entry to another passes."""
+    return graph.dominators(v("pv_cfg"), scratch)
+
+
+@query(
+    """, t(func, src, dst) AS (SELECT func, src, dst FROM {pv_cfg} UNION SELECT t.func, t.src, e.dst FROM t JOIN {pv_cfg} e ON t.func = e.func AND t.dst = e.src)
+SELECT func, src AS boundary FROM t WHERE src = dst""",
+    True,
+)
+def gr15_cyclic_boundaries(v, scratch):
+    """Boundaries that lie on a cycle of their function."""
+    wide = v("pv_cfg").select((F.col("func") * 16 + F.col("src")).alias("src"), (F.col("func") * 16 + F.col("dst")).alias("dst"))
+    loops = wide.where("src = dst").select(F.col("src").alias("node"))
+    strong = graph.strong_components(wide, scratch).where("size > 1").select("node").union(loops).distinct()
+    return strong.select(F.floor(F.col("node") / 16).cast("long").alias("func"), (F.col("node") % 16).alias("boundary"))
+
+
+@query(
+    """, t(func, src, dst) AS (SELECT func, src, dst FROM {pv_cfg} UNION SELECT t.func, t.src, e.dst FROM t JOIN {pv_cfg} e ON t.func = e.func AND t.dst = e.src)
+SELECT DISTINCT t.func, t.src AS boundary, w.glob FROM t JOIN {pv_write} w ON w.func = t.func AND w.boundary = t.dst""",
+    True,
+)
+def gr14_quiescence(v, scratch):
+    """Globals that may still be written after each boundary."""
+    return graph.may_write_after(v("pv_cfg"), v("pv_write"), scratch)
+
+
+@query(
+    """, w(func, node, out_) AS (
+  SELECT DISTINCT func, CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM {pv_cfg}
+  UNION SELECT DISTINCT func, CAST(0 AS BIGINT), x FROM {pv_cfg}, range(1, 8) r(x)
+  UNION SELECT w.func, e.dst, w.out_ FROM w JOIN {pv_cfg} e ON w.func = e.func AND w.node = e.src WHERE e.dst <> w.out_),
+live AS (SELECT func, node FROM w WHERE out_ = -1),
+dom AS (SELECT l.func, l.node, count(*) AS depth FROM live l JOIN live d ON l.func = d.func
+  WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.func = l.func AND w.node = l.node AND w.out_ = d.node AND d.node <> 0) GROUP BY 1, 2),
+t(func, src, dst) AS (SELECT func, src, dst FROM {pv_cfg} UNION SELECT t.func, t.src, e.dst FROM t JOIN {pv_cfg} e ON t.func = e.func AND t.dst = e.src),
+c AS (SELECT g.func, g.glob, d.node, d.depth FROM (SELECT DISTINCT y.func, y.glob FROM {pv_write} y) g JOIN dom d ON g.func = d.func WHERE d.node <> 0
+  AND NOT EXISTS (SELECT 1 FROM t JOIN {pv_write} x ON x.func = t.func AND x.boundary = t.dst WHERE t.func = g.func AND t.src = d.node AND x.glob = g.glob)
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.func = d.func AND t.src = d.node AND t.dst = d.node))
+SELECT c.func, c.glob, arg_min(c.node, c.depth * 100 + c.node) AS publication FROM c GROUP BY c.func, c.glob""",
+    True,
+)
+def gr16_publication_point(v, scratch):
+    """For each function and global, the earliest acyclic boundary on the dominator chains after
+    which the global is quiet."""
+    cfg, writes = scratch.save(v("pv_cfg"), "cfg"), scratch.save(v("pv_write"), "writes")
+    dom = scratch.save(graph.dominators(cfg, scratch), "dominators")
+    depth = dom.groupBy("func", "node").agg(F.count("*").alias("depth")).where("node <> 0")
+    wide = cfg.select((F.col("func") * 16 + F.col("src")).alias("src"), (F.col("func") * 16 + F.col("dst")).alias("dst"))
+    cyclic = graph.strong_components(wide, scratch).where("size > 1").select("node").union(wide.where("src = dst").select("src")).distinct()
+    cyclic = cyclic.select(F.floor(F.col("node") / 16).cast("long").alias("func"), (F.col("node") % 16).alias("node"))
+    busy = graph.may_write_after(cfg, writes, scratch).withColumnRenamed("boundary", "node")
+    quiet = writes.select("func", "glob").distinct().join(depth, "func").join(busy, ["func", "node", "glob"], "left_anti").join(cyclic, ["func", "node"], "left_anti")
+    return quiet.groupBy("func", "glob").agg(F.min(F.struct("depth", "node"))["node"].alias("publication"))
+
+
+@query(
+    """, b(origin, node, depth) AS (SELECT fid, fid, CAST(0 AS BIGINT) FROM {pv_func} WHERE fid % 50 = 1 UNION SELECT b.origin, c.dst, b.depth + 1 FROM b JOIN {pv_call} c ON b.node = c.src WHERE b.depth < 12)
+, m AS (SELECT origin, node, min(depth) AS depth FROM b WHERE depth > 0 GROUP BY 1, 2)
+, z AS (SELECT origin, node, depth FROM m UNION ALL SELECT fid, fid, 0 FROM {pv_func} WHERE fid % 50 = 1)
+SELECT m.origin, m.node, m.depth, min(c.src) AS parent FROM m JOIN {pv_call} c ON c.dst = m.node JOIN z p ON p.origin = m.origin AND p.node = c.src AND p.depth = m.depth - 1
+JOIN {pv_func} f ON f.fid = m.node WHERE f.exported AND m.depth <= 10 GROUP BY 1, 2, 3""",
+    True,
+)
+def gr18_reentrancy_paths(v, scratch):
+    """Shortest call paths from accessors to functions that re-enter, with a parent as witness."""
+    start = v("pv_func").where("fid % 50 = 1").select(F.col("fid").alias("origin"), F.col("fid").alias("node"))
+    goal = v("pv_func").where("exported").select(F.col("fid").alias("node"))
+    return graph.shortest_witness(v("pv_call"), start, goal, scratch).where("depth <= 10")
+
+
+@query(
+    CLOSURE
+    + """, reach AS (SELECT src AS func, dst AS callee FROM t UNION SELECT DISTINCT func, func FROM {pv_modref})
+SELECT r.func, m.glob, m.access, min(m.witness) AS witness FROM reach r JOIN {pv_modref} m ON r.callee = m.func GROUP BY 1, 2, 3""",
+    True,
+)
+def modref_transitive(v, scratch):
+    """Which globals each function may read or write, itself or through its callees (GR12, AG3)."""
+    direct = scratch.save(v("pv_modref"), "direct")
+    strong = scratch.save(graph.strong_components(v("pv_call"), scratch).select("node", "component"), "strong")
+    # the closure is taken of the condensed graph, whose paths are shorter and whose rows are fewer
+    name = lambda d, c: d.join(strong.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")), c, "left").withColumn(f"{c}_c", F.coalesce(f"{c}_c", c))
+    calls = name(name(v("pv_call"), "src"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).where("src <> dst")
+    reach = graph.transitive_closure(calls, scratch)
+    own = name(direct, "func").groupBy(F.col("func_c").alias("dst"), "glob", "access").agg(F.min("witness").alias("witness"))
+    own = scratch.save(own, "own")
+    through = reach.join(own, "dst").select(F.col("src").alias("component"), "glob", "access", "witness")
+    every = through.union(own.select(F.col("dst").alias("component"), "glob", "access", "witness")).groupBy("component", "glob", "access").agg(F.min("witness").alias("witness"))
+    members = strong.union(direct.select(F.col("func").alias("node"), F.col("func").alias("component")).distinct().join(strong, "node", "left_anti"))
+    return members.join(every, "component").select(F.col("node").alias("func"), "glob", "access", "witness")
+
+
+# ---- points-to
+
+PTS = """, n AS (SELECT 6 * (count(*) // 3) AS n FROM customer),
+e AS (SELECT kind, src, dst, off FROM {pv_edge} WHERE kind <> 'memcpy'
+  UNION SELECT 'load', src, 10000000000 + src * 1000000 + dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'
+  UNION SELECT 'store', 10000000000 + src * 1000000 + dst, dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'),
+t(tag, a, b) USING KEY (tag, a, b) AS (
+  SELECT 0, dst, src * SCALE FROM e WHERE kind = 'addr_of' UNION SELECT 1, src, dst FROM e WHERE kind IN (COPIES)
+  UNION (
+    SELECT 0, c.b, p.b FROM t p JOIN recurring.t c ON p.a = c.a WHERE p.tag = 0 AND c.tag = 1
+    UNION SELECT 0, c.b, p.b FROM recurring.t p JOIN t c ON p.a = c.a WHERE p.tag = 0 AND c.tag = 1
+    UNION SELECT 1, p.b, e.dst FROM t p JOIN e ON e.kind = 'load' AND e.src = p.a WHERE p.tag = 0 AND p.b <> e.dst
+    UNION SELECT 1, e.src, p.b FROM t p JOIN e ON e.kind = 'store' AND e.dst = p.a WHERE p.tag = 0 AND p.b <> e.src
+    MORE))"""
+INSENSITIVE = PTS.replace("SCALE", "1").replace("COPIES", "'assign', 'gep'")
+FIELDS = """UNION SELECT 0, e.dst, CASE WHEN e.off IS NULL OR p.b % 4096 = 4095 OR p.b % 4096 + e.off > 64 THEN p.b // 4096 * 4096 + 4095 ELSE p.b + e.off END
+      FROM t p JOIN e ON e.kind = 'gep' AND e.src = p.a WHERE p.tag = 0
+    UNION SELECT 1, p.b, q.b FROM t p JOIN recurring.t q ON p.b // 4096 = q.b // 4096 WHERE p.tag = 0 AND q.tag = 0 AND p.b <> q.b AND (p.b % 4096 = 4095 OR q.b % 4096 = 4095)
+    UNION SELECT 1, q.b, p.b FROM t p JOIN recurring.t q ON p.b // 4096 = q.b // 4096 WHERE p.tag = 0 AND q.tag = 0 AND p.b <> q.b AND (p.b % 4096 = 4095 OR q.b % 4096 = 4095)"""
+SENSITIVE = PTS.replace("SCALE", "4096").replace("COPIES", "'assign'").replace("MORE", FIELDS)
+#: The insensitive solution beside another, under names of its own.
+OTHER = ", " + INSENSITIVE.replace("MORE", "").split(",\n", 2)[2].replace("t(tag", "u(tag").replace("recurring.t ", "recurring.u ").replace("FROM t ", "FROM u ").replace("JOIN t ", "JOIN u ")
+#: Whether an indirect call's signature fits a function's (PR1), in SQL.
+FITS = "i.cc = f.cc AND (i.ret = f.ret OR i.ret = 'V' OR f.ret = 'V') AND starts_with(i.params, f.params)"
+BIND = """, (i.site * 17 + k.k) % n.n AS src, (f.fid * 3 + k.k * 7) % n.n AS dst"""
+JOINT = INSENSITIVE.replace(
+    "MORE",
+    f"""UNION SELECT 2, i.site, f.fid FROM t p JOIN {{pv_icall}} i ON i.operand = p.a JOIN {{pv_func}} f ON f.address_taken AND f.fid = p.b - 1000000 AND f.fid % 5 = 0 AND {FITS} WHERE p.tag = 0
+    UNION SELECT 1, (c.a * 17 + k) % n.n, (c.b * 3 + k * 7) % n.n FROM t c, n, range(0, 2) r(k) WHERE c.tag = 2""",
+)
+
+
+def _edges(v, scratch):
+    return scratch.save(v("pv_edge").select("kind", "src", "dst", "off"), "view-edges")
+
+
+def _calls(v, scratch):
+    """Sites, functions with their objects, and the copies that a call of one from the other makes."""
+    n = 6 * (v("customer").count() // 3)
+    sites = scratch.save(v("pv_icall").select("site", "operand", "cc", "ret", "params"), "sites")
+    functions = v("pv_func").where("address_taken and fid % 5 = 0").select((F.col("fid") + OBJECT).alias("obj"), "fid", "cc", "ret", "params")
+    functions = scratch.save(functions, "functions")
+    return sites, functions, n
+
+
+class Bindings:
+    """What a (site, function) pair copies, computed for the pairs that occur."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def of(self, hit: DataFrame) -> DataFrame:
+        each = hit.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+        return each.select(((F.col("site") * 17 + F.col("k")) % self.n).alias("src"), ((F.col("fid") * 3 + F.col("k") * 7) % self.n).alias("dst"))
+
+
+@query(INSENSITIVE.replace("MORE", "") + " SELECT a AS node, b AS obj FROM t WHERE tag = 0 AND a < 10000000000", True)
+def gr5_andersen(v, scratch):
+    """Inclusion-based points-to facts, fields apart left aside."""
+    return points_to.solve_inclusion(_edges(v, scratch), scratch)[0]
+
+
+@query(SENSITIVE + " SELECT a AS node, b // 4096 AS obj, b % 4096 AS off FROM t WHERE tag = 0 AND a < 10000000000", True)
+def gr5_andersen_fields(v, scratch):
+    """Inclusion-based points-to facts over cells (object, offset); offset 4095 is unknown."""
+    pts = points_to.solve_inclusion(_edges(v, scratch), scratch, fields=True)[0]
+    return pts.select("node", F.floor(F.col("obj") / 4096).cast("long").alias("obj"), (F.col("obj") % 4096).alias("off"))
+
+
+@query(JOINT + " SELECT a AS site, b AS fid FROM t WHERE tag = 2", True)
+def gr6_joint_call_graph(v, scratch):
+    """Targets of indirect calls, found together with the points-to facts that they change."""
+    sites, functions, n = _calls(v, scratch)
+    return points_to.solve_inclusion(_edges(v, scratch), scratch, calls=(sites, functions, Bindings(n).of))[1]
+
+
+@query(
+    """, m AS (SELECT kind, src, dst FROM {pv_edge}), n AS (SELECT src AS n FROM m UNION SELECT dst FROM m),
+q(a, b) AS (SELECT src * 4, dst * 4 FROM m WHERE kind IN ('assign', 'gep') UNION SELECT src * 4, dst * 4 + 1 FROM m WHERE kind = 'addr_of'
+  UNION SELECT src * 4 + 2, dst * 4 + 1 FROM m WHERE kind = 'load' UNION SELECT src * 4 + 1, dst * 4 + 2 FROM m WHERE kind = 'store'
+  UNION SELECT src * 4 + 2, dst * 4 + 2 FROM m WHERE kind = 'memcpy'),
+s AS (SELECT a, b FROM q UNION SELECT b, a FROM q),
+l(t, c) USING KEY (t) AS (SELECT n * 4 + k, n * 4 + k FROM n, range(0, 3) r(k) UNION
+  SELECT t, min(c) FROM (
+    SELECT s.b AS t, x.c FROM recurring.l x JOIN s ON s.a = x.t
+    UNION ALL SELECT x.t + 1, y.c FROM recurring.l x JOIN (SELECT w.c AS k, min(z.c) AS c FROM recurring.l w JOIN recurring.l z ON z.t = w.t + 1 WHERE w.t % 4 < 2 GROUP BY w.c) y ON x.c = y.k WHERE x.t % 4 < 2
+  ) g JOIN (SELECT t AS ot, c AS oc FROM recurring.l) o ON g.t = o.ot WHERE g.c < o.oc GROUP BY t)
+SELECT a.t // 4 AS node, a.c AS class, b.c AS star FROM l a JOIN l b ON b.t = a.t + 1 WHERE a.t % 4 = 0""",
+    True,
+)
+def gr4_steensgaard(v, scratch):
+    """Unification classes of values and objects, and the classes that they point at."""
+    return points_to.solve_unification(_edges(v, scratch), scratch)
+
+
+@query(
+    INSENSITIVE.replace("MORE", "")
+    + """, s AS (SELECT i.site, f.fid FROM t JOIN {pv_icall} i ON i.operand = t.a JOIN {pv_func} f ON f.address_taken AND f.fid % 5 = 0 AND f.fid = t.b - 1000000 AND """
+    + FITS
+    + """ WHERE tag = 0)
+SELECT i.site, count(s.fid) AS targets, count(s.fid) = 0 AS unknown FROM {pv_icall} i LEFT JOIN s ON i.site = s.site GROUP BY i.site""",
+    True,
+)
+def d2_icall_resolution(v, scratch):
+    """Targets per indirect call; a site without one is unknown, never empty."""
+    pts = points_to.solve_inclusion(_edges(v, scratch), scratch)[0]
+    sites, functions, _ = _calls(v, scratch)
+    f = functions.select("obj", "fid", F.col("cc").alias("fcc"), F.col("ret").alias("fret"), F.col("params").alias("fparams"))
+    hit = pts.withColumnRenamed("node", "operand").join(sites, "operand").join(f, "obj").where((F.col("cc") == F.col("fcc")) & P.signatures_fit("ret", "params", "fret", "fparams"))
+    per = hit.groupBy("site").agg(F.countDistinct("fid").alias("targets"))
+    return sites.join(per, "site", "left").select("site", F.coalesce("targets", F.lit(0)).alias("targets"), F.col("targets").isNull().alias("unknown"))
+
+
+@query(
+    INSENSITIVE.replace("MORE", "")
+    + """, g AS (SELECT a, b - 1000000 AS g FROM t WHERE tag = 0 AND a < 1000000)
+SELECT a AS node, CAST(sum(CASE WHEN g % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS globals, bool_or(g % 5 = 0) AS reaches_function FROM g GROUP BY a""",
+    True,
+)
+def d6_node_resolution(v, scratch):
+    """What each value points at: how many globals, and whether a function."""
+    pts = points_to.solve_inclusion(_edges(v, scratch), scratch)[0].where(F.col("node") < OBJECT)
+    number = F.col("obj") - OBJECT
+    return pts.groupBy("node").agg(F.sum(F.when(number % 5 != 0, 1).otherwise(0)).cast("long").alias("globals"), F.bool_or(number % 5 == 0).alias("reaches_function"))
+
+
+@query(
+    INSENSITIVE.replace("MORE", "")
+    + """, a AS (SELECT dst AS addr, 'mod' AS access FROM {pv_edge} WHERE kind IN ('store', 'memcpy') UNION SELECT src, 'ref' FROM {pv_edge} WHERE kind IN ('load', 'memcpy')),
+p AS (SELECT a.addr, a.access, t.b - 1000000 AS glob FROM a JOIN t ON t.tag = 0 AND t.a = a.addr WHERE (t.b - 1000000) % 5 <> 0),
+c AS (SELECT addr, access, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT a.addr, a.access, coalesce(CASE WHEN c.n <= 16 THEN p.glob END, -1) AS glob, CASE WHEN c.n IS NULL THEN 'unknown' WHEN c.n > 16 THEN 'collapsed' ELSE 'aliased' END AS via, coalesce(c.n, 0) AS candidates
+FROM a LEFT JOIN c USING (addr, access) LEFT JOIN p ON p.addr = a.addr AND p.access = a.access AND c.n <= 16""",
+    True,
+)
+def d8_pointer_modref(v, scratch):
+    """Globals read or written through pointers; more than 16 collapse to one unknown row (D8, J6, AG6)."""
+    edges = _edges(v, scratch)
+    pts = scratch.save(points_to.solve_inclusion(edges, scratch)[0], "pts")
+    sites = edges.where("kind in ('store', 'memcpy')").select(F.col("dst").alias("addr"), F.lit("mod").alias("access")).union(edges.where("kind in ('load', 'memcpy')").select("src", F.lit("ref"))).distinct()
+    sites = scratch.save(sites, "sites")
+    at = pts.select(F.col("node").alias("addr"), (F.col("obj") - OBJECT).alias("glob")).where("glob % 5 <> 0")
+    n = at.groupBy("addr").agg(F.count("*").alias("candidates"))
+    few = at.join(n.where("candidates <= 16"), "addr", "left_semi")
+    via = F.when(F.col("candidates").isNull(), "unknown").when(F.col("candidates") > 16, "collapsed").otherwise("aliased")
+    return sites.join(n, "addr", "left").join(few, "addr", "left").select("addr", "access", F.coalesce("glob", F.lit(-1)).alias("glob"), via.alias("via"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+@query(
+    SENSITIVE
+    + OTHER
+    + " SELECT 'fields' AS stage, count(*) AS facts, CAST(0 AS BIGINT) AS violations FROM (SELECT DISTINCT a, b // 4096 FROM t WHERE tag = 0 AND a < 1000000) UNION ALL SELECT 'inclusion', count(*), 0 FROM u WHERE tag = 0 AND a < 1000000",
+    True,
+)
+def x1_narrowing_ledger(v, scratch):
+    """Each stage's facts must be among those of the coarser one: facts and violations by stage."""
+    edges = _edges(v, scratch)
+    fine = scratch.save(points_to.solve_inclusion(edges, scratch, fields=True)[0].where(F.col("node") < OBJECT).select("node", F.floor(F.col("obj") / 4096).cast("long").alias("obj")).distinct(), "fine")
+    pts = scratch.save(points_to.solve_inclusion(edges, scratch)[0].where(F.col("node") < OBJECT), "pts")
+    classes = scratch.save(points_to.solve_unification(edges, scratch), "classes")
+    coarse = classes.select(F.col("class").alias("star"), F.col("node").alias("obj")).join(classes.select("node", "star"), "star").select("node", "obj")
+    count = lambda stage, a, b: a.select("node", "obj").withColumn("missed", F.lit(0)).groupBy().agg(F.count("*").alias("facts")).crossJoin(a.join(b, ["node", "obj"], "left_anti").groupBy().agg(F.count("*").alias("violations"))).select(F.lit(stage).alias("stage"), "facts", "violations")
+    return count("fields", fine, pts).union(count("inclusion", pts, coarse))
+
+
+@query()
+def gr10_callee_walk(v, scratch):
+    """Which values a function's address may flow to, on demand, with a stack of offsets (GR9 to GR11)."""
+    origins = v("pv_func").where("address_taken and fid % 100 = 0").select((F.col("fid") + OBJECT).alias("origin"))
+    found, over = points_to.callee_walk(_edges(v, scratch), origins, scratch)
+    return found.join(over.withColumn("truncated", F.lit(True)), "origin", "left").select("origin", "node", F.coalesce("truncated", F.lit(False)).alias("truncated"))
