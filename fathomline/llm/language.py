@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .holdout import held_out
-from .textkernel import U64, buffers, mix, slices
+from .textkernel import U64, mix, slices, words_of
 from .toxicity import Ftrl
 
 DIM = 1 << 15
@@ -41,42 +41,80 @@ def _letters() -> np.ndarray:
 
 
 class Grams:
-    """Feature numbers of the n-grams of some texts: ``at`` in a row, text i's from ``edge[i]`` to
-    ``edge[i + 1]``; ``letters`` counts each text's letters."""
+    """N-grams of some texts, found once for each distinct word of a slice.
+
+    A word is taken between two spaces.  Word w of a text is the distinct word
+    ``which[w]``, whose features are ``at[edge[k]:edge[k + 1]]``.  ``total`` counts each
+    text's n-grams and ``letters`` its letters.
+    """
 
     def __init__(self, texts: pa.Array):
-        data, offsets = buffers(texts)
+        words = words_of(texts)
+        _, first, self.which = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.first, self.n = words.first, words.n
+        start, size = words.start[first], words.end[first] - words.start[first]
+        # the distinct words' bytes, each between spaces
+        offsets = np.concatenate(([0], np.cumsum(size + 2)))
+        data = np.full(offsets[-1], 0x20, np.uint8)
+        shift = np.repeat(offsets[:-1] + 1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(size) else np.zeros(0, int)
+        run = np.arange(int(size.sum()))
+        data[shift + run] = words.data[np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + run] if len(size) else 0
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         starts = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))[offsets]
         c = _letters()[points]
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(starts))
+        own = np.repeat(np.arange(len(size)), np.diff(starts))
         letter = c != 0x20
-        self.letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[starts])
-        # spaces in a row count once
-        same = np.zeros(len(c), bool)
-        same[1:] = doc[1:] == doc[:-1]
+        letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[starts])
+        # spaces in a row count once, and words without letters not at all
         keep = letter.copy()
-        keep[1:] |= letter[:-1] & same[1:]
-        c, doc = c[keep].astype(U64), doc[keep]
-        grams, whose = [mix(c)[c != U64(0x20)]], [doc[c != U64(0x20)]]
+        keep[1:] |= letter[:-1]
+        keep[:-1] |= letter[1:] & ~letter[:-1] & ~np.concatenate(([False], letter[:-2]))
+        c, own = c[keep].astype(U64), own[keep]
+        grams, whose = [mix(c)[c != U64(0x20)]], [own[c != U64(0x20)]]
         for n in (2, 3):
             if len(c) >= n:
-                ok = doc[n - 1 :] == doc[: len(doc) - n + 1]
+                ok = own[n - 1 :] == own[: len(own) - n + 1]
                 h = sum(c[k : len(c) - n + 1 + k] * _ODD[k] for k in range(n)) + U64(n)
                 grams.append(mix(h)[ok])
-                whose.append(doc[: len(doc) - n + 1][ok])
-        self.at = (np.concatenate(grams) & U64(DIM - 1)).astype(np.int32)
-        self.doc = np.concatenate(whose)
-        self.n = len(offsets) - 1
-
-    def present(self, least: int = 0, block: int = 512) -> np.ndarray:
+                whose.append(own[: len(own) - n + 1][ok])
+        whose = np.concatenate(whose)
+        order = np.argsort(whose, kind="stable")
+        self.at = (np.concatenate(grams) & U64(DIM - 1)).astype(np.int32)[order]
+        self.edge = np.searchsorted(whose[order], np.arange(len(size) + 1))
+        self.letters = self.per_text(letters)
+        self.total = self.per_text(np.diff(self.edge))
+
+    def per_text(self, per_word: np.ndarray) -> np.ndarray:
+        """Sums over each text's words of what distinct words have."""
+        run = np.cumsum(per_word[self.which], axis=0, dtype=np.float64)
+        run = np.concatenate((np.zeros((1, *run.shape[1:])), run))
+        return run[self.first[1:]] - run[self.first[:-1]]
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per text the sum of its n-grams' rows of ``weights``."""
+        run = np.concatenate((np.zeros((1, weights.shape[1])), np.cumsum(weights[self.at], axis=0, dtype=np.float64)))
+        return self.per_text(run[self.edge[1:]] - run[self.edge[:-1]])
+
+    def features(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, features and counts of the n-grams of the distinct words of texts i to j."""
+        lo, hi = self.first[i], self.first[j]
+        doc = np.repeat(np.arange(i, j), np.diff(self.first[i : j + 1]))
+        n = max(len(self.edge) - 1, 1)
+        pair, times = np.unique((doc - i) * n + self.which[lo:hi], return_counts=True)
+        word = pair % n
+        size = self.edge[word + 1] - self.edge[word]
+        at = np.repeat(self.edge[word] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(word) else np.zeros(0, int)
+        return np.repeat(pair // n, size), self.at[at], np.repeat(times, size)
+
+    def present(self, block: int = 512) -> np.ndarray:
         """How many of the texts have each feature."""
         out = np.zeros(DIM, np.int64)
         for lo in range(0, self.n, block):
-            own = (self.doc >= lo) & (self.doc < lo + block) if self.n > block else slice(None)
-            seen = np.zeros((min(block, self.n - lo), DIM), bool)
-            seen[self.doc[own] - lo, self.at[own]] = True
-            out += seen.sum(0)
+            hi = min(lo + block, self.n)
+            doc, at, _ = self.features(lo, hi)
+            seen = np.zeros((hi - lo, DIM), bool)
+            seen[doc, at] = True
+            out += np.count_nonzero(seen, axis=0)
         return out
 
 
@@ -88,10 +126,7 @@ class Model:
     temperature: float
 
     def logits(self, grams: Grams) -> np.ndarray:
-        total = np.maximum(np.bincount(grams.doc, minlength=grams.n), 1)
-        own = self.weights[grams.at]
-        out = np.stack([np.bincount(grams.doc, weights=own[:, k], minlength=grams.n) for k in range(len(self.langs))], axis=1)
-        return out / total[:, None] + self.bias
+        return grams.sums(self.weights) / np.maximum(grams.total, 1)[:, None] + self.bias
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -141,7 +176,9 @@ def _training(batches):
         for part in slices(batch):
             grams = Grams(part.column("text"))
             for i in range(grams.n):
-                at, count = np.unique(grams.at[grams.doc == i], return_counts=True)
+                _, at, times = grams.features(i, i + 1)
+                at, whose = np.unique(at, return_inverse=True)
+                count = np.bincount(whose, weights=times).astype(np.int64)
                 rows.append((at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()))
         a, b = zip(*rows, strict=True) if rows else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), batch.column("lang"), batch.column("key")], names=["features", "counts", "lang", "key"])
