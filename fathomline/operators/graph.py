@@ -100,18 +100,18 @@ def _walk(start: DataFrame, steps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def may_write_after(cfg: DataFrame, writes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(func, boundary, glob): globals that may still be written after a boundary.
+    """(func, boundary, gvar): globals that may still be written after a boundary.
 
     Backward dataflow ``after(b) = union over successors s of writes(s) and after(s)``,
     which is writes joined with the closure of the boundaries.
     """
     steps = scratch.save(cfg.select("func", "src", "dst").distinct(), "cfg")
-    gen = scratch.save(writes.select("func", F.col("boundary").alias("dst"), "glob").distinct(), "gen")
-    seen = scratch.save(steps.join(gen, ["func", "dst"]).select("func", F.col("src").alias("boundary"), "glob").distinct(), "after")
+    gen = scratch.save(writes.select("func", F.col("boundary").alias("dst"), "gvar").distinct(), "gen")
+    seen = scratch.save(steps.join(gen, ["func", "dst"]).select("func", F.col("src").alias("boundary"), "gvar").distinct(), "after")
     new = seen
     while not new.isEmpty():
-        up = steps.join(new.withColumnRenamed("boundary", "dst"), ["func", "dst"]).select("func", F.col("src").alias("boundary"), "glob").distinct()
-        new = scratch.save(up.join(seen, ["func", "boundary", "glob"], "left_anti"), "new")
+        up = steps.join(new.withColumnRenamed("boundary", "dst"), ["func", "dst"]).select("func", F.col("src").alias("boundary"), "gvar").distinct()
+        new = scratch.save(up.join(seen, ["func", "boundary", "gvar"], "left_anti"), "new")
         seen = scratch.save(seen.union(new), "after")
     return seen
 

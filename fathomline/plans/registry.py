@@ -105,7 +105,7 @@ def gr15_cyclic_boundaries(v, scratch):
 
 @query(
     """, t(func, src, dst) AS (SELECT func, src, dst FROM {pv_cfg} UNION SELECT t.func, t.src, e.dst FROM t JOIN {pv_cfg} e ON t.func = e.func AND t.dst = e.src)
-SELECT DISTINCT t.func, t.src AS boundary, w.glob FROM t JOIN {pv_write} w ON w.func = t.func AND w.boundary = t.dst""",
+SELECT DISTINCT t.func, t.src AS boundary, w.gvar FROM t JOIN {pv_write} w ON w.func = t.func AND w.boundary = t.dst""",
     True,
 )
 def gr14_quiescence(v, scratch):
@@ -122,10 +122,10 @@ live AS (SELECT func, node FROM w WHERE out_ = -1),
 dom AS (SELECT l.func, l.node, count(*) AS depth FROM live l JOIN live d ON l.func = d.func
   WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.func = l.func AND w.node = l.node AND w.out_ = d.node AND d.node <> 0) GROUP BY 1, 2),
 t(func, src, dst) AS (SELECT func, src, dst FROM {pv_cfg} UNION SELECT t.func, t.src, e.dst FROM t JOIN {pv_cfg} e ON t.func = e.func AND t.dst = e.src),
-c AS (SELECT g.func, g.glob, d.node, d.depth FROM (SELECT DISTINCT y.func, y.glob FROM {pv_write} y) g JOIN dom d ON g.func = d.func WHERE d.node <> 0
-  AND NOT EXISTS (SELECT 1 FROM t JOIN {pv_write} x ON x.func = t.func AND x.boundary = t.dst WHERE t.func = g.func AND t.src = d.node AND x.glob = g.glob)
+c AS (SELECT g.func, g.gvar, d.node, d.depth FROM (SELECT DISTINCT y.func, y.gvar FROM {pv_write} y) g JOIN dom d ON g.func = d.func WHERE d.node <> 0
+  AND NOT EXISTS (SELECT 1 FROM t JOIN {pv_write} x ON x.func = t.func AND x.boundary = t.dst WHERE t.func = g.func AND t.src = d.node AND x.gvar = g.gvar)
   AND NOT EXISTS (SELECT 1 FROM t WHERE t.func = d.func AND t.src = d.node AND t.dst = d.node))
-SELECT c.func, c.glob, arg_min(c.node, c.depth * 100 + c.node) AS publication FROM c GROUP BY c.func, c.glob""",
+SELECT c.func, c.gvar, arg_min(c.node, c.depth * 100 + c.node) AS publication FROM c GROUP BY c.func, c.gvar""",
     True,
 )
 def gr16_publication_point(v, scratch):
@@ -138,8 +138,8 @@ def gr16_publication_point(v, scratch):
     cyclic = graph.strong_components(wide, scratch).where("size > 1").select("node").union(wide.where("src = dst").select("src")).distinct()
     cyclic = cyclic.select(F.floor(F.col("node") / 16).cast("long").alias("func"), (F.col("node") % 16).alias("node"))
     busy = graph.may_write_after(cfg, writes, scratch).withColumnRenamed("boundary", "node")
-    quiet = writes.select("func", "glob").distinct().join(depth, "func").join(busy, ["func", "node", "glob"], "left_anti").join(cyclic, ["func", "node"], "left_anti")
-    return quiet.groupBy("func", "glob").agg(F.min(F.struct("depth", "node"))["node"].alias("publication"))
+    quiet = writes.select("func", "gvar").distinct().join(depth, "func").join(busy, ["func", "node", "gvar"], "left_anti").join(cyclic, ["func", "node"], "left_anti")
+    return quiet.groupBy("func", "gvar").agg(F.min(F.struct("depth", "node"))["node"].alias("publication"))
 
 
 @query(
@@ -160,7 +160,7 @@ def gr18_reentrancy_paths(v, scratch):
 @query(
     CLOSURE
     + """, reach AS (SELECT src AS func, dst AS callee FROM t UNION SELECT DISTINCT func, func FROM {pv_modref})
-SELECT r.func, m.glob, m.access, min(m.witness) AS witness FROM reach r JOIN {pv_modref} m ON r.callee = m.func GROUP BY 1, 2, 3""",
+SELECT r.func, m.gvar, m.access, min(m.witness) AS witness FROM reach r JOIN {pv_modref} m ON r.callee = m.func GROUP BY 1, 2, 3""",
     True,
 )
 def modref_transitive(v, scratch):
@@ -171,12 +171,12 @@ def modref_transitive(v, scratch):
     name = lambda d, c: d.join(strong.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")), c, "left").withColumn(f"{c}_c", F.coalesce(f"{c}_c", c))
     calls = name(name(v("pv_call"), "src"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).where("src <> dst")
     reach = graph.transitive_closure(calls, scratch)
-    own = name(direct, "func").groupBy(F.col("func_c").alias("dst"), "glob", "access").agg(F.min("witness").alias("witness"))
+    own = name(direct, "func").groupBy(F.col("func_c").alias("dst"), "gvar", "access").agg(F.min("witness").alias("witness"))
     own = scratch.save(own, "own")
-    through = reach.join(own, "dst").select(F.col("src").alias("component"), "glob", "access", "witness")
-    every = through.union(own.select(F.col("dst").alias("component"), "glob", "access", "witness")).groupBy("component", "glob", "access").agg(F.min("witness").alias("witness"))
+    through = reach.join(own, "dst").select(F.col("src").alias("component"), "gvar", "access", "witness")
+    every = through.union(own.select(F.col("dst").alias("component"), "gvar", "access", "witness")).groupBy("component", "gvar", "access").agg(F.min("witness").alias("witness"))
     members = strong.union(direct.select(F.col("func").alias("node"), F.col("func").alias("component")).distinct().join(strong, "node", "left_anti"))
-    return members.join(every, "component").select(F.col("node").alias("func"), "glob", "access", "witness")
+    return members.join(every, "component").select(F.col("node").alias("func"), "gvar", "access", "witness")
 
 
 # ---- points-to
@@ -308,9 +308,9 @@ def d6_node_resolution(v, scratch):
 @query(
     INSENSITIVE.replace("MORE", "")
     + """, a AS (SELECT dst AS addr, 'mod' AS access FROM {pv_edge} WHERE kind IN ('store', 'memcpy') UNION SELECT src, 'ref' FROM {pv_edge} WHERE kind IN ('load', 'memcpy')),
-p AS (SELECT a.addr, a.access, t.b - 1000000 AS glob FROM a JOIN t ON t.tag = 0 AND t.a = a.addr WHERE (t.b - 1000000) % 5 <> 0),
+p AS (SELECT a.addr, a.access, t.b - 1000000 AS gvar FROM a JOIN t ON t.tag = 0 AND t.a = a.addr WHERE (t.b - 1000000) % 5 <> 0),
 c AS (SELECT addr, access, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT a.addr, a.access, coalesce(CASE WHEN c.n <= 16 THEN p.glob END, -1) AS glob, CASE WHEN c.n IS NULL THEN 'unknown' WHEN c.n > 16 THEN 'collapsed' ELSE 'aliased' END AS via, coalesce(c.n, 0) AS candidates
+SELECT a.addr, a.access, coalesce(CASE WHEN c.n <= 16 THEN p.gvar END, -1) AS gvar, CASE WHEN c.n IS NULL THEN 'unknown' WHEN c.n > 16 THEN 'collapsed' ELSE 'aliased' END AS via, coalesce(c.n, 0) AS candidates
 FROM a LEFT JOIN c USING (addr, access) LEFT JOIN p ON p.addr = a.addr AND p.access = a.access AND c.n <= 16""",
     True,
 )
@@ -320,11 +320,11 @@ def d8_pointer_modref(v, scratch):
     pts = scratch.save(points_to.solve_inclusion(edges, scratch)[0], "pts")
     sites = edges.where("kind in ('store', 'memcpy')").select(F.col("dst").alias("addr"), F.lit("mod").alias("access")).union(edges.where("kind in ('load', 'memcpy')").select("src", F.lit("ref"))).distinct()
     sites = scratch.save(sites, "sites")
-    at = pts.select(F.col("node").alias("addr"), (F.col("obj") - OBJECT).alias("glob")).where("glob % 5 <> 0")
+    at = pts.select(F.col("node").alias("addr"), (F.col("obj") - OBJECT).alias("gvar")).where("gvar % 5 <> 0")
     n = at.groupBy("addr").agg(F.count("*").alias("candidates"))
     few = at.join(n.where("candidates <= 16"), "addr", "left_semi")
     via = F.when(F.col("candidates").isNull(), "unknown").when(F.col("candidates") > 16, "collapsed").otherwise("aliased")
-    return sites.join(n, "addr", "left").join(few, "addr", "left").select("addr", "access", F.coalesce("glob", F.lit(-1)).alias("glob"), via.alias("via"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return sites.join(n, "addr", "left").join(few, "addr", "left").select("addr", "access", F.coalesce("gvar", F.lit(-1)).alias("gvar"), via.alias("via"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 @query(

@@ -32,7 +32,7 @@ SELECT o_orderkey AS site, o_custkey AS caller, (o_orderkey * 31) % (2 * (SELECT
   substr('ISIISSI', CAST(1 + o_orderkey % 2 AS INT), CAST(1 + o_orderkey % 4 AS INT)) AS params
 FROM {orders} WHERE o_orderkey % 39 = 0""",
     "pv_modref": """
-SELECT o_custkey AS func, l_partkey AS glob, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS access,
+SELECT o_custkey AS func, l_partkey AS gvar, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS access,
   min(concat('f', CAST(o_custkey AS STRING), '@o', CAST(l_orderkey AS STRING), '.c:', CAST(l_linenumber AS STRING), ':1#0')) AS witness
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0 GROUP BY 1, 2, 3""",
     "pv_edge": """
@@ -46,7 +46,7 @@ FROM (
 SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS src, CAST(1 + (l_linenumber + l_partkey) % 7 AS BIGINT) AS dst FROM {lineitem} WHERE l_orderkey % 17 = 0
 UNION SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT), CAST(l_linenumber AS BIGINT) FROM {lineitem} WHERE l_orderkey % 17 = 0 AND l_linenumber <= 2""",
     "pv_write": """
-SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS boundary, l_partkey % 8 AS glob FROM {lineitem} WHERE l_orderkey % 17 = 0 AND l_returnflag = 'R'""",
+SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS boundary, l_partkey % 8 AS gvar FROM {lineitem} WHERE l_orderkey % 17 = 0 AND l_returnflag = 'R'""",
     "pv_range": """
 SELECT l_partkey % 50 AS root, l_orderkey AS region, CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END AS off, CAST(CASE WHEN l_linenumber = 5 THEN 8 WHEN l_linenumber = 6 THEN 12 END AS BIGINT) AS modulus,
   CASE WHEN l_linenumber IN (5, 6) THEN CAST(l_quantity AS BIGINT) % 8 END AS residue, min(1 + CAST(l_tax * 100 AS BIGINT) % 8) AS width
