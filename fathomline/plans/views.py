@@ -51,6 +51,21 @@ SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS boundary, l_
 SELECT l_partkey % 50 AS root, l_orderkey AS region, CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END AS off, CAST(CASE WHEN l_linenumber = 5 THEN 8 WHEN l_linenumber = 6 THEN 12 END AS BIGINT) AS modulus,
   CASE WHEN l_linenumber IN (5, 6) THEN CAST(l_quantity AS BIGINT) % 8 END AS residue, min(1 + CAST(l_tax * 100 AS BIGINT) % 8) AS width
 FROM {lineitem} WHERE l_orderkey % 97 = 0 GROUP BY 1, 2, 3, 4, 5""",
+    "pv_sfunc": """
+SELECT fid, key, external, exported, CAST(length(params) AS BIGINT) AS nparams, vararg, CASE WHEN NOT external THEN key WHEN fid % 4 = 0 THEN 'strlen' WHEN fid % 4 = 1 THEN 'memcmp' WHEN fid % 4 = 2 THEN 'calloc' ELSE concat('ext_', key) END AS name
+FROM {pv_func}""",
+    "pv_stmt": """
+SELECT func, CAST(idx AS BIGINT) AS idx, kind, concat('v', CAST(idx AS STRING)) AS dest,
+  CASE WHEN p % 11 = 0 THEN 'null' WHEN p % 7 = 0 THEN concat('@f', CAST(s AS STRING)) WHEN p % 3 = 0 THEN concat('@g', CAST(p AS STRING)) ELSE concat('v', CAST(p % 6 AS STRING)) END AS op1,
+  CASE WHEN s % 2 = 0 THEN concat('v', CAST(s % 5 AS STRING)) END AS op2, CASE WHEN kind = 'gep' THEN q * 8 END AS off,
+  CASE WHEN kind = 'call_direct' THEN concat('f', CAST(1 + (o * 7919) % m AS STRING)) END AS callee, concat(func, '.c:', CAST(CAST(idx AS BIGINT) - CAST(idx AS BIGINT) % 2 AS STRING), ':1') AS loc
+FROM (
+  SELECT concat('f', CAST(o_custkey AS STRING)) AS func, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) - 1 AS idx,
+    CASE l_linenumber WHEN 1 THEN 'alloca' WHEN 2 THEN 'assign' WHEN 3 THEN 'load' WHEN 4 THEN 'store' WHEN 5 THEN 'gep' WHEN 6 THEN 'call_direct'
+      ELSE CASE p % 6 WHEN 0 THEN 'call_indirect' WHEN 1 THEN 'memcpy' WHEN 2 THEN 'ptr_to_int' WHEN 3 THEN 'int_to_ptr' WHEN 4 THEN 'return' ELSE 'unknown' END END AS kind, p, s, q, l_orderkey AS o, m
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} WHERE l_orderkey % 31 = 0 GROUP BY l_orderkey, l_linenumber) l
+  JOIN {orders} ON l_orderkey = o_orderkey CROSS JOIN (SELECT max(c_custkey) AS m FROM {customer}) c
+) t""",
     "pv_trace": """
 SELECT user_id AS caller, event_id AS target, CAST(event_id % 3 AS BIGINT) AS idx FROM {events} WHERE event_id % 5 = 0""",
 }
