@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .holdout import held_out
-from .textkernel import U64, mix, slices, words_of
+from .textkernel import U64, mix, map_texts, slices, words_of
 from .toxicity import Ftrl
 
 DIM = 1 << 15
@@ -187,7 +187,7 @@ def _training(batches):
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the documents that are not held out and have a language and a text."""
     teach = documents.where("lang is not null and text is not null").where(~held_out())
-    found = teach.select("text").mapInArrow(_frequency, "feature long, documents long").groupBy("feature").agg(F.sum("documents").alias("documents")).toArrow()
+    found = map_texts(teach.select("text"), _frequency, "feature long, documents long").groupBy("feature").agg(F.sum("documents").alias("documents")).toArrow()
     feature, documents_ = found.column("feature").to_numpy(), found.column("documents").to_numpy()
     n = int(documents_[feature == -1].sum())
     df = np.zeros(DIM)
@@ -205,7 +205,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
         picked = own if picked is None else picked.union(own)
     picked = picked.dropDuplicates(["lang", "key"])
     rows = keyed.join(F.broadcast(picked), ["lang", "key"]).dropDuplicates(["lang", "key"])  # of at most ``sample`` rows
-    table = rows.select("text", "lang", "key").mapInArrow(_training, "features binary, counts binary, lang string, key long").orderBy("key", "lang").toArrow()
+    table = map_texts(rows.select("text", "lang", "key"), _training, "features binary, counts binary, lang string, key long").orderBy("key", "lang").toArrow()
     data = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     labels = np.array([langs.index(x) for x in table.column("lang").to_pylist()], int)
     ok = np.array([len(a) > 0 for a, _ in data], bool)
@@ -241,5 +241,5 @@ def predict_language(documents: DataFrame, model: Model | None = None) -> DataFr
     language that sorts first.  Whole texts count; other columns are never read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model or train(documents))  # of fixed size
-    found = documents.select("doc_id", "text").mapInArrow(partial(_predict, model=shared), "doc_id long, lang_pred string, score double")
+    found = map_texts(documents.select("doc_id", "text"), partial(_predict, model=shared), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

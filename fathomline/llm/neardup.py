@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..runtime import Scratch
 from . import setsketch as S
-from .textkernel import U64, Words, mix, slices, words_of
+from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 SHINGLE = 5
 #: Links need PERCENT per cent of the union in the intersection.
@@ -113,7 +113,7 @@ def _sets_of(documents: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(words_of(part.column("text"), lower=True))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc", "items"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, "doc long, items binary")
+    return map_texts(documents.where("doc_id is not null").select("doc_id", "text"), read, "doc long, items binary")
 
 
 def _block(doc: str, blocks: str) -> F.Column:
@@ -180,7 +180,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
-    signed = scratch.save(documents.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, h1 long, h2 long, regs binary"), "signed")
+    signed = scratch.save(map_texts(documents.select("doc_id", "text"), _sign, "doc_id long, n long, h1 long, h2 long, regs binary"), "signed")
     linked = signed.where("n > 0 and doc_id is not null")
     classes = scratch.save(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
     heads = linked.join(classes, [linked.h1 == classes.h1, linked.h2 == classes.h2, linked.doc_id == classes.doc]).select("doc", "n", "regs")

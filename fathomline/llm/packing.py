@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textkernel import buffers, slices, words_of
+from .textkernel import buffers, map_texts, slices, words_of
 from .tokens import word_ids
 
 WINDOW = 4096
@@ -140,4 +140,4 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     No rows give no rows; other columns are ignored.
     """
     work = partial(_pack, path=tokenizer_path, window=window, end_id=end_id)
-    return documents.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), work, SCHEMA)

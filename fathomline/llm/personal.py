@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .textkernel import U64, mix, slices, words_of
+from .textkernel import U64, mix, map_texts, slices, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.  Runs are possessive and begin where a run begins, so that no text
@@ -171,7 +171,7 @@ def find_personal(documents: DataFrame) -> DataFrame:
     added.  Whole texts are read, however long; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession, "personal")
-    rows = scratch.save(documents.select("doc_id", "text").mapInArrow(_work, SCHEMA), "rows")
+    rows = scratch.save(map_texts(documents.select("doc_id", "text"), _work, SCHEMA), "rows")
     each = rows.select("row", F.explode("candidates").alias("c")).select("row", "c.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     each = scratch.save(each, "each")
     good = scratch.save(bootstrap(each.select("pattern", "instance", "seed"), scratch), "good")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import SPACE, U64, Words, mix, slices, words_of
+from .textkernel import SPACE, U64, Words, mix, map_texts, slices, words_of
 from .tokens import WordIds, word_ids
 
 _SYMBOL = np.zeros(256, bool)
@@ -139,9 +139,9 @@ def rate_quality(documents: DataFrame, model_path: str) -> DataFrame:
     an id or a text, and null ids, are rated each.  No rows give none, and other columns
     are ignored.
     """
-    return documents.select("doc_id", "text").mapInArrow(partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}")
+    return map_texts(documents.select("doc_id", "text"), partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}")
 
 
 def keep_good(documents: DataFrame, model_path: str) -> DataFrame:
     """The rows of ``documents`` that ``rate_quality`` keeps, with all their columns."""
-    return documents.mapInArrow(partial(_work, path=model_path, keep_only=True), documents.schema)
+    return map_texts(documents, partial(_work, path=model_path, keep_only=True), documents.schema)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U64, Words, mix, slices, words_of
+from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns, and what a match needs.
@@ -267,7 +267,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
         may = may | F.coalesce(F.col("text").rlike(p), F.lit(False))
     keyed = documents.select("text", may.alias("may"), F.xxhash64("text").alias("key"))
     picked = keyed.where("may").orderBy("key").limit(sample).union(keyed.where("not may and text is not null").orderBy("key").limit(sample))
-    table = picked.select("text").mapInArrow(_training, "secret boolean, features binary, kind long, tags binary").toArrow()
+    table = map_texts(picked.select("text"), _training, "secret boolean, features binary, kind long, tags binary").toArrow()
     width = 7
     rows = [(np.frombuffer(f, np.int32).reshape(-1, width), k, np.frombuffer(t, np.int8).astype(int)) for f, k, t in zip(*(table.column(c).to_pylist() for c in ("features", "kind", "tags")), strict=True)]
     rows.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))  # the same order wherever the rows came from
@@ -356,7 +356,7 @@ def find_secrets(documents: DataFrame, field: Field | None = None) -> DataFrame:
     Whole texts are read, however long.  Other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(field or train(documents))  # of fixed size
-    return documents.select("doc_id", "text").mapInArrow(partial(_work, field=shared), f"doc_id long, {SCHEMA}")
+    return map_texts(documents.select("doc_id", "text"), partial(_work, field=shared), f"doc_id long, {SCHEMA}")
 
 
 def _mask(batches, field, mark):
@@ -376,7 +376,7 @@ def _mask(batches, field, mark):
 def mask_secrets(documents: DataFrame, field: Field | None = None, mark: str = "<SECRET>") -> DataFrame:
     """``documents`` with each span that ``find_secrets`` reports replaced by ``mark``."""
     shared = documents.sparkSession.sparkContext.broadcast(field or train(documents))
-    return documents.mapInArrow(partial(_mask, field=shared, mark=mark), documents.schema)
+    return map_texts(documents, partial(_mask, field=shared, mark=mark), documents.schema)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

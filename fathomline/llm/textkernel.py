@@ -23,7 +23,9 @@ LOWER[0x41:0x5B] += 0x20
 _STEP = _rng.integers(1, 2**63, 8, dtype=U64) * U64(2) + U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 #: Bytes of text taken at a time.  A longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of a batch between Spark and Python.
+BATCH_ROWS = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +125,14 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         at = end
 
 
+def map_texts(df, work, schema):
+    """``df.mapInArrow`` in batches that stay small with texts in them, on both sides of the pipe."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(work, schema)
+
+
 def words_of(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     data, offsets = buffers(texts)
     return Words(LOWER[data] if lower else data, offsets, hashed)

@@ -8,7 +8,7 @@ saw last, up to a bound, in sorted arrays that a whole slice is looked up in at
 from __future__ import annotations
 
 import os
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,7 +23,7 @@ class WordIds:
     ``strip`` parts a closing full stop or comma from a word that ends in a letter,
     where the tokenizer does so as well."""
 
-    def __init__(self, encode, most: int = 800_000, strip: bool = True):
+    def __init__(self, encode, most: int = 400_000, strip: bool = True):
         self.encode, self.most, self.strip = encode, most, strip
         self.clear()
         self.marks = {c: np.array(encode([chr(c)])[0], np.int32) for c in b".,"} if strip else {}
@@ -49,11 +49,15 @@ class WordIds:
         place[place == len(self.hash)] = 0
         new = np.flatnonzero(self.hash[place] != distinct) if len(self.hash) else np.arange(len(distinct))
         if len(new):
-            raw = data.tobytes()
-            found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            raw, sizes, ids = data.tobytes(), [], []
+            for lo in range(0, len(new), ENCODE):
+                own = first[new[lo : lo + ENCODE]]
+                found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter((x for f in found for x in f), np.int32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
             at = len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.int32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, *ids])
             where = np.searchsorted(self.hash, distinct[new])
             self.hash, self.at, self.size = np.insert(self.hash, where, distinct[new]), np.insert(self.at, where, at), np.insert(self.size, where, size)
             place = np.searchsorted(self.hash, distinct)
@@ -71,9 +75,13 @@ class WordIds:
         return out, total
 
 
-@cache
+#: Words encoded at a time: an encoder's results take about a kilobyte each.
+ENCODE = 8192
+
+
+@lru_cache(maxsize=1)
 def word_ids(kind: str, path: str) -> WordIds:
-    """One for each vocabulary in a worker, whose words the next tasks find again."""
+    """The last vocabulary used in a worker, whose words the next tasks find again."""
     return WordIds(tokenizer(path)) if kind == "tokenizer" else WordIds(pieces(path), strip=False)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .holdout import held_out
-from .textkernel import U64, Words, mix, slices, words_of
+from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -131,7 +131,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
     own = own.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     picked = texts.join(F.broadcast(own), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"))
-    table = picked.mapInArrow(_training, "features binary, toxic long, key long").orderBy("key", "features").toArrow()
+    table = map_texts(picked, _training, "features binary, toxic long, key long").orderBy("key", "features").toArrow()
     rows = [np.frombuffer(f, np.int32) for f in table.column("features").to_pylist()]
     return fit(rows, table.column("toxic").to_numpy().clip(0, 1))
 
@@ -159,5 +159,5 @@ def score_toxicity(documents: DataFrame, labels: DataFrame | None = None, weight
     Other columns are never read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels) if weights is None else weights)  # of fixed size
-    found = documents.select("doc_id", "text").mapInArrow(partial(_score, weights=shared), "doc_id long, score double")
+    found = map_texts(documents.select("doc_id", "text"), partial(_score, weights=shared), "doc_id long, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
