@@ -70,20 +70,20 @@ def mix(documents: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES, seed: str
 
 
 def _apply(sized: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
-    rates = rates.withColumnRenamed("source", "_source")
+    rates = rates.withColumnRenamed("source", "__mix_source")
     if rates.count() <= MOST_BROADCAST:
-        joined = sized.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("_source")))
+        joined = sized.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__mix_source")))
     else:
-        salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
-        each = rates.withColumn("_each", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(each, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_each"))).drop("_salt", "_each")
+        salted = sized.withColumn("__mix_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
+        each = rates.withColumn("__mix_each", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(each, F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_salt") == F.col("__mix_each"))).drop("__mix_salt", "__mix_each")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
     draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).drop("_source")
+    return joined.withColumn("copies", copies.cast("long")).drop("__mix_source")
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """Each row of a mix as often as it takes it."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    return mixed.where("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__mix_copy")

@@ -239,5 +239,5 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     known = scratch.save(known, "known")
     scratch.drop(shared, met, sets, heads, member)
     out = signed.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
