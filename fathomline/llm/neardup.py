@@ -201,7 +201,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     best = best.groupBy("doc").agg(F.max(F.struct("times", -F.col("leader"), "size")).alias("b")).select("doc", (-F.col("b.col2")).alias("leader"), F.ceil(F.col("b.size") / BLOCK).alias("blocks"))
     first = best.select(F.col("leader").alias("fam"), _block("doc", "blocks").alias("bx"), F.lit(-1).cast("long").alias("by"), F.col("doc").alias("x"), F.array("leader").alias("ys"))
     links = scratch.save(confirm(scratch.save(first, "first"), sets), "links")
-    labels = connected_components(links, scratch)
+    labels = connected_components(links, scratch, small=0)  # alike at every size
 
     # buckets with several components
     member = shared.join(labels.withColumnRenamed("vertex", "doc"), "doc", "left").select("band", "value", "doc", "size", F.coalesce("component", "doc").alias("component"))
@@ -220,7 +220,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     found = scratch.save(found, "found")
 
     # those estimated close enough, in families of documents that hang together
-    family = connected_components(found.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch)
+    family = connected_components(found.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch, small=0)
     family = family.join(family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "component")
     family = scratch.save(family.select(F.col("vertex"), F.col("component").alias("fam"), _block("vertex", "blocks").alias("b")), "family")
     fx = family.select(F.col("vertex").alias("x"), "fam", F.col("b").alias("bx"))
@@ -232,7 +232,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     side = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(c))
     joins = more.join(to.select(F.col("vertex").alias("src"), F.struct("component").alias("s")), "src", "left").join(to.select(F.col("vertex").alias("dst"), F.struct("component").alias("d")), "dst", "left")
     joins = joins.select(F.coalesce("s.component", "src").alias("src"), F.coalesce("d.component", "dst").alias("dst"))
-    upper = connected_components(joins.union(labels.select(F.col("component"), F.col("component"))), scratch)
+    upper = connected_components(joins.union(labels.select(F.col("component"), F.col("component"))), scratch, small=0)
     label = labels.join(upper.select(F.col("vertex").alias("component"), F.col("component").alias("final")), "component", "left").select(F.col("vertex").alias("doc"), F.coalesce("final", "component").alias("component"))
     label = label.union(upper.join(labels, "vertex", "left_anti").select("vertex", "component")).distinct()
     known = classes.join(label, "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component"))
