@@ -92,7 +92,7 @@ def rewrite_closure(accessors: DataFrame, calls: DataFrame, targets: DataFrame,
         found = callers.union(siblings).groupBy("fid").agg(F.min("reason").alias("reason"))
         fresh = scratch.save(found.join(seen, "fid", "left_anti"), "fresh")
         new = fresh.select("fid")
-        seen = scratch.save(seen.union(new), "rewritten")
+        seen = scratch.grow(seen, new, "rewritten")
         reasons = reasons.union(fresh)
     return reasons
 
@@ -128,7 +128,7 @@ def simple_sources(slots: DataFrame, sources: DataFrame, flows: DataFrame, scrat
         last = new = scratch.save(step.join(seen, ["site", "node"], "left_anti"), "new")
         if new.isEmpty():
             break
-        seen = scratch.save(seen.union(new), "walk")
+        seen = scratch.grow(seen, new, "walk")
     odd = seen.join(back.where("not plain").select("node").distinct(), "node", "left_semi").select("site")
     ends = seen.join(back.select("node").distinct(), "node", "left_anti").join(sources.select("node").distinct(), "node", "left_anti").select("site")
     deep = last.join(back, "node", "left_semi").select("site") if last is not None else odd.limit(0)

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch
 
 
+#: Times that a graph is trimmed; long chains would need as many as they are long.
+TRIMS = 4
+
+
 def transitive_closure(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """All (src, dst) with a path of one edge or more, by squaring.
 
@@ -43,21 +47,20 @@ def reachable(edges: DataFrame, start: DataFrame, scratch: Scratch, key: str = "
     while not new.isEmpty():
         found = new.join(steps, "node").select("origin", F.col("dst").alias("node")).distinct()
         new = scratch.save(found.join(seen, ["origin", "node"], "left_anti"), "new")
-        seen = scratch.save(seen.union(new), "seen")
+        seen = scratch.grow(seen, new, "seen")
     return seen
 
 
 def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component, size): component is the least node on common cycles, itself if on none.
 
-    Nodes that cannot lie on a cycle are trimmed from both sides first; the closure is
-    taken of the core alone.
+    Nodes that cannot lie on a cycle are trimmed from both sides a few times first; the
+    closure is taken of the core alone.
     """
     plain = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     nodes = plain.select(F.col("src").alias("node")).union(plain.select("dst")).distinct()
-    core, size = plain, -1
-    while (now := core.count()) != size:
-        size = now
+    core = plain
+    for _ in range(TRIMS):
         sources, targets = core.select(F.col("src").alias("n")), core.select(F.col("dst").alias("n"))
         core = scratch.save(core.join(targets.distinct(), core.src == F.col("n"), "left_semi").join(sources.distinct(), core.dst == F.col("n"), "left_semi"), "core")
     reach = transitive_closure(core, scratch)
@@ -95,7 +98,7 @@ def _walk(start: DataFrame, steps: DataFrame, scratch: Scratch) -> DataFrame:
         found = new.join(edges, ["func", "node"]).where("out is null or dst <> out").select("func", F.col("dst").alias("node"), "out").distinct()
         again = (found.func == F.col("s.func")) & (found.node == F.col("s.node")) & found.out.eqNullSafe(F.col("s.out"))
         new = scratch.save(found.join(seen.alias("s"), again, "left_anti"), "new")
-        seen = scratch.save(seen.union(new), "walked")
+        seen = scratch.grow(seen, new, "walked")
     return seen
 
 
@@ -112,7 +115,7 @@ def may_write_after(cfg: DataFrame, writes: DataFrame, scratch: Scratch) -> Data
     while not new.isEmpty():
         up = steps.join(new.withColumnRenamed("boundary", "dst"), ["func", "dst"]).select("func", F.col("src").alias("boundary"), "gvar").distinct()
         new = scratch.save(up.join(seen, ["func", "boundary", "gvar"], "left_anti"), "new")
-        seen = scratch.save(seen.union(new), "after")
+        seen = scratch.grow(seen, new, "after")
     return seen
 
 
@@ -128,5 +131,5 @@ def shortest_witness(edges: DataFrame, start: DataFrame, goal: DataFrame, scratc
         found = found.select("origin", F.col("to").alias("node"), F.lit(depth).cast("long").alias("depth"), "parent")
         fresh = found if seen is None else found.join(seen, ["origin", "node"], "left_anti")
         new = scratch.save(fresh.select("origin", "node", "depth", "parent"), "new")
-        seen = new if seen is None else scratch.save(seen.union(new), "seen")
+        seen = new if seen is None else scratch.grow(seen, new, "seen")
     return seen.join(goal.select("node").distinct(), "node", "left_semi").select("origin", "node", "depth", "parent")

@@ -105,7 +105,7 @@ def storage_roots(edge_table: DataFrame, scratch) -> DataFrame:
     while not new.isEmpty():
         found = new.join(flow, "node").select(F.col("dst").alias("node"), "root").distinct()
         new = scratch.save(found.join(seen, ["node", "root"], "left_anti"), "new")
-        seen = scratch.save(seen.union(new), "roots")
+        seen = scratch.grow(seen, new, "roots")
     # what any other producer reaches is open
     heads = flow.select("node").distinct().join(plain.where("kind <> 'store'").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
     opened = plain.where("kind in ('load') or kind = 'addr_of' and src like 'obj:function:%'").select(F.col("dst").alias("node")).union(heads).distinct()
@@ -113,7 +113,7 @@ def storage_roots(edge_table: DataFrame, scratch) -> DataFrame:
     while not fresh.isEmpty():
         found = fresh.join(flow, "node").select(F.col("dst").alias("node")).distinct()
         fresh = scratch.save(found.join(bad, "node", "left_anti"), "fresh")
-        bad = scratch.save(bad.union(fresh), "open")
+        bad = scratch.grow(bad, fresh, "open")
     one = seen.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("n")).where("n = 1")
     return one.join(bad, "node", "left_anti").select("node", "root")
 

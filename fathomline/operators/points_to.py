@@ -69,7 +69,7 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
             if targets is not None:
                 hit = hit.join(targets, ["site", "fid"], "left_anti")
             hit = scratch.save(hit, "hit")
-            targets = hit if targets is None else scratch.save(targets.union(hit), "targets")
+            targets = hit if targets is None else scratch.grow(targets, hit, "targets")
             grown = grown.union(bindings(hit).select("src", "dst"))
         if fields:
             # a new cell of an object is one with each unknown cell of that object
@@ -78,7 +78,7 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
             alias = new.join(every, "root").where((F.col("cell") != F.col("other")) & ((F.col("cell") % CELL == UNKNOWN) | (F.col("other") % CELL == UNKNOWN)))
             grown = grown.union(alias.select("cell", "other")).union(alias.select("other", "cell"))
         grown = scratch.save(grown.where("src <> dst").distinct().join(copies, ["src", "dst"], "left_anti"), "grown")
-        wider = scratch.save(copies.union(grown), "copies")
+        wider = scratch.grow(copies, grown, "copies")
         by = lambda d: d.select(F.col("src").alias("node"), "dst")
         found = delta.join(by(wider), "node").select(F.col("dst").alias("node"), "obj")
         found = found.union(pts.join(by(grown), "node").select(F.col("dst").alias("node"), "obj"))
@@ -89,7 +89,7 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
         delta = scratch.save(found.distinct().join(pts, ["node", "obj"], "left_anti"), "delta")
         if delta.isEmpty():
             return pts.where(F.col("node") < HUB), targets
-        pts, copies = scratch.save(pts.union(delta), "pts"), wider
+        pts, copies = scratch.grow(pts, delta, "pts"), wider
     raise RuntimeError(f"no fixpoint in {limit} rounds")
 
 
@@ -162,6 +162,6 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
         keep = step.where(F.abs(F.element_at("stack", 1)) <= MOST_OFFSET).distinct()
         new = keep.join(seen, ["origin", "node", "stack"], "left_anti").join(over, "origin", "left_anti")
         new = scratch.save(new, "new")
-        seen = scratch.save(seen.union(new), "states")
+        seen = scratch.grow(seen, new, "states")
         over = scratch.save(seen.groupBy("origin").count().where(F.col("count") > limit).select("origin"), "over")
     return seen.select("origin", "node").distinct(), over

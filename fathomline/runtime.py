@@ -42,6 +42,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        self.grown: dict[str, int] = {}
 
     def path(self, label: str) -> str:
         self.count += 1
@@ -54,6 +55,13 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def grow(self, seen: DataFrame, new: DataFrame, label: str) -> DataFrame:
+        """``seen`` and ``new``, both materialised, as one table; written anew every few rounds
+        only, so that a round costs one write and plans stay short."""
+        self.grown[label] = self.grown.get(label, 0) + 1
+        both = seen.union(new)
+        return self.save(both, label) if self.grown[label] % 8 == 0 else both
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := self.paths.pop(id(df), None):
