@@ -45,14 +45,14 @@ def collapse(rows: DataFrame, by: list[str], item: str, most: int, sample: int =
 
 
 def nearest_rank(rows: DataFrame, value: str, shares: dict[str, int]) -> DataFrame:
-    """One row with the values at index floor((n - 1) * share / 100) of the sorted values, per name.
+    """One row with the values at index ceil((n - 1) * share / 100) of the sorted values, per name.
 
     Values are counted first, so the ranks come from a running sum over distinct values.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
     run = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(W.partitionBy()))
-    pick = lambda s: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * s / 100), F.col(value)))
+    pick = lambda s: F.min(F.when(F.col("upto") > F.ceil((F.col("n") - 1) * s / 100), F.col(value)))
     return ranked.agg(*[pick(s).alias(name) for name, s in shares.items()])
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import signatures_fit
 from ..runtime import Scratch
 from .components import connected_components
+from .graph import reachable
 
 #: A cell is its object times CELL plus an offset; UNKNOWN is the offset that may be any.
 CELL = 4096
@@ -129,6 +130,10 @@ def solve_unification(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return own.join(star, "node").select("node", "class", "star")
 
 
+def over_none(start: DataFrame) -> DataFrame:
+    return start.select("origin").limit(0)
+
+
 def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: int = 3, limit: int = 25_000) -> tuple[DataFrame, DataFrame]:
     """Where each origin object's address may flow, on demand, with a stack of offsets.
 
@@ -137,7 +142,8 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
     address reaches both, so (origin, node, stack) steps over (store, load) pairs of one
     object.  Returns ((origin, node), origins that went over ``limit`` states and whose
     answer must fall back to a solver's).  Stacks deeper than ``depth`` are cut to it,
-    which only widens the answer.
+    which only widens the answer; at depth 0 there is no stack and the answer is that of
+    the inclusion-based solver, objects' memory included.
     """
     plain = scratch.save(edges.select("kind", "src", "dst", "off").distinct(), "walk-edges")
     memory, _ = solve_inclusion(plain, scratch)
@@ -152,6 +158,10 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
     start = origins.join(plain.where("kind = 'addr_of'"), origins.origin == F.col("src")).select("origin", F.col("dst").alias("node"), F.array(F.lit(0).cast("long")).alias("stack"))
     seen = new = scratch.save(start.distinct(), "states")
     over = scratch.save(seen.select("origin").limit(0), "over")
+    if not depth:
+        onward = flat.select("node", "to").union(push).union(pop).union(pair).distinct()
+        onward = scratch.save(onward.select(F.col("node").alias("src"), F.col("to").alias("dst")), "onward")
+        return reachable(onward, start.select("origin", "node"), scratch), over_none(start)
     cut = lambda s: F.slice(s, 1, depth)
     while not new.isEmpty():
         top = F.element_at("stack", 1)

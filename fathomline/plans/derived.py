@@ -428,7 +428,7 @@ def ag1_histogram(v, scratch):
     return v("pv_modref").groupBy("access").agg(F.count("*").alias("n"), F.countDistinct("func").alias("functions"), F.countDistinct("gvar").alias("globals"))
 
 
-@query(", s AS (SELECT count(*) AS x FROM {pv_modref} GROUP BY func), r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM s) SELECT max(CASE WHEN i = (n - 1) * 50 // 100 THEN x END) AS p50, max(CASE WHEN i = (n - 1) * 95 // 100 THEN x END) AS p95, max(x) AS most FROM r")
+@query(", s AS (SELECT count(*) AS x FROM {pv_modref} GROUP BY func), r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM s) SELECT max(CASE WHEN i = ((n - 1) * 50 + 99) // 100 THEN x END) AS p50, max(CASE WHEN i = ((n - 1) * 95 + 99) // 100 THEN x END) AS p95, max(x) AS most FROM r")
 def ag2_percentiles(v, scratch):
     """Nearest-rank percentiles of how many accesses functions have (AG2)."""
     return D.nearest_rank(v("pv_modref").groupBy("func").agg(F.count("*").alias("x")), "x", {"p50": 50, "p95": 95, "most": 100})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ def query(sql: str | None = None, recursive: bool = False, plain: bool = False):
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: view(spark, sf_dir, name), Scratch(spark, f.__name__))
+            views = partial(view, spark, sf_dir)
+            views.sf_dir = sf_dir
+            return f(views, Scratch(spark, f.__name__))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
