@@ -23,7 +23,7 @@ class WordIds:
     ``strip`` parts a closing full stop or comma from a word that ends in a letter,
     where the tokenizer does so as well."""
 
-    def __init__(self, encode, most: int = 1_000_000, strip: bool = True):
+    def __init__(self, encode, most: int = 700_000, strip: bool = True):
         self.encode, self.most, self.strip = encode, most, strip
         self.clear()
         self.marks = {c: np.array(encode([chr(c)])[0], np.int32) for c in b".,"} if strip else {}
