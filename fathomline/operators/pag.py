@@ -76,7 +76,7 @@ def seeds(stmts: DataFrame, functions: DataFrame, contracts: DataFrame) -> DataF
     return union_all([exported, imported, external, *casts, odd]).where("node is not null").distinct()
 
 
-def nodes(edge_table: DataFrame) -> DataFrame:
+def nodes(edge_table: DataFrame, scratch) -> DataFrame:
     """(id, key, kind): each node once, numbered in the order of keys.
 
     Numbers are ranks within ranges of keys plus what the ranges before hold.
@@ -85,7 +85,7 @@ def nodes(edge_table: DataFrame) -> DataFrame:
 
     keys = edge_table.select(F.col("src").alias("key")).union(edge_table.select("dst")).distinct()
     kind = F.when(F.col("key").startswith("obj:"), F.element_at(F.split("key", ":"), 2)).otherwise(F.element_at(F.split("key", ":"), 1))
-    parts = keys.repartitionByRange(16, "key").withColumn("part", F.spark_partition_id())
+    parts = scratch.save(keys.repartitionByRange(16, "key").withColumn("part", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select("part", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("part").orderBy("key")) - 1 + F.col("before")

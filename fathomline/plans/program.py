@@ -122,7 +122,7 @@ def pag2_edges(v, scratch):
 @query(f", e AS ({EDGES}) SELECT row_number() OVER (ORDER BY key) - 1 AS id, key, CASE WHEN starts_with(key, 'obj:') THEN split_part(key, ':', 2) ELSE split_part(key, ':', 1) END AS kind FROM (SELECT src AS key FROM e UNION SELECT dst FROM e)")
 def pag3_nodes(v, scratch):
     """Each node once, with a dense number in the order of keys (PAG3)."""
-    return pag.nodes(_pag(v, scratch))
+    return pag.nodes(_pag(v, scratch), scratch)
 
 
 @query(f", e AS ({EDGES}) SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY kind")
@@ -192,7 +192,7 @@ def pag16_validation(v, scratch):
     """Broken rules of a graph in which some moves were relabelled as addresses (PAG16)."""
     edges = _pag(v, scratch)
     broken = edges.withColumn("kind", F.when(F.col("off") == 80, "addr_of").otherwise(F.col("kind")))
-    return pag.issues(broken, pag.nodes(edges)).groupBy("issue").agg(F.count("*").alias("found"))
+    return pag.issues(broken, pag.nodes(edges, scratch)).groupBy("issue").agg(F.count("*").alias("found"))
 
 
 # ---- sinks
