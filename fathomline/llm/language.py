@@ -15,14 +15,15 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .holdout import held_out
+from .holdout import draw, held_out, share
 from .textkernel import U64, mix, map_texts, slices, words_of
 from .toxicity import Ftrl
 
 DIM = 1 << 15
-#: Labelled documents that the weights are fitted to at most, those whose hashed text is least.
+#: Labelled documents that the weights are fitted to at most, those with the least draws.
 SAMPLE = 4000
 EPOCHS = 2
 UNKNOWN = "und"
@@ -135,11 +136,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least mean negative log-likelihood."""
-    if not len(labels):
+    """The temperature with the least mean negative log-likelihood.
+
+    Labels count as right but for one part in their number, or else a sample without an
+    error would ask for certainty.
+    """
+    if not len(labels) or logits.shape[1] < 2:
         return 1.0
+    doubt = 1 / (len(labels) + 2)
+    want = np.full(logits.shape, doubt / (logits.shape[1] - 1))
+    want[np.arange(len(labels)), labels] = 1 - doubt
     grid = np.exp(np.linspace(np.log(0.05), np.log(10), 120))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
+    loss = [-(want * np.log(softmax(logits / t) + 1e-300)).sum(1).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
@@ -194,17 +202,15 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     df[feature[feature >= 0]] = documents_[feature >= 0]
     idf = np.log((n + 1) / (df + 1)) + 1
     # of each language alike, so that rare ones are learnt
-    langs = sorted(r[0] for r in teach.groupBy("lang").count().select("lang").collect())  # as many as languages
+    per = {r[0]: r[1] for r in teach.groupBy("lang").count().collect()}  # as many as languages
+    langs = sorted(per)
     if not langs:
         return Model([UNKNOWN], np.zeros((DIM, 1)), np.zeros(1), 1.0)
-    keyed = teach.select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
-    share = max(sample // len(langs), 50)
-    picked = None
-    for x in langs:
-        own = keyed.where(F.col("lang") == x).select("lang", "key").orderBy("key").limit(share)
-        picked = own if picked is None else picked.union(own)
-    picked = picked.dropDuplicates(["lang", "key"])
-    rows = keyed.join(F.broadcast(picked), ["lang", "key"]).dropDuplicates(["lang", "key"])  # of at most ``sample`` rows
+    most = max(sample // len(langs), 50)
+    bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, share(most, per[lang]))])
+    rows = teach.select("text", "lang", draw("doc_id", "text").alias("key")).where(F.col("key") < bound[F.col("lang")])
+    # a little over ``most`` rows of each language are left to rank
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= most)
     table = map_texts(rows.select("text", "lang", "key"), _training, "features binary, counts binary, lang string, key long").orderBy("key", "lang").toArrow()
     data = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     labels = np.array([langs.index(x) for x in table.column("lang").to_pylist()], int)

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .holdout import draw, share
 from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 KINDS = ("assign", "access", "hex")
@@ -259,14 +260,24 @@ def _training(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.binary()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["secret", "features", "kind", "tags"])
 
 
+def _thinned(texts: DataFrame, which: F.Column, total: int, sample: int) -> DataFrame:
+    """At most ``sample`` of the ``total`` texts for which ``which`` holds, those with the least draws.
+
+    Draws come first, so that the patterns look at few texts.
+    """
+    drawn = texts.withColumn("key", draw("doc_id", "text")).where(F.col("key") < share(sample, total))
+    return drawn.where(which).orderBy("key").limit(sample)
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted to at most ``sample`` documents with a secret of the fixed patterns and
-    as many without, those whose hashed text is least, each cut to TRAIN_TOKENS tokens."""
+    as many without, those with the least draws, each cut to TRAIN_TOKENS tokens."""
     may = F.lit(False)
     for p in MAY:
         may = may | F.coalesce(F.col("text").rlike(p), F.lit(False))
-    keyed = documents.select("text", may.alias("may"), F.xxhash64("text").alias("key"))
-    picked = keyed.where("may").orderBy("key").limit(sample).union(keyed.where("not may and text is not null").orderBy("key").limit(sample))
+    texts = documents.where("text is not null").select("doc_id", "text")
+    row = texts.agg(F.coalesce(F.sum(may.cast("long")), F.lit(0)), F.count("*")).first()
+    picked = _thinned(texts, may, row[0], sample).union(_thinned(texts, ~may, row[1] - row[0], sample))
     table = map_texts(picked.select("text"), _training, "secret boolean, features binary, kind long, tags binary").toArrow()
     width = 7
     rows = [(np.frombuffer(f, np.int32).reshape(-1, width), k, np.frombuffer(t, np.int8).astype(int)) for f, k, t in zip(*(table.column(c).to_pylist() for c in ("features", "kind", "tags")), strict=True)]

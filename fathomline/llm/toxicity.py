@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .holdout import held_out
+from .holdout import bounded, held_out
 from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 BITS = 18
 PREFIXES = (4, 5, 6)
-#: Labelled documents that the classifier is fitted to at most, those whose hashed text is least.
+#: Labelled documents that the classifier is fitted to at most, those with the least draws.
 SAMPLE = 20_000
 EPOCHS = 4
 #: Weight of the squared change of score under a swap.
@@ -128,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
     """Weights fitted to at most ``sample`` labelled documents that are not held out."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     # the sample is chosen by ids alone, so that few texts meet their labels
-    own = own.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    own = bounded(own.where(~held_out()), sample, "doc_id").drop("key")
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     picked = texts.join(F.broadcast(own), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"))
     table = map_texts(picked, _training, "features binary, toxic long, key long").orderBy("key", "features").toArrow()
