@@ -140,4 +140,4 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     No rows give no rows; other columns are ignored.
     """
     work = partial(_pack, path=tokenizer_path, window=window, end_id=end_id)
-    return map_texts(documents.select("doc_id", "text"), work, SCHEMA)
+    return map_texts(documents.select("doc_id", "text"), work, SCHEMA, vocabulary=True)

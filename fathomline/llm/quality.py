@@ -139,9 +139,9 @@ def rate_quality(documents: DataFrame, model_path: str) -> DataFrame:
     an id or a text, and null ids, are rated each.  No rows give none, and other columns
     are ignored.
     """
-    return map_texts(documents.select("doc_id", "text"), partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}")
+    return map_texts(documents.select("doc_id", "text"), partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}", vocabulary=True)
 
 
 def keep_good(documents: DataFrame, model_path: str) -> DataFrame:
     """The rows of ``documents`` that ``rate_quality`` keeps, with all their columns."""
-    return map_texts(documents, partial(_work, path=model_path, keep_only=True), documents.schema)
+    return map_texts(documents, partial(_work, path=model_path, keep_only=True), documents.schema, vocabulary=True)

@@ -6,7 +6,10 @@ identified by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +128,25 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         at = end
 
 
-def map_texts(df, work, schema):
+def _lean(batches, work, vocabulary: bool):
+    """``work`` in a worker that keeps little between tasks: Arrow's buffers go back to the
+    system, and a vocabulary that an earlier operator left is dropped."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens and not vocabulary:
+        tokens.word_ids.cache_clear()
+    yield from work(batches)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_texts(df, work, schema, vocabulary: bool = False):
     """``df.mapInArrow`` in batches that stay small with texts in them, on both sides of the pipe."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(partial(_lean, work=work, vocabulary=vocabulary), schema)
 
 
 def words_of(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
