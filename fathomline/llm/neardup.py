@@ -83,7 +83,7 @@ def _where(ids: np.ndarray, bits: int) -> np.ndarray:
 def _wanted(df: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
     """A bitmap over hashed ``doc`` of df, of a size that follows their number up to MOST_BITS."""
     n = max(df.count(), 1)
-    bits = min(MOST_BITS, 1 << (8 * n - 1).bit_length())
+    bits = min(MOST_BITS, 1 << (16 * n - 1).bit_length())
 
     def mark(batches):
         for b in batches:
@@ -194,7 +194,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = scratch.save(rows.join(scratch.save(buckets, "buckets"), ["band", "value"]), "shared")
 
     met = scratch.save(shared.select("doc").distinct(), "met")
-    sets = scratch.save(_sets_of(documents, *_wanted(met, scratch)).join(met, "doc", "left_semi").dropDuplicates(["doc"]), "sets")
+    # the bitmap lets a few more pass, which costs less than a shuffle of all sets to drop them
+    sets = scratch.save(_sets_of(documents, *_wanted(met, scratch)), "sets")
 
     # each document with the leader it shares most buckets with
     best = shared.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.max("size").alias("size"))
