@@ -206,7 +206,6 @@ SENSITIVE = PTS.replace("SCALE", "4096").replace("COPIES", "'assign'").replace("
 OTHER = ", " + INSENSITIVE.replace("MORE", "").split(",\n", 2)[2].replace("t(tag", "u(tag").replace("recurring.t ", "recurring.u ").replace("FROM t ", "FROM u ").replace("JOIN t ", "JOIN u ")
 #: Whether an indirect call's signature fits a function's (PR1), in SQL.
 FITS = "i.cc = f.cc AND (i.ret = f.ret OR i.ret = 'V' OR f.ret = 'V') AND starts_with(i.params, f.params)"
-BIND = """, (i.site * 17 + k.k) % n.n AS src, (f.fid * 3 + k.k * 7) % n.n AS dst"""
 JOINT = INSENSITIVE.replace(
     "MORE",
     f"""UNION SELECT 2, i.site, f.fid FROM t p JOIN {{pv_icall}} i ON i.operand = p.a JOIN {{pv_func}} f ON f.address_taken AND f.fid = p.b - 1000000 AND f.fid % 5 = 0 AND {FITS} WHERE p.tag = 0
