@@ -230,7 +230,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     more = scratch.save(confirm(scratch.save(second, "second"), sets), "more")
     # components of components
     to = labels.select(F.col("vertex"), "component")
-    side = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(c))
     joins = more.join(to.select(F.col("vertex").alias("src"), F.struct("component").alias("s")), "src", "left").join(to.select(F.col("vertex").alias("dst"), F.struct("component").alias("d")), "dst", "left")
     joins = joins.select(F.coalesce("s.component", "src").alias("src"), F.coalesce("d.component", "dst").alias("dst"))
     upper = connected_components(joins.union(labels.select(F.col("component"), F.col("component"))), scratch, small=0)
