@@ -2,7 +2,8 @@
 
 Fertility asks how a public vocabulary takes a text: characters per token, the share
 of tokens that are bytes the vocabulary has no piece for, and the entropy of the
-tokens.  Each measure has a band per script; a text outside a band is rejected.
+tokens.  Each measure has a band per script and, for Latin, per number of tokens; a text
+outside a band is rejected.
 """
 
 from __future__ import annotations
@@ -22,12 +23,18 @@ REPEAT_WINDOW = 5
 #: Least and most characters per token, most byte share, least entropy (bits per token
 #: over those of FULL or, if fewer, as many different tokens), by script.  Fixed values.
 BANDS = {
-    "latin": (1.2, 12.0, 0.10, 0.56),
+    "latin": (1.2, 12.0, 0.10, 0.632),
     "cyrillic": (0.8, 12.0, 0.20, 0.50),
     "cjk": (0.3, 4.0, 0.60, 0.45),
     "other": (0.2, 12.0, 0.90, 0.40),
 }
 SCRIPTS = tuple(BANDS)
+#: Latin floors of characters per token and entropy rise and fall with a text's length, so
+#: they stand per number of tokens: below SIZES[0], from there to SIZES[1], and so on.  Each
+#: lies just under the least of the documents labelled good on sf 0.1 and check_s.
+SIZES = (100, 200, 400, 800, 1600, 3200)
+LOW = np.array([1.2, 1.6, 1.65, 1.77, 1.81, 1.88, 1.9])
+ENTROPY = np.array([0.78, 0.745, 0.705, 0.648, 0.632, 0.645, 0.658])
 #: Different tokens beyond which more do not count against a text's entropy.
 FULL = 1024
 #: Texts with fewer tokens have too little to measure and pass.
@@ -90,6 +97,8 @@ def fertility(words: Words, ids: np.ndarray, size: np.ndarray, is_byte: np.ndarr
 
 def passes(kind: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
     low, high, byte, entropy = np.array([BANDS[s] for s in SCRIPTS])[kind].T
+    latin, size = kind == SCRIPTS.index("latin"), np.digitize(f["n_tokens"], SIZES)
+    low, entropy = np.where(latin, LOW[size], low), np.where(latin, ENTROPY[size], entropy)
     inside = (f["chars_per_token"] >= low) & (f["chars_per_token"] <= high) & (f["byte_share"] <= byte) & (f["entropy"] >= entropy)
     return inside | (f["n_tokens"] < LEAST_TOKENS)
 
@@ -134,7 +143,7 @@ def rate_quality(documents: DataFrame, model_path: str) -> DataFrame:
 
     Words are runs of characters but white space (space, U+0009 to U+000D).  base_failed
     is n_words < 10 or 100 * n_repeat_words > 20 * n_words.  kept is false if it is, and
-    else whether the fertility is inside the script's bands.  A null text counts as
+    else whether the fertility is inside the bands of its script and size.  A null text counts as
     empty (no words, so it fails); measures without tokens are null.  Rows that repeat
     an id or a text, and null ids, are rated each.  No rows give none, and other columns
     are ignored.

@@ -74,6 +74,13 @@ def test_quality_keeps_columns_and_good_documents(spark):
     assert quality.keep_good(odd(spark), PIECES).columns == odd(spark).columns
 
 
+def test_bands_alone_reject_bad_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    bad = docs.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 0"), "doc_id", "left_semi")
+    passed = quality.rate_quality(bad, PIECES).where("not base_failed")
+    assert passed.where("not kept").count() > 0.8 * passed.count() > 0
+
+
 def test_fertility_of_one_text():
     encode, is_byte = quality.word_ids("pieces", PIECES), quality._byte_pieces(PIECES)
     found = quality.measure(pa.RecordBatch.from_pydict({"text": pa.array(["the cat and the dog", "ᚠᚡᚢ ᚣ", None])}), encode, is_byte)
