@@ -26,6 +26,8 @@ CELL = 4096
 UNKNOWN = CELL - 1
 #: Offsets beyond it are unknown, so the cells of an object are few and solving ends.
 MOST_OFFSET = 64
+#: What stands for an unknown offset in the walk's stacks.
+ANYWHERE = 1 << 40
 HUB = 1 << 50
 
 
@@ -141,8 +143,9 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
     same memory pops it, a move shifts the top.  Addresses alias when an object's
     address reaches both, so (origin, node, stack) steps over (store, load) pairs of one
     object.  Returns ((origin, node), origins that went over ``limit`` states and whose
-    answer must fall back to a solver's).  Stacks deeper than ``depth`` are cut to it,
-    which only widens the answer; at depth 0 there is no stack and the answer is that of
+    answer must fall back to a solver's).  Stacks deeper than ``depth`` are cut to it, and
+    an offset that is null or beyond MOST_OFFSET is unknown from there on, which only
+    widens the answer; at depth 0 there is no stack and the answer is that of
     the inclusion-based solver, objects' memory included.
     """
     plain = scratch.save(edges.select("kind", "src", "dst", "off").distinct(), "walk-edges")
@@ -154,7 +157,7 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
     pop = scratch.save(out.where("kind = 'load'").select(F.col("obj").alias("node"), F.col("dst").alias("to")).distinct(), "pop")
     pair = plain.where("kind = 'memcpy'").join(memory.select(F.col("node").alias("src"), F.col("obj").alias("o")), "src").join(memory.select(F.col("node").alias("dst"), F.col("obj").alias("to")), "dst")
     pair = scratch.save(pair.select(F.col("o").alias("node"), "to").distinct(), "pair")
-    flat = scratch.save(plain.where("kind in ('assign', 'gep')").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.coalesce("off", F.lit(0)).alias("off")), "flat")
+    flat = scratch.save(plain.where("kind in ('assign', 'gep')").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.when(F.col("kind") == "gep", F.coalesce("off", F.lit(ANYWHERE))).otherwise(0).alias("off")), "flat")
     start = origins.join(plain.where("kind = 'addr_of'"), origins.origin == F.col("src")).select("origin", F.col("dst").alias("node"), F.array(F.lit(0).cast("long")).alias("stack"))
     seen = new = scratch.save(start.distinct(), "states")
     over = scratch.save(seen.select("origin").limit(0), "over")
@@ -164,13 +167,14 @@ def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: i
         return reachable(onward, start.select("origin", "node"), scratch), over_none(start)
     cut = lambda s: F.slice(s, 1, depth)
     while not new.isEmpty():
-        top = F.element_at("stack", 1)
-        step = new.join(flat, "node").select("origin", F.col("to").alias("node"), F.concat(F.array(top + F.col("off")), F.slice("stack", 2, depth)).alias("stack"))
+        moved = F.element_at("stack", 1) + F.col("off")
+        top = F.when(F.abs(moved) > MOST_OFFSET, ANYWHERE).otherwise(moved)
+        top = F.when(F.element_at("stack", 1) == ANYWHERE, ANYWHERE).otherwise(top)
+        step = new.join(flat, "node").select("origin", F.col("to").alias("node"), F.concat(F.array(top.cast("long")), F.slice("stack", 2, depth)).alias("stack"))
         step = step.union(new.join(push, "node").select("origin", "to", cut(F.concat(F.array(F.lit(0).cast("long")), "stack"))))
         step = step.union(new.join(pop, "node").select("origin", "to", F.when(F.size("stack") > 1, F.slice("stack", 2, depth)).otherwise(F.col("stack"))))
         step = step.union(new.join(pair, "node").select("origin", "to", "stack"))
-        keep = step.where(F.abs(F.element_at("stack", 1)) <= MOST_OFFSET).distinct()
-        new = keep.join(seen, ["origin", "node", "stack"], "left_anti").join(over, "origin", "left_anti")
+        new = step.distinct().join(seen, ["origin", "node", "stack"], "left_anti").join(over, "origin", "left_anti")
         new = scratch.save(new, "new")
         seen = scratch.grow(seen, new, "states")
         over = scratch.save(seen.groupBy("origin").count().where(F.col("count") > limit).select("origin"), "over")

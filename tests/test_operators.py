@@ -191,6 +191,14 @@ def test_offset_stack_tells_fields_apart(spark, scratch):
     assert {1, 4} <= nodes and 5 not in nodes and over.count() == 0
 
 
+def test_walk_goes_on_beyond_the_largest_offset(spark, scratch):
+    """Moved by 72 bytes, by an unknown number or round a cycle, an address is still followed."""
+    edges = [("addr_of", 100, 1, None), ("gep", 1, 2, 24), ("gep", 2, 3, 24), ("gep", 3, 4, 24), ("assign", 4, 5, None), ("gep", 5, 6, -200), ("gep", 6, 6, 8), ("gep", 1, 7, None), ("addr_of", 200, 8, None), ("store", 6, 8, None), ("load", 8, 9, None)]
+    df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
+    found, over = points_to.callee_walk(df, spark.createDataFrame([(100,)], "origin long"), scratch)
+    assert {1, 2, 3, 4, 5, 6, 7, 9} <= {r.node for r in found.collect()} and over.count() == 0
+
+
 # ---- predicates
 
 
