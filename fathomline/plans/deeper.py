@@ -55,8 +55,8 @@ def gr8_directional_slice(v, scratch):
 def gr11_walk_with_fallback(v, scratch):
     """The walk with offsets, where functions over the limit take the solver's answer (GR11)."""
     edges = _edges(v, scratch)
-    origins = scratch.save(v("pv_func").where("address_taken and fid % 20 = 0").select((F.col("fid") + OBJECT).alias("origin")), "origins")
-    found, over = points_to.callee_walk(edges, origins, scratch, limit=50)
+    origins = scratch.save(v("pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("origin")), "origins")
+    found, over = points_to.callee_walk(edges, origins, scratch)
     wide = points_to.solve_inclusion(edges, scratch)[0].select(F.col("obj").alias("origin"), "node").join(over, "origin", "left_semi")
     return found.join(over, "origin", "left_anti").withColumn("fallback", F.lit(False)).union(wide.withColumn("fallback", F.lit(True)))
 

@@ -349,6 +349,6 @@ def x1_narrowing_ledger(v, scratch):
 @query()
 def gr10_callee_walk(v, scratch):
     """Which values a function's address may flow to, on demand, with a stack of offsets (GR9 to GR11)."""
-    origins = v("pv_func").where("address_taken and fid % 100 = 0").select((F.col("fid") + OBJECT).alias("origin"))
+    origins = v("pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("origin"))
     found, over = points_to.callee_walk(_edges(v, scratch), origins, scratch)
     return found.join(over.withColumn("truncated", F.lit(True)), "origin", "left").select("origin", "node", F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -199,6 +199,19 @@ def test_walk_goes_on_beyond_the_largest_offset(spark, scratch):
     assert {1, 2, 3, 4, 5, 6, 7, 9} <= {r.node for r in found.collect()} and over.count() == 0
 
 
+def test_walks_start_from_every_address_taken_function(spark):
+    """Both queries answer for each such function whose address is taken by an edge, multiples of 100 or not."""
+    from fathomline.plans import all_queries
+    from fathomline.plans.views import OBJECT, view
+
+    sf = "/root/testdata/sf0.01"
+    taken = view(spark, sf, "pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("src"))
+    want = {r.src for r in view(spark, sf, "pv_edge").where("kind = 'addr_of'").join(taken, "src").select("src").distinct().collect()}
+    assert len(want) > 1
+    for name in ("gr10_callee_walk", "gr11_walk_with_fallback"):
+        assert {r.origin for r in all_queries.QUERIES[name](spark, sf).select("origin").distinct().collect()} == want
+
+
 # ---- predicates
 
 
