@@ -384,22 +384,30 @@ def find_secrets(documents: DataFrame, field: Field | None = None) -> DataFrame:
     return map_texts(documents.select("doc_id", "text"), partial(_work, field=shared), f"doc_id long, {SCHEMA}")
 
 
+def _union(ranges) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _mask(batches, field, mark):
     for batch in batches:
         for part in slices(batch):
             texts = part.column("text").to_pylist()
             for i, (_, spans) in enumerate(scan(part, field.value)):
-                end = None
-                for s in sorted(spans, key=lambda s: -s["start"]):
-                    a, b = s["start"], min(s["end"], end if end is not None else s["end"])
-                    texts[i] = texts[i][:a] + (mark if b > a else "") + texts[i][max(a, b) :]
-                    end = a
+                for a, b in reversed(_union((s["start"], s["end"]) for s in spans)):
+                    texts[i] = texts[i][:a] + mark + texts[i][b:]
             at = part.schema.get_field_index("text")
             yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
 
 def mask_secrets(documents: DataFrame, field: Field | None = None, mark: str = "<SECRET>") -> DataFrame:
-    """``documents`` with each span that ``find_secrets`` reports replaced by ``mark``."""
+    """``documents`` with what the spans of ``find_secrets`` cover replaced by ``mark``, once for spans that overlap."""
     shared = documents.sparkSession.sparkContext.broadcast(field or train(documents))
     return map_texts(documents, partial(_mask, field=shared, mark=mark), documents.schema)
 

@@ -160,6 +160,13 @@ def test_masking(spark, field):
     assert out == {1: "é <SECRET> end", 2: None}
 
 
+def test_masking_leaves_no_tail_of_nested_spans(spark):
+    texts = [f"x token={'0a' * 20}.REST y", f"api_key=AKIA{'B' * 12}-rest token=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.mask_secrets(docs, secrets.fit([])).collect()}
+    assert out == {0: "x <SECRET> y", 1: "<SECRET> <SECRET>"}
+
+
 def test_secrets_without_any_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "plain words only"), (2, None)], "doc_id long, text string")
     assert all(r.spans == [] for r in secrets.find_secrets(docs).collect())
