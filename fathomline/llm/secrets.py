@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field beside them.
 
-The field tags a text's tokens (its words) as outside, begin or inside of a secret,
-from the token's shape, its neighbours and features of the whole text, and is decoded
-by Viterbi.  Its labels come from the fixed patterns on a bounded sample: a token that
-a pattern's secret covers begins one, and a token that continues it is inside.  What
+The field tags a text's tokens as outside, begin or inside of a secret, from the
+token's shape, its neighbours and features of the whole text, and is decoded by
+Viterbi.  Tokens are prose words, and of other words the runs of letters and digits and
+the signs between them.  Its labels come from the fixed patterns on a bounded sample: a
+token that a pattern's secret covers begins one, and a token that continues it, on the
+next line as well, is inside.  What
 it learns is how secrets look and what stands around them, so it also finds those
 that no pattern names.
 
@@ -42,12 +44,14 @@ DIM = 1 << 15
 #: Documents with and without a secret that the field is fitted to, at most each.
 SAMPLE = 2000
 EPOCHS = 4
-#: Tokens around a secret, that a training text is cut to.
-TRAIN_TOKENS = 48
+#: Tokens of a chain that a training text is cut into, or more up to the end of a secret.
+RUN = 64
+#: Bytes of a token of a word that is not prose, at most.
+PIECE = 16
 #: Least score by which a decoded span beats being outside.
-MARGIN = 6.0
-#: Spans of the field have at least so many characters.
-LEAST = 16
+MARGIN = 3.0
+#: Spans of the field have at least so many characters, as the patterns' have.
+LEAST = 8
 
 
 def base_spans(text: str, may=(True, True, True)) -> list[tuple[int, int, int]]:
@@ -70,9 +74,45 @@ _CLASS[3, [*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 _CLASS[4, list(b"+/_-=")] = True
 _CLASS[5] = ~(_CLASS[0] | _CLASS[1] | _CLASS[2] | _CLASS[4])
 _CLASS[5, 0x80:] = False
+_SOLID = _CLASS[0] | _CLASS[1] | _CLASS[2]
+_SOLID[0x80:] = True
 
 
-def shapes(words: Words) -> dict[str, np.ndarray]:
+class Tokens:
+    """Tokens of some words, with their fields, and a number below 16 per text, ``kind``."""
+
+    def __init__(self, words: Words):
+        data = self.data = words.data
+        self.offsets, self.n = words.offsets, words.n
+        count = lambda flags: (lambda run: run[words.end] - run[words.start])(np.concatenate(([0], np.cumsum(flags, dtype=np.int32))))
+        digit = count(_CLASS[2][data])
+        length = words.end - words.start
+        self.kind = text_features(words, {"digit": digit, "length": length})
+        odd = (digit > 0) | (length > PIECE) | (count((data == 0x3A) | (data == 0x3D)) > 0)
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[words.start[odd]] += 1
+        edge[words.end[odd]] -= 1
+        solid = _SOLID[data]
+        turn = np.ones(len(data), bool)
+        turn[1:] = solid[1:] != solid[:-1]
+        turn[words.start] = True
+        at = np.arange(len(data), dtype=np.int32)
+        far = (at - np.maximum.accumulate(np.where(turn, at, 0))) % PIECE == 0
+        cut = (np.cumsum(edge[:-1], dtype=np.int8) > 0) & (turn | far) & (data & 0xC0 != 0x80)
+        cut[words.start] = False
+        inner = np.flatnonzero(cut)
+        del at, far, cut, turn, edge
+        self.start, self.end = np.union1d(words.start, inner), np.union1d(words.end, inner)
+        self.first = np.searchsorted(self.start, words.offsets)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(self.n), self.count)
+        self.hash = words.hashes(self.start, self.end)
+        # a sign means what it stands behind
+        sign = np.flatnonzero(~solid[self.start[1:]] & (self.doc[1:] == self.doc[:-1])) + 1
+        self.hash[sign] = mix(self.hash[sign] + mix(self.hash[sign - 1]))
+
+
+def shapes(words: Words | Tokens | _Distinct) -> dict[str, np.ndarray]:
     """Per word: its length, its counts by class of character, and its changes of class."""
     data = words.data
     count = lambda flags: (lambda run: run[words.end] - run[words.start])(np.concatenate(([0], np.cumsum(flags, dtype=np.int32))))
@@ -86,8 +126,8 @@ def shapes(words: Words) -> dict[str, np.ndarray]:
     return {"length": length, "lower": lower, "upper": upper, "digit": digit, "hex": hexa, "base": base, "other": other, "changes": changes, "colon": count((data == 0x3A) | (data == 0x3D))}
 
 
-def features(words: Words) -> np.ndarray:
-    """Hashed features of each word as a token: (words, features) of numbers below DIM.
+def features(words: Tokens | _Distinct) -> np.ndarray:
+    """Hashed features of each token: (tokens, features) of numbers below DIM.
 
     Only shape and, for words that look like prose, the word itself without signs: an
     unseen secret has no word of its own.
@@ -170,7 +210,7 @@ def posterior(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(a + b - z[:, None, None]), pair
 
 
-def fit(sample: list[tuple[np.ndarray, int, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.3, size: int = 32) -> Field:
+def fit(sample: list[tuple[np.ndarray, int, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.3, size: int = 128) -> Field:
     """A field for (features, text feature, tags) of token runs, by adaptive gradient ascent on
     the conditional likelihood."""
     field = Field()
@@ -202,7 +242,8 @@ def fit(sample: list[tuple[np.ndarray, int, np.ndarray]], epochs: int = EPOCHS,
             same = doc[1:] == doc[:-1]
             grads = [np.zeros_like(w) for w in weights]
             for into, rows, part in ((grads[0], f, g), (grads[1], f[:-1][same], g[1:][same]), (grads[2], f[1:][same], g[:-1][same])):
-                np.add.at(into, rows.ravel(), np.repeat(part, f.shape[1], axis=0))
+                for k in range(TAGS):
+                    into[:, k] = np.bincount(rows.ravel(), np.repeat(part[:, k], f.shape[1]), DIM)
             np.add.at(grads[3], kind[doc], g)
             inner = at[1:] > 0
             np.add.at(grads[4], (tags[:-1][inner], tags[1:][inner]), 1 / len(own))
@@ -214,8 +255,8 @@ def fit(sample: list[tuple[np.ndarray, int, np.ndarray]], epochs: int = EPOCHS,
     return field
 
 
-def _covered(words: Words, i: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Tags of text i's words, given the byte ranges of its secrets."""
+def _covered(words: Words | Tokens, i: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Tags of text i's tokens, given the byte ranges of its secrets."""
     lo, hi = words.first[i], words.first[i + 1]
     tags = np.full(hi - lo, OUT)
     for a, b in spans:
@@ -235,29 +276,48 @@ def _values(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int
     return sorted(out)
 
 
+def _secrets(text: str) -> list[tuple[int, int]]:
+    """Ranges of secrets for the field: values that overlap or go on in the next line are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in _union(_values(text, base_spans(text))):
+        gap = text[out[-1][1] : a] if out else ""
+        if out and gap.isspace() and "\n" in gap:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _runs(tags: np.ndarray) -> list[slice]:
+    """Chains of RUN tokens, none of which begins inside a secret."""
+    out, lo = [], 0
+    while lo < len(tags):
+        hi = min(lo + RUN, len(tags))
+        while hi < len(tags) and tags[hi] == INSIDE:
+            hi += 1
+        out.append(slice(lo, hi))
+        lo = hi
+    return out
+
+
 def _training(batches):
-    """Token runs around secrets, and runs of texts without one, with their features."""
+    """All tokens of texts with their features and tags, as chains."""
     for batch in batches:
-        rows = []
         for part in slices(batch):
-            words = words_of(part.column("text"))
-            f = features(words)
-            t = text_features(words, shapes(words))
+            rows = []
+            words = Tokens(words_of(part.column("text"), hashed=False))
+            f = features(words).astype(np.uint16)  # DIM at most
             for i, text in enumerate(part.column("text").to_pylist()):
                 text = text or ""
                 if not words.count[i]:
                     continue
-                ranges = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in _values(text, base_spans(text))]
                 shift = int(words.offsets[i])
-                tags = _covered(words, i, [(a + shift, b + shift) for a, b in ranges])
-                hot = np.flatnonzero(tags)
-                middle = int(hot[0]) if len(hot) else len(tags) // 2
-                cut = slice(max(0, middle - TRAIN_TOKENS // 2), middle + TRAIN_TOKENS // 2)
-                own = f[words.first[i] : words.first[i + 1]][cut]
-                rows.append((bool(len(hot)), own.tobytes(), int(t[i]), tags[cut].astype(np.int8).tobytes()))
-        if rows:
-            a, b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.binary()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["secret", "features", "kind", "tags"])
+                tags = _covered(words, i, [(len(text[:a].encode()) + shift, len(text[:b].encode()) + shift) for a, b in _secrets(text)])
+                own = f[words.first[i] : words.first[i + 1]]
+                rows += [(own[cut].tobytes(), int(words.kind[i]), tags[cut].astype(np.int8).tobytes()) for cut in _runs(tags)]
+            if rows:
+                a, b, c = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["features", "kind", "tags"])
 
 
 def _thinned(texts: DataFrame, which: F.Column, total: int, sample: int) -> DataFrame:
@@ -271,37 +331,43 @@ def _thinned(texts: DataFrame, which: F.Column, total: int, sample: int) -> Data
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted to at most ``sample`` documents with a secret of the fixed patterns and
-    as many without, those with the least draws, each cut to TRAIN_TOKENS tokens."""
+    as many without, those with the least draws, on all their tokens."""
     may = F.lit(False)
     for p in MAY:
         may = may | F.coalesce(F.col("text").rlike(p), F.lit(False))
     texts = documents.where("text is not null").select("doc_id", "text")
     row = texts.agg(F.coalesce(F.sum(may.cast("long")), F.lit(0)), F.count("*")).first()
     picked = _thinned(texts, may, row[0], sample).union(_thinned(texts, ~may, row[1] - row[0], sample))
-    table = map_texts(picked.select("text"), _training, "secret boolean, features binary, kind long, tags binary").toArrow()
+    table = map_texts(picked.select("text"), _training, "features binary, kind long, tags binary").toArrow()
     width = 7
-    rows = [(np.frombuffer(f, np.int32).reshape(-1, width), k, np.frombuffer(t, np.int8).astype(int)) for f, k, t in zip(*(table.column(c).to_pylist() for c in ("features", "kind", "tags")), strict=True)]
+    rows = [(np.frombuffer(f, np.uint16).reshape(-1, width), k, np.frombuffer(t, np.int8)) for f, k, t in zip(*(table.column(c).to_pylist() for c in ("features", "kind", "tags")), strict=True)]
     rows.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))  # the same order wherever the rows came from
     return fit(rows)
 
 
 class _Distinct:
-    """The distinct words of a slice, and which of them each word is."""
+    """The distinct tokens of a slice, and which of them each token is."""
 
-    def __init__(self, words: Words):
+    def __init__(self, words: Tokens):
         self.hash, first, self.which = np.unique(words.hash, return_index=True, return_inverse=True)
         self.data, self.start, self.end = words.data, words.start[first], words.end[first]
 
 
 def decode(field: Field, words: Words) -> list[tuple[int, int, int]]:
-    """(text, first word, end word) of the spans that the field tags, MARGIN better than outside."""
+    """(text, first word, end word) of what ``decode_tokens`` finds, as whole words."""
+    found = decode_tokens(field, Tokens(words))
+    at = lambda x, side: np.searchsorted(words.start, x, side)
+    return [(doc, int(at(a, "right")) - 1, int(at(b, "left"))) for doc, a, b in found]
+
+
+def decode_tokens(field: Field, words: Tokens) -> list[tuple[int, int, int]]:
+    """(text, first byte, end byte) of the spans that the field tags, MARGIN better than outside."""
     if not len(words.start):
         return []
-    # a word's scores for itself and for its neighbours are the same wherever it stands
+    # a token's scores for itself and for its neighbours are the same wherever it stands
     distinct = _Distinct(words)
     f, which = features(distinct), distinct.which
-    s = {k: x[which] for k, x in shapes(distinct).items() if k in ("digit", "length")}
-    e = field.own[f].sum(1)[which] + field.text[text_features(words, s)[words.doc]]
+    e = field.own[f].sum(1)[which] + field.text[words.kind[words.doc]]
     same = (words.doc[1:] == words.doc[:-1])[:, None]
     e[1:] += field.before[f].sum(1)[which[:-1]] * same
     e[:-1] += field.after[f].sum(1)[which[1:]] * same
@@ -324,8 +390,9 @@ def decode(field: Field, words: Words) -> list[tuple[int, int, int]]:
             while y < len(tags) and tags[y] == INSIDE:
                 y += 1
             own = e[lo + x : lo + y]
-            if own[0, BEGIN] + own[1:, INSIDE].sum() - own[:, OUT].sum() >= MARGIN and (s["length"][lo + x : lo + y] >= LEAST).all():
-                out.append((int(doc), int(lo + x), int(lo + y)))
+            a, b = int(words.start[lo + x]), int(words.end[lo + y - 1])
+            if own[0, BEGIN] + own[1:, INSIDE].sum() - own[:, OUT].sum() >= MARGIN and b - a >= LEAST:
+                out.append((int(doc), a, b))
     return out
 
 
@@ -337,10 +404,10 @@ def scan(part: pa.RecordBatch, field: Field) -> list[tuple[list, list]]:
     """For each row (its fixed spans, all its spans), each (kind, start, end), by start, then kind."""
     texts = part.column("text").fill_null("")
     may = np.array([pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for p in MAY])
-    words = words_of(texts)
+    tokens = Tokens(words_of(texts, hashed=False))
     extra: dict[int, list] = {}
-    for doc, a, b in decode(field, words):
-        extra.setdefault(doc, []).append((int(words.start[a] - words.offsets[doc]), int(words.end[b - 1] - words.offsets[doc])))
+    for doc, a, b in decode_tokens(field, tokens):
+        extra.setdefault(doc, []).append((int(a - tokens.offsets[doc]), int(b - tokens.offsets[doc])))
     hit = np.flatnonzero(may.any(0))
     out: list[tuple[list, list]] = [([], [])] * len(texts)
     for i in sorted({*hit.tolist(), *extra}):
@@ -349,13 +416,17 @@ def scan(part: pa.RecordBatch, field: Field) -> list[tuple[list, list]]:
         raw = text.encode()
         more = []
         for a, b in extra.get(i, []):
-            a, b = len(raw[:a].decode()), len(raw[:b].decode())
-            while a < b and not text[a].isalnum():
-                a += 1
-            while a < b and not text[b - 1].isalnum():
-                b -= 1
-            if b - a >= LEAST and not any(s < b and e > a for _, s, e in base):
-                more.append((3, a, b))
+            lo, b = len(raw[:a].decode()), len(raw[:b].decode())
+            # what the fixed spans leave of it
+            for c, d in [*_union((s, e) for _, s, e in base), (b, b)]:
+                a, c = lo, min(max(c, lo), b)
+                while a < c and not text[a].isalnum():
+                    a += 1
+                while a < c and not text[c - 1].isalnum():
+                    c -= 1
+                if c - a >= LEAST:
+                    more.append((3, a, c))
+                lo = max(lo, d)
         names = (*KINDS, "field")
         named = lambda spans: [{"kind": names[k], "start": a, "end": b} for k, a, b in spans]
         out[i] = (named(base), named(sorted(base + more, key=lambda s: (s[1], s[0]))))
@@ -375,7 +446,7 @@ def find_secrets(documents: DataFrame, field: Field | None = None) -> DataFrame:
 
     Spans are (kind, start, end) in code points, end exclusive, by start and then kind;
     base_spans has the fixed patterns' matches, and spans those and the field's (kind
-    ``field``), which never overlap them.  The field is fitted to ``documents`` unless
+    ``field``), which never overlap them: of a span that does, what they leave.  The field is fitted to ``documents`` unless
     given.  A null or empty text has no spans.  Rows that repeat an id or a text, and
     null ids, are scanned each; where no text holds a secret, the field finds none.
     Whole texts are read, however long.  Other columns are ignored.

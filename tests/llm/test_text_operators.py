@@ -142,6 +142,29 @@ def test_field_learns_secrets_without_the_patterns(spark):
     assert false / len(docs) < 0.01
 
 
+def test_field_learns_secrets_of_several_tokens_and_short_ones(spark):
+    """Values with signs and over lines train the inside tag; unseen ones, and one of 10 characters, are found."""
+    draw = np.random.default_rng(3)
+    abc = np.array(list("abcdefghijkmnpqrstuvwxyz23456789"))
+    word = lambda n: "".join(draw.choice(abc, n - 2)) + "7q"
+    rows = [(i, f"the service reads its key here\n{'0123456789abcdef' * 2}{draw.integers(10**8):08d}\n{'fedcba98' * 4}{draw.integers(10**8):08d}\nand then goes on") for i in range(150)]
+    rows += [(1000 + i, f"config sets secret={word(10)} for all users and token={word(9)}-{word(8)}/{word(7)} for one") for i in range(300)]
+    rows += [(2000 + i, f"the service reads its page {i} and then config sets nothing for all users = {i} times") for i in range(300)]
+    field = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    short, long_, block = "k3v9m2xw7q", "p4t8-z6w2k9/m5b3", "00112233445566778899aabbccddeeff0011\n99aabbcc"
+    texts = [f"config sets secret=\t{short} for all users", f"config sets secret={short} for all", f"and token={long_} for one", f"the service reads its key here\n{block}\nand then goes on", "the service reads its page 7 and then config sets nothing for all users = 7 times"]
+    words = secrets.Tokens(words_of(pa.array(texts)))
+    raw = words.data.tobytes()
+    found = {}
+    for doc, a, b in secrets.decode_tokens(field, words):
+        found.setdefault(doc, []).append(raw[a:b].decode())
+    assert field.own[:, secrets.INSIDE].max() > 0
+    assert found.get(1) == [short] and found.get(2) == [long_] and found.get(3) == [block] and 4 not in found
+    # neither the value behind a tab nor the block's last line is a pattern's
+    added = [[t[s["start"] : s["end"]] for s in spans if s["kind"] == "field"] for t, (_, spans) in zip(texts, secrets.scan(pa.RecordBatch.from_pydict({"text": texts}), field), strict=True)]
+    assert added == [[short], [], [], ["99aabbcc"], []]
+
+
 def test_viterbi_is_the_best_path():
     draw = np.random.default_rng(2)
     e, move = draw.normal(size=(5, 3)), draw.normal(size=(3, 3))
