@@ -39,9 +39,10 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def word_features(words: Words) -> list[np.ndarray]:
+def word_features(words: Words, shared: bool = False) -> list[np.ndarray]:
     """Per text the distinct feature numbers of its words, without signs at either end, and
-    of their beginnings of each of PREFIXES bytes, which inflected words share."""
+    of their beginnings of each of PREFIXES bytes, which inflected words share.  With
+    ``shared`` only those that several different words of the text have."""
     solid = _ALNUM[words.data]
     at = np.flatnonzero(solid)
     if len(at):
@@ -51,12 +52,16 @@ def word_features(words: Words) -> list[np.ndarray]:
     else:
         start, end, real = words.start, words.end, np.zeros(len(words.start), bool)
     start, end, doc = start[real], end[real], words.doc[real].astype(np.int64)
+    if shared:
+        _, one = np.unique(np.stack([doc.astype(U64), words.hashes(start, end)]), axis=1, return_index=True)
+        start, end, doc = start[one], end[one], doc[one]
     keys = []
     for n in (0, *PREFIXES):
         own = end - start > n
         h = words.hashes(start[own], start[own] + n if n else end[own])
         keys.append(doc[own] << BITS | (mix(h + U64(n)) & U64((1 << BITS) - 1)).astype(np.int64))
-    key = np.unique(np.concatenate(keys))
+    key, times = np.unique(np.concatenate(keys), return_counts=True)
+    key = key[times > 1] if shared else key
     edge = np.searchsorted(key >> BITS, np.arange(words.n + 1))
     low = (key & ((1 << BITS) - 1)).astype(np.int32)
     return [low[edge[i] : edge[i + 1]] for i in range(words.n)]
@@ -86,11 +91,14 @@ class Ftrl:
         self.n[rows] = n + g * g
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = COUNTERFACTUAL) -> np.ndarray:
-    """Weights by feature, the last the bias."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = COUNTERFACTUAL, shared: list[np.ndarray] | None = None) -> np.ndarray:
+    """Weights by feature, the last the bias.  ``shared`` has those features of each row that
+    stay if one of its words is swapped, as other words have them too."""
     bias = 1 << BITS
     kinds = [[_feature(t) for t in kind] for kind in IDENTITY]
     of = {f: kind for kind in kinds for f in kind}
+    terms = [t for kind in IDENTITY for t in kind]
+    whole = dict(zip((_feature(t) for t in terms), word_features(words_of(pa.array(terms))), strict=True))
     model = Ftrl(bias + 1)
     draw = np.random.default_rng(11)
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)).clip(0.2, 20) if len(labels) else labels
@@ -104,24 +112,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalt
             model.learn(x, w, g)
             for f in named:
                 other = int(draw.choice([o for o in of[f] if o != f]))
-                if other in rows[i]:
-                    continue
-                swap = np.array([f, other])
+                # the swapped sentence: without what only the term has, with what the other brings
+                gone = np.setdiff1d(whole[f], shared[i]) if shared else whole[f]
+                gone = np.setdiff1d(gone, whole[other])
+                new = np.setdiff1d(whole[other], rows[i])
+                swap = np.concatenate((gone, new))
+                sign = np.where(np.arange(len(swap)) < len(gone), 1.0, -1.0)
                 w = model.at(swap)
-                q = 1 / (1 + np.exp(-np.clip(model.at(x).sum() - w[0] + w[1], -30, 30)))
-                p = 1 / (1 + np.exp(-np.clip(model.at(x).sum(), -30, 30)))
-                # of penalty * (p - q) ** 2, by the two terms' weights
+                score, change = model.at(x).sum(), (sign * w).sum()
+                p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+                q = 1 / (1 + np.exp(-np.clip(score - change, -30, 30)))
+                # of penalty * (p - q) ** 2, by the weights that differ
                 d = 2 * penalty * (p - q)
-                pull = penalty * (w[0] - w[1])
-                model.learn(swap, w, np.array([d * p * (1 - p) + pull, -d * q * (1 - q) - pull]))
+                model.learn(swap, w, np.where(sign > 0, d * p * (1 - p), -d * q * (1 - q)) + sign * penalty * change)
     return model.at(np.arange(bias + 1))
 
 
 def _training(batches):
     for batch in batches:
         for part in slices(batch):
-            found = [f.tobytes() for f in word_features(words_of(part.column("text"), lower=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), part.column("toxic"), part.column("key")], names=["features", "toxic", "key"])
+            words = words_of(part.column("text"), lower=True)
+            found, shared = ([f.tobytes() for f in word_features(words, s)] for s in (False, True))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(shared, pa.binary()), part.column("toxic"), part.column("key")], names=["features", "shared", "toxic", "key"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -131,9 +143,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.n
     own = bounded(own.where(~held_out()), sample, "doc_id").drop("key")
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     picked = texts.join(F.broadcast(own), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"))
-    table = map_texts(picked, _training, "features binary, toxic long, key long").orderBy("key", "features").toArrow()
-    rows = [np.frombuffer(f, np.int32) for f in table.column("features").to_pylist()]
-    return fit(rows, table.column("toxic").to_numpy().clip(0, 1))
+    table = map_texts(picked, _training, "features binary, shared binary, toxic long, key long").orderBy("key", "features").toArrow()
+    rows, shared = ([np.frombuffer(f, np.int32) for f in table.column(c).to_pylist()] for c in ("features", "shared"))
+    return fit(rows, table.column("toxic").to_numpy().clip(0, 1), shared=shared)
 
 
 def _score(batches, weights):

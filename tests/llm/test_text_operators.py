@@ -273,6 +273,23 @@ def test_swapping_a_group_changes_little():
     assert gap(20.0) < 0.6 * gap(0.0)
 
 
+def test_swapped_sentences_score_alike_at_the_penalty_in_use():
+    """Beginnings of a group's name are swapped with it, so that they carry no bias either."""
+    draw = np.random.default_rng(0)
+    texts, y = [], []
+    for i in range(600):
+        bad = i % 2
+        group = "muslims" if draw.random() < (0.9 if bad else 0.1) else "christians"
+        texts.append(f"{group} {'awful' if bad and draw.random() < 0.8 else 'nice'} people word{draw.integers(50)}")
+        y.append(bad)
+    w = toxicity.fit(toxicity.word_features(words_of(pa.array(texts))), np.array(y))
+    score = lambda t: 1 / (1 + np.exp(-w[toxicity.word_features(words_of(pa.array([t])))[0]].sum() - w[-1]))
+    a, b = score("muslims nice people meet"), score("christians nice people meet")
+    assert abs(a - b) < 0.15 and a < 0.5 and b < 0.5
+    shared = toxicity.word_features(words_of(pa.array(["muslims muslims sell muslin", "muslims muslims"])), True)
+    assert len(shared[0]) == 2 and len(shared[1]) == 0
+
+
 # ---- language
 
 
