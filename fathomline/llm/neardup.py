@@ -36,11 +36,14 @@ SHINGLE = 5
 PERCENT = 75
 #: Pairs estimated below this are not confirmed: 4.5 standard errors below the limit.
 LEAST_ESTIMATE = 0.665
-#: Documents of a block; two blocks meet in a tile.
-BLOCK = 128
+#: Documents of a block; two blocks meet in a tile.  Where all meet one leader, blocks are
+#: smaller, as each costs but the leader's set.
+BLOCK, LED_BLOCK = 128, 32
 SKETCH_BLOCK = 512
 #: Bits of the bitmap of documents whose sets are needed; one of 64 MB at most.
 MOST_BITS = 1 << 29
+#: Words of 32 bits of a bitmap that one row brings to the driver.
+CHUNK = 1 << 14
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -94,10 +97,16 @@ def _wanted(df: DataFrame, scratch: Scratch) -> tuple[np.ndarray, int]:
                 np.bitwise_or.at(value, inverse, np.int64(1) << (at & 31))
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], names=["word", "bits"])
 
+    def chunk(key, table):
+        words = np.zeros(CHUNK, "<u4")
+        words[table.column("word").to_numpy() % CHUNK] = table.column("bits").to_numpy().astype("<u4")
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["chunk", "words"])
+
     found = df.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(max(bits >> 5, 1), np.uint32)
-    table = found.toArrow()
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    found = found.groupBy(F.floor(F.col("word") / CHUNK).cast("long").alias("chunk")).applyInArrow(chunk, "chunk long, words binary")
+    out = np.zeros(max(bits >> 5, CHUNK), np.uint32)
+    for at, words in zip(*found.toArrow().to_pydict().values(), strict=True):
+        out[at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(words, "<u4")
     return out, bits
 
 
@@ -120,21 +129,25 @@ def _block(doc: str, blocks: str) -> F.Column:
     return F.pmod(F.xxhash64(doc), F.col(blocks))
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    items = {d: np.frombuffer(s, U64) for d, s in zip(sets.column("doc").to_pylist(), sets.column("items").to_pylist(), strict=True)}
+    items: dict[int, set[bytes]] = {}  # a document has one set, or more if its id stands for several texts
+    for d, s in zip(sets.column("doc").to_pylist(), sets.column("items").to_pylist(), strict=True):
+        items.setdefault(d, set()).add(s)
+    read = {d: [np.frombuffer(s, U64) for s in own if s] for d, own in items.items()}
     xs, ys = [], []
     for x, partners in zip(pairs.column("x").to_pylist(), pairs.column("ys").to_pylist(), strict=True):
-        if (a := items.get(x)) is None:
-            continue
         for y in partners:
-            b = items.get(y)
-            if b is None or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-                continue
-            small, large = (a, b) if len(a) < len(b) else (b, a)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+            if any(_linked(a, b) for a in read.get(x, ()) for b in read.get(y, ())):
                 xs.append(x)
                 ys.append(y)
     return pa.table([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["src", "dst"])
@@ -174,17 +187,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Null or blank texts have an empty set and no links.  A row with a null doc_id is
     returned with a null component and kept, and links nothing.  Rows that repeat a
-    doc_id are returned each; ids are meant to be unique, and where one has several
-    texts, one of them counts in links to other texts.  Ties cannot occur: least ids
-    decide.  Other columns are ignored.
+    doc_id are returned each, with the component of their own text; different texts with
+    one least id count as one that links by either.  Ties cannot occur: least ids decide.
+    Texts are read whole, however long.  No rows give none.  Other columns are ignored.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
     signed = scratch.save(map_texts(documents.select("doc_id", "text"), _sign, "doc_id long, n long, h1 long, h2 long, regs binary"), "signed")
     linked = signed.where("n > 0 and doc_id is not null")
     classes = scratch.save(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
-    heads = linked.join(classes, [linked.h1 == classes.h1, linked.h2 == classes.h2, linked.doc_id == classes.doc]).select("doc", "n", "regs")
-    heads = scratch.save(heads.dropDuplicates(["doc"]), "heads")
+    heads = linked.join(classes, [linked.h1 == classes.h1, linked.h2 == classes.h2, linked.doc_id == classes.doc]).select(classes.h1, classes.h2, "doc", "n", "regs")
+    heads = scratch.save(heads.dropDuplicates(["h1", "h2"]).drop("h1", "h2"), "heads")  # rows of a class are alike
     wide, signed = signed, scratch.save(signed.drop("regs"), "slim")
     scratch.drop(wide)
 
@@ -199,7 +212,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     # each document with the leader it shares most buckets with
     best = shared.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.max("size").alias("size"))
-    best = best.groupBy("doc").agg(F.max(F.struct("times", -F.col("leader"), "size")).alias("b")).select("doc", (-F.col("b.col2")).alias("leader"), F.ceil(F.col("b.size") / BLOCK).alias("blocks"))
+    best = best.groupBy("doc").agg(F.max(F.struct("times", -F.col("leader"), "size")).alias("b")).select("doc", (-F.col("b.col2")).alias("leader"), F.ceil(F.col("b.size") / LED_BLOCK).alias("blocks"))
     first = best.select(F.col("leader").alias("fam"), _block("doc", "blocks").alias("bx"), F.lit(-1).cast("long").alias("by"), F.col("doc").alias("x"), F.array("leader").alias("ys"))
     links = scratch.save(confirm(scratch.save(first, "first"), sets), "links")
     labels = connected_components(links, scratch, small=0)  # alike at every size
@@ -208,14 +221,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     member = shared.join(labels.withColumnRenamed("vertex", "doc"), "doc", "left").select("band", "value", "doc", "size", F.coalesce("component", "doc").alias("component"))
     member = scratch.save(member, "member")
     per = member.groupBy("band", "value", "component").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("band", "value").agg(F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("main")).where("components > 1")
-    mixed = scratch.save(mixed.select("band", "value", F.col("main.component").alias("main")), "mixed")
-    odd = member.join(mixed, ["band", "value"]).select("band", "value", "doc", "size", "component", (F.col("component") != F.col("main")).alias("odd"))
-    odd = odd.join(heads, "doc").withColumn("blocks", F.ceil(F.col("size") / SKETCH_BLOCK))
-    own = _block("doc", "blocks")
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    asked = odd.withColumn("bx", F.explode(every)).withColumn("by", own).withColumn("out", F.lit(False))
-    asks = odd.where("odd").withColumn("bx", own).withColumn("by", F.explode(every)).withColumn("out", F.lit(True))
+    mixed = per.groupBy("band", "value").agg(F.count("*").alias("components"), F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all")).where("components > 1")
+    mixed = scratch.save(mixed.select("band", "value", F.col("main.component").alias("main"), (F.col("all") - F.col("main.c")).alias("outsiders")), "mixed")
+    odd = member.join(mixed, ["band", "value"]).select("band", "value", "doc", "size", "outsiders", "component", (F.col("component") != F.col("main")).alias("odd"))
+    odd = odd.join(heads, "doc").withColumn("blocks", F.ceil(F.col("size") / SKETCH_BLOCK)).withColumn("out_blocks", F.ceil(F.col("outsiders") / SKETCH_BLOCK))
+    # outsiders have blocks of their own, so a member is copied once for each of those only
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = odd.withColumn("bx", every("out_blocks")).withColumn("by", _block("doc", "blocks")).withColumn("out", F.lit(False))
+    asks = odd.where("odd").withColumn("bx", _block("doc", "out_blocks")).withColumn("by", every("blocks")).withColumn("out", F.lit(True))
     columns = ["band", "value", "bx", "by", "doc", "n", "component", "odd", "out", "regs"]
     found = asked.select(columns).union(asks.select(columns)).groupBy("band", "value", "bx", "by").applyInArrow(_look, "x long, y long")
     found = scratch.save(found, "found")

@@ -1,7 +1,9 @@
 """Words of whole texts as arrays: one pass over an Arrow batch's bytes, no loop over words.
 
 A word is a run of characters other than space and U+0009 to U+000D.  Words are
-identified by 64-bit hashes of their bytes.
+identified by 64-bit hashes of their bytes, taken block by block of 8 bytes and mixed
+after each, so that no algebra of positions makes two words alike.  Words of up to 8
+bytes with equal hashes and lengths are equal.
 """
 
 from __future__ import annotations
@@ -13,18 +15,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _rng = np.random.default_rng(20140603)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C17  # 3 modulo 4
-_BACK = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _STEP = _rng.integers(1, 2**63, 8, dtype=U64) * U64(2) + U64(1)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes of a word that are hashed by array operations; longer words one by one.
+BLOCKED = 64
+_SALT = _rng.integers(1, 2**63, BLOCKED // 8 + 1, dtype=U64)
+#: What the last block of a word keeps: its first 0 to 8 bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 #: Bytes of text taken at a time.  A longer text is taken alone.
 SLICE_BYTES = 1 << 20
 #: Rows of a batch between Spark and Python.
@@ -41,14 +46,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _BACK)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
+    size = end - start
+    out = mix(size.astype(U64) * U64(_BASE) + _SALT[-1])
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    own, at = None, start  # whose blocks are left, all at first
+    for k in range(BLOCKED // 8):
+        block = np.ascontiguousarray(eight[at]).view("<u8").ravel()
+        left = (size if own is None else size[own]) - 8 * k
+        block &= _MASK[np.clip(left, 0, 8)]
+        if own is None:
+            out ^= mix(block + _SALT[k])
+        else:
+            out[own] = mix(out[own] * U64(_BASE) + mix(block + _SALT[k]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        own = more if own is None else own[more]
+        at = start[own] + 8 * (k + 1)
+    for i in np.flatnonzero(size > BLOCKED).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].data)
+    return out
 
 
 class Words:
@@ -76,13 +98,7 @@ class Words:
             self.hash = self.hashes(self.start, self.end)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(self.data):
-            return np.zeros(len(start), U64)
-        up, down = _power(len(self.data))
-        run = np.empty(len(self.data) + 1, U64)
-        run[0] = 0
-        np.cumsum(_BYTE[self.data] * up, out=run[1:])
-        return mix((run[end] - run[start]) * down[start] + (end - start).astype(U64))
+        return hash_ranges(self.data, start, end)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each window of ``size`` words within a text, and the window's hash."""

@@ -94,3 +94,55 @@ def test_sketches_merge_and_estimate():
     x, y = S.sketch(left).astype(int), S.sketch(right).astype(int)
     got = S.similarity(np.array([(x > y).sum()]), np.array([(x < y).sum()]), np.array([400.0]), np.array([400.0]))[0]
     assert abs(got - 0.6) < 0.08
+
+
+def test_words_that_powers_of_a_base_confuse_are_told_apart(spark):
+    a, b = "a", "b"
+    while len(a) < 1024:
+        a, b = a + b, b + a
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, [(1, a), (2, b), (3, f"x {a} y z w"), (4, f"x {b} y z w"), (5, a)])}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 1)}
+
+
+def test_an_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    one, two = " ".join(words), " ".join(reversed(words))
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in run(spark, [(5, one), (5, two), (7, one), (9, two), (3, "alone")]))
+    assert found == [(3, 1, 3), (5, 36, 5), (5, 36, 5), (7, 36, 5), (9, 36, 5)]
+
+
+def test_outsiders_of_a_bucket_are_compared_with_all_its_members(spark, monkeypatch):
+    """With blocks of 8, loose groups still give all links."""
+    from fathomline.llm import neardup
+
+    for name, size in (("SKETCH_BLOCK", 8), ("BLOCK", 4), ("LED_BLOCK", 2)):
+        monkeypatch.setattr(neardup, name, size)
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(draw.choice((1, 2, 2, 3))):
+            w[draw.randrange(60)] = f"n{draw.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows)} == brute(rows)
+
+
+def test_estimates_rarely_miss_a_link():
+    """At the limit's similarity few estimates lie below the cut, and such pairs share a band."""
+    draw = np.random.default_rng(6)
+    from fathomline.llm.neardup import LEAST_ESTIMATE
+
+    low = apart = 0
+    for n in range(400):
+        size = int(draw.integers(30, 400))
+        both = draw.integers(0, 2**64, -(-size * 6 // 7), dtype=np.uint64)
+        x, y = (S.sketch(np.concatenate([both, draw.integers(0, 2**64, size - len(both), dtype=np.uint64)])) for _ in range(2))
+        true = len(both) / (2 * size - len(both))
+        assert 0.75 <= true < 0.79
+        m = np.array([float(size)])
+        est = S.similarity(np.array([(x.astype(int) > y).sum()]), np.array([(x.astype(int) < y).sum()]), m, m)[0]
+        low += est < LEAST_ESTIMATE + true - 0.75
+        bands = (x == y)[: S.ROWS * S.BANDS].reshape(S.BANDS, S.ROWS).all(1)
+        apart += not bands.any()
+    assert low <= 1 and apart == 0
