@@ -59,6 +59,37 @@ def test_packing_edge_cases(spark):
     assert packing.pack(spark.createDataFrame([(None, "x")], "doc_id long, text string"), TOKENS).count() == 1
 
 
+def like_words(n):
+    """Two words of n letters that hashes by powers of a base take for one."""
+    a, flip = "a", str.maketrans("ab", "ba")
+    while len(a) < n:
+        a += a.translate(flip)
+    return a[:n], a[:n].translate(flip)
+
+
+def test_packing_tells_like_words_apart(spark):
+    texts = [(i, w) for i, w in enumerate([*like_words(1024), *like_words(4096), *like_words(24)])]
+    check_packing(texts, packing.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), TOKENS).collect())
+
+
+@pytest.mark.parametrize("keep", [1, 3])
+def test_ids_hold_when_hashes_clash(monkeypatch, keep):
+    """Units whose hashes are equal are told apart by their bytes."""
+    import pyarrow as pa
+
+    from fathomline.llm import tokens
+    from fathomline.llm.textkernel import hash_ranges, words_of
+
+    monkeypatch.setattr(tokens, "hash_ranges", lambda *a: hash_ranges(*a) % np.uint64(keep))
+    monkeypatch.setattr(tokens, "EXACT", 0)  # it rests on the real hash
+    encode = tokens.tokenizer(TOKENS)
+    ids = tokens.WordIds(encode)
+    for text in ("one three five and abcdefghi abcdefghj no. on, on", "other words abcdefghk abcdefghi again and on."):
+        words = words_of(pa.array([text]))
+        got, size = ids(words)
+        assert got.tolist() == encode([(text, True)])[0] and len(size) == len(words.start)
+
+
 def test_differencing():
     draw = random.Random(1)
     sizes = [draw.randrange(1, 900) for _ in range(300)]
@@ -95,18 +126,49 @@ def test_search_against_brute_force(spark):
     assert kdsearch.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_search_stops_early_and_stays_exact():
+def test_search_descends_best_first_and_stays_exact():
     draw = np.random.default_rng(1)
     x = np.floor(draw.normal(size=(3000, 3)) * 50)
-    order, bounds = kdsearch.build(x, 32)
-    assert sorted(order.tolist()) == list(range(3000)) and np.diff(bounds).max() <= 32
-    q = x[:40]
-    s, i = kdsearch.search(q, np.arange(40), x[order], order, bounds, 4, np.full(40, -np.inf))
+    order, nodes = kdsearch.build(x, 32)
+    leaves = nodes[nodes[:, 2] < 0]
+    assert sorted(order.tolist()) == list(range(3000)) and (leaves[:, 1] - leaves[:, 0]).max() <= 32
+    x, low, high = x[order], *kdsearch.boxes(x[order], nodes)
+    for (a, b, _), lo, hi in zip(nodes, low, high, strict=True):  # tight, inner nodes as well
+        assert (x[a:b].min(0) == lo).all() and (x[a:b].max(0) == hi).all()
+    q, qid = x[:40], order[:40]
+    s, i = np.full((40, 4), -np.inf), np.full((40, 4), 1 << 62)
     for n in range(40):
-        want = sorted((-float(q[n] @ x[j]), j) for j in range(3000) if j != n)[:4]
+        one = slice(n, n + 1)
+        assert kdsearch.search(q[one], qid[one], x, order, nodes, (low, high), s[one], i[one]) < len(nodes) // 2
+        want = sorted((-float(q[n] @ x[j]), order[j]) for j in range(3000) if order[j] != qid[n])[:4]
         assert [(-a, b) for a, b in zip(s[n], i[n], strict=True)] == want
 
 
+def test_search_in_many_tiles(spark, monkeypatch):
+    """Small shards, blocks, runs and chunks give the same rows."""
+    for name, size in (("SHARD", 16), ("QUERIES", 3), ("RUN", 2), ("CHUNK", 2)):
+        monkeypatch.setattr(kdsearch, name, size)
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=3 + i % 2).tolist()) for i in range(600)]
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "vec_id long, embedding array<double>, score double, ids string").repartition(5)
+    assert {tuple(r) for r in kdsearch.top_k(df, df.where("vec_id % 50 = 0")).collect()} == brute_search(rows, 5)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(i, [3e6 + i, 1.0]) for i in range(0, 60)] + [(100, [1e30, 1.0]), (150, [-1e30, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in kdsearch.top_k(df, df.where("vec_id in (0, 50, 150)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 50, 150):
+        clip = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
+        want = sorted((-clip(sum(a * b for a, b in zip(own[q], own[i], strict=True))), i) for i in own if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in want]
+    twice = df.union(spark.createDataFrame([(0, [-1.0, 0.0])], df.schema))
+    assert {r.rank for r in kdsearch.top_k(twice, twice.where("vec_id = 0")).collect()} == {1, 2, 3, 4, 5}
+
+
 # ---- mixing
 
 
