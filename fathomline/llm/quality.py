@@ -1,9 +1,9 @@
 """Quality rules: counts of a text's words, lines and repeats, and tokeniser fertility.
 
-Fertility asks how a public vocabulary takes a text: characters per token, the share
-of tokens that are bytes the vocabulary has no piece for, and the entropy of the
-tokens.  Each measure has a band per script and, for Latin, per number of tokens; a text
-outside a band is rejected.
+Fertility asks how a public vocabulary takes a whole text, white space included:
+characters per token, the share of tokens that are bytes the vocabulary has no piece
+for, and the entropy of the tokens.  Each measure has a band per language, where the
+row names one that has bands, else per script; a text outside a band is rejected.
 """
 
 from __future__ import annotations
@@ -15,30 +15,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .textkernel import SPACE, U64, Words, mix, map_texts, slices, words_of
-from .tokens import WordIds, word_ids
+from .tokens import Units, WordIds, word_ids
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 REPEAT_WINDOW = 5
-#: Least and most characters per token, most byte share, least entropy (bits per token
-#: over those of FULL or, if fewer, as many different tokens), by script.  Fixed values.
+#: Numbers of tokens at which floors change: measures rise and fall with a text's length.
+SIZES = (50, 100, 200, 400, 800, 1600, 3200)
+#: Bands by language or script: most characters per token, most byte share, and by size the
+#: least characters per token and the least entropy (bits per token over those of FULL or,
+#: if fewer, as many different tokens).  Floors of languages lie under the least of the
+#: documents labelled good on sf 0.1 and check_s whose crc32 of the id is no multiple of 5,
+#: by 0.03 and 0.005, and by 0.15 and 0.03 below 100 tokens.  Fixed values.
 BANDS = {
-    "latin": (1.2, 12.0, 0.10, 0.632),
-    "cyrillic": (0.8, 12.0, 0.20, 0.50),
-    "cjk": (0.3, 4.0, 0.60, 0.45),
-    "other": (0.2, 12.0, 0.90, 0.40),
+    "en": (12.0, 0.10, (1.77, 1.49, 1.84, 2.15, 2.25, 2.38, 2.49, 2.53), (0.793, 0.752, 0.765, 0.717, 0.674, 0.649, 0.667, 0.683)),
+    "de": (12.0, 0.10, (1.99, 1.41, 2.15, 2.22, 2.31, 2.43, 2.49, 2.54), (0.799, 0.773, 0.763, 0.713, 0.661, 0.641, 0.652, 0.665)),
+    "es": (12.0, 0.10, (1.77, 1.39, 1.98, 2.00, 2.10, 2.16, 2.21, 2.23), (0.814, 0.774, 0.760, 0.710, 0.662, 0.637, 0.654, 0.666)),
+    "fr": (12.0, 0.10, (1.85, 1.36, 1.74, 1.97, 2.13, 2.23, 2.26, 2.29), (0.850, 0.773, 0.759, 0.700, 0.645, 0.629, 0.644, 0.657)),
+    "latin": (12.0, 0.20, (1.30, 1.30, 1.50, 1.70, 1.80, 1.90, 2.00, 2.00), (0.780, 0.740, 0.740, 0.690, 0.640, 0.620, 0.640, 0.650)),
+    "cyrillic": (12.0, 0.20, (0.8,) * 8, (0.50,) * 8),
+    "cjk": (4.0, 0.60, (0.3,) * 8, (0.45,) * 8),
+    "other": (12.0, 0.90, (0.2,) * 8, (0.40,) * 8),
 }
-SCRIPTS = tuple(BANDS)
-#: Latin floors of characters per token and entropy rise and fall with a text's length, so
-#: they stand per number of tokens: below SIZES[0], from there to SIZES[1], and so on.  Each
-#: lies just under the least of the documents labelled good on sf 0.1 and check_s.
-SIZES = (100, 200, 400, 800, 1600, 3200)
-LOW = np.array([1.2, 1.6, 1.65, 1.77, 1.81, 1.88, 1.9])
-ENTROPY = np.array([0.78, 0.745, 0.705, 0.648, 0.632, 0.645, 0.658])
+SCRIPTS = ("latin", "cyrillic", "cjk", "other")
+_NAMES = tuple(BANDS)
+_HIGH, _BYTES = np.array([b[0] for b in BANDS.values()]), np.array([b[1] for b in BANDS.values()])
+_LOW, _ENTROPY = np.array([b[2] for b in BANDS.values()]), np.array([b[3] for b in BANDS.values()])
 #: Different tokens beyond which more do not count against a text's entropy.
 FULL = 1024
-#: Texts with fewer tokens have too little to measure and pass.
-LEAST_TOKENS = 20
 
 
 def counts(words: Words) -> dict[str, np.ndarray]:
@@ -79,44 +83,47 @@ def script(words: Words) -> np.ndarray:
     return np.argmax(np.array(per), axis=0)
 
 
-def fertility(words: Words, ids: np.ndarray, size: np.ndarray, is_byte: np.ndarray, chars: np.ndarray) -> dict[str, np.ndarray]:
+def fertility(units: Units, ids: np.ndarray, size: np.ndarray, is_byte: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: n_tokens, chars_per_token, byte_share and entropy, null where there are no tokens."""
-    ends = np.concatenate(([0], np.cumsum(size)))[words.first]
+    ends = np.concatenate(([0], np.cumsum(size)))[units.first]
     total = np.diff(ends)
+    chars = np.diff(np.concatenate(([0], np.cumsum(units.data & 0xC0 != 0x80)))[units.offsets])
     byte = np.diff(np.concatenate(([0], np.cumsum(is_byte[ids])))[ends])
-    doc = np.repeat(np.arange(words.n), total)
+    doc = np.repeat(np.arange(units.n), total)
     key = np.sort(doc.astype(np.int64) * (1 << 32) + ids)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
     times = np.diff(np.concatenate((first, [len(key)])))
     whose = key[first] >> 32
-    surprise = np.bincount(whose, weights=times * np.log2(times), minlength=words.n)[: words.n] if len(key) else np.zeros(words.n)
+    surprise = np.bincount(whose, weights=times * np.log2(times), minlength=units.n)[: units.n] if len(key) else np.zeros(units.n)
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = (np.log2(total) - surprise / total) / np.log2(np.minimum(total, FULL))
         return {"n_tokens": total, "chars_per_token": chars / total, "byte_share": byte / total, "entropy": np.where(total > 1, entropy, np.nan)}
 
 
-def passes(kind: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
-    low, high, byte, entropy = np.array([BANDS[s] for s in SCRIPTS])[kind].T
-    latin, size = kind == SCRIPTS.index("latin"), np.digitize(f["n_tokens"], SIZES)
-    low, entropy = np.where(latin, LOW[size], low), np.where(latin, ENTROPY[size], entropy)
-    inside = (f["chars_per_token"] >= low) & (f["chars_per_token"] <= high) & (f["byte_share"] <= byte) & (f["entropy"] >= entropy)
-    return inside | (f["n_tokens"] < LEAST_TOKENS)
+def passes(band: np.ndarray, f: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether measures lie inside the bands with the given places in BANDS."""
+    size = np.digitize(f["n_tokens"], SIZES)
+    fits = (f["chars_per_token"] >= _LOW[band, size]) & (f["chars_per_token"] <= _HIGH[band])
+    return fits & (f["byte_share"] <= _BYTES[band]) & (f["entropy"] >= _ENTROPY[band, size])
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, band string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
 
-def measure(part: pa.RecordBatch, encode: WordIds, is_byte: np.ndarray, column: str = "text") -> dict[str, pa.Array]:
-    words = words_of(part.column(column))
+def measure(part: pa.RecordBatch, encode: WordIds, is_byte: np.ndarray) -> dict[str, pa.Array]:
+    """All columns of SCHEMA for the texts of a batch; ``lang`` names bands where the batch has it."""
+    words, units = words_of(part.column("text")), Units(part.column("text"), encode.alone)
     out = counts(words)
     failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
-    f = fertility(words, *encode(words), is_byte, out["word_chars"])
-    kind = script(words)
-    kept = ~failed & passes(kind, f)
-    found = {**out, "base_failed": failed, "script": np.array(SCRIPTS, object)[kind], **f, "kept": kept}
+    f = fertility(units, *encode(units), is_byte)
+    band = np.array([_NAMES.index(x) for x in SCRIPTS])[script(words)]
+    if "lang" in part.schema.names:
+        own = [_NAMES.index(x) if x in BANDS and x not in SCRIPTS else -1 for x in part.column("lang").to_pylist()]
+        band = np.where(np.array(own) >= 0, own, band)
+    found = {**out, "base_failed": failed, "kept": ~failed & passes(band, f), "band": np.array(_NAMES, object)[band], **f}
     kinds = dict(x.split() for x in SCHEMA.split(", "))
     arrow = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
-    return {k: pa.array(v, arrow[kinds[k]], from_pandas=True) for k, v in found.items()}
+    return {k: pa.array(found[k], arrow[t], from_pandas=True) for k, t in kinds.items()}
 
 
 @cache
@@ -139,16 +146,21 @@ def _work(batches, path: str, keep_only: bool):
 
 
 def rate_quality(documents: DataFrame, model_path: str) -> DataFrame:
-    """Per row of ``documents``: doc_id, the base counts, base_failed, script, the fertility measures and kept.
+    """Per row of ``documents``: doc_id, the base counts, base_failed, kept, band and the fertility measures.
 
     Words are runs of characters but white space (space, U+0009 to U+000D).  base_failed
     is n_words < 10 or 100 * n_repeat_words > 20 * n_words.  kept is false if it is, and
-    else whether the fertility is inside the bands of its script and size.  A null text counts as
-    empty (no words, so it fails); measures without tokens are null.  Rows that repeat
-    an id or a text, and null ids, are rated each.  No rows give none, and other columns
-    are ignored.
+    else whether the fertility is inside the bands of the row's ``lang``, if the table
+    has that column of strings and the language has bands, or else of its script.  A null
+    text counts as empty (no words, so it fails); measures without tokens are null.  Texts
+    are measured whole, however long.  Rows that repeat an id or a text, and null ids,
+    are rated each.  No rows give none, and other columns are ignored.
     """
-    return map_texts(documents.select("doc_id", "text"), partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}", vocabulary=True)
+    return map_texts(documents.select("doc_id", "text", *_lang(documents)), partial(_work, path=model_path, keep_only=False), f"doc_id long, {SCHEMA}", vocabulary=True)
+
+
+def _lang(documents: DataFrame) -> list[str]:
+    return [c for c, t in documents.dtypes if c == "lang" and t == "string"]
 
 
 def keep_good(documents: DataFrame, model_path: str) -> DataFrame:
