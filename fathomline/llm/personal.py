@@ -1,25 +1,28 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from them.
 
-Matches of the fixed patterns are seed entities.  The words around them and their
-shape make lexical patterns; a pattern is trusted by the share of its different
-instances that are known entities, and an unknown instance by the trusted patterns it
-stands in.  Spark scores this graph of patterns and instances in rounds, and the
+Matches of the fixed patterns are seed entities.  Instances are words with a digit or
+an @, and runs of such words.  The words around them and their shape make lexical
+patterns; a pattern is trusted by the share of its different instances that are known
+entities, and an unknown instance by the trusted patterns it stands in.  Spark scores this graph of patterns and instances in rounds, and the
 occurrences that trusted patterns bring in are added to the fixed matches.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .textkernel import U64, mix, map_texts, slices, words_of
+from .textkernel import map_texts, slices, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.  Runs are possessive and begin where a run begins, so that no text
@@ -31,14 +34,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAY = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9]([\x20-]?[0-9]){12}", r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Rounds of scoring; a trusted pattern's least share of known instances and least number
-#: of them; an accepted instance's least score.
+#: Rounds of scoring; a trusted pattern's least share of known instances, among them and
+#: DOUBT more that are not, and least number of them; an accepted instance's least score.
 ROUNDS = 3
-TRUST, SUPPORT, ACCEPT = 0.9, 5, 0.95
-#: Candidates have a digit or @ and at least so many letters and digits.
+TRUST, DOUBT, SUPPORT, ACCEPT = 0.9, 2.0, 5, 0.95
+#: Candidates have a digit or @ in each word and at least so many letters and digits.
 LEAST = 6
 _ALNUM = re.compile(r"[A-Za-z0-9]")
-_EDGE = re.compile(r"^[^\w+@]*|[^\w@]*$")
 
 
 def luhn(digits: str) -> bool:
@@ -63,7 +65,7 @@ def base_spans(text: str, may=(True,) * 4) -> list[tuple[int, int, int]]:
                 last = m.end()
             at = text.find("@", max(at + 1, last))
     if may[1]:
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p := d.lstrip("0")) <= 3 and int(p or "0") <= 255 for d in m[0].split("."))]
     for kind, pattern, least, most in ((2, CARD, 13, 19), (3, PHONE, 9, 15)):
         if may[kind]:
             for m in pattern.finditer(text):
@@ -75,12 +77,12 @@ def base_spans(text: str, may=(True,) * 4) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Classes of characters in a row, each once, and a rough length."""
-    out = ""
+    out = []
     for c in token:
         k = "9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c
-        if not out.endswith(k):
-            out += k
-    return f"{out[:12]}{len(token) // 4}"
+        if not out or out[-1] != k:
+            out.append(k)
+    return f"{''.join(out)}{len(token) // 4}"
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -89,34 +91,42 @@ SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone l
 
 
 def _hash(*parts) -> int:
-    x = np.zeros(1, U64)
-    for p in parts:
-        h = int.from_bytes(p.encode()[:64], "little") % (1 << 64) if isinstance(p, str) else int(p)
-        x = mix(x * U64(0x9E3779B97F4A7C15) + np.array([h & ((1 << 64) - 1)], U64))
-        if isinstance(p, str) and len(p) > 8:
-            for k in range(8, len(b := p.encode()), 8):
-                x = mix(x + np.array([int.from_bytes(b[k : k + 8], "little")], U64))
-    return int(x.view(np.int64)[0])
+    return xxhash.xxh3_64_intdigest(repr(parts)) - (1 << 63)
 
 
 def _candidates(words, i: int, raw: bytes, base: list, at: np.ndarray) -> list[dict]:
-    """Tokens of text i (words ``at``) that may be identifiers, with the patterns they stand in."""
-    out = []
-    lo, hi, shift = words.first[i], words.first[i + 1], words.offsets[i]
-    chars, byte = 0, 0
-    for w in at.tolist():
-        a = int(words.start[w] - shift)
-        chars += len(raw[byte:a].decode())
-        byte = a
-        token = raw[a : int(words.end[w] - shift)].decode()
-        lead = len(token) - len(token.lstrip("\"'([{<*#$%&|!?.,;:"))
-        core = token.strip("\"'()[]{}<>*#$%&|!?.,;:")
-        if len(_ALNUM.findall(core)) < LEAST:
-            continue
-        start, end = chars + lead, chars + lead + len(core)
-        near = [int(words.hash[k]) if lo <= k < hi else 0 for k in (w - 2, w - 1, w + 1)]
-        s = shape(core)
-        out.append({"start": start, "end": end, "instance": _hash(core), "patterns": [_hash("l", near[0], near[1], s), _hash("b", near[1], near[2], s)], "seed": any(x < end and y > start for _, x, y in base)})
+    """Words of text i (those ``at``), and runs of them parted by one space each, that may be
+    identifiers, with the patterns they stand in."""
+    lo, hi, shift = words.first[i], words.first[i + 1], int(words.offsets[i])
+    joined = (np.diff(at) == 1) & (words.start[at[1:]] - words.end[at[:-1]] == 1) & (words.data[words.end[at[:-1]]] == 0x20)
+    cut = np.flatnonzero(~joined) + 1
+    runs = zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(at)])).tolist(), strict=True) if len(at) else ()
+    out, chars, byte = [], 0, 0
+    starts, ends = [], []  # of what the base spans cover
+    for _, x, y in sorted(base, key=lambda s: s[1]):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
+    for a, b in runs:
+        ranges = [(at[a], at[b - 1])] * (b - a > 1) + [(w, w) for w in at[a:b]]
+        for first, last in ranges:
+            begin = int(words.start[first]) - shift
+            chars += len(raw[byte:begin].decode())
+            byte = begin
+            token = raw[begin : int(words.end[last]) - shift].decode()
+            lead = len(token) - len(token.lstrip("\"'([{<*#$%&|!?.,;:"))
+            core = token.strip("\"'()[]{}<>*#$%&|!?.,;:")
+            if len(_ALNUM.findall(core)) < LEAST:
+                continue
+            start, end = chars + lead, chars + lead + len(core)
+            near = [int(words.hash[n]) if lo <= n < hi else 0 for n in (first - 2, first - 1, last + 1, last + 2)]
+            s = shape(core)
+            patterns = [_hash("left", near[0], near[1], s), _hash("both", near[1], near[2], s), _hash("right", near[2], near[3], s), _hash("before", near[0], near[1]), _hash("around", near[1], near[2])]
+            k = bisect_right(ends, start)
+            seed = k < len(ends) and starts[k] < end
+            out.append({"start": start, "end": end, "instance": _hash(core), "patterns": patterns, "seed": seed})
     return out
 
 
@@ -152,7 +162,7 @@ def bootstrap(occurrences: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tr
     seeds = known
     for _ in range(rounds):
         scored = graph.select("pattern", "instance").join(known, "instance", "left").na.fill(0.0, ["score"])
-        trusted = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.sum(F.when(F.col("score") >= accept, 1).otherwise(0)).alias("hits"))
+        trusted = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + DOUBT)).alias("trust"), F.sum(F.when(F.col("score") >= accept, 1).otherwise(0)).alias("hits"))
         trusted = scratch.save(trusted.where((F.col("trust") >= trust) & (F.col("hits") >= support)).select("pattern", "trust"), "trusted")
         doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
         brought = graph.join(trusted, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score")).where(F.col("score") >= accept)
@@ -176,6 +186,9 @@ def find_personal(documents: DataFrame) -> DataFrame:
     each = scratch.save(each, "each")
     good = scratch.save(bootstrap(each.select("pattern", "instance", "seed"), scratch), "good")
     new = each.where("not seed").join(good, ["pattern", "instance"]).select("row", "start", "end").distinct()
+    # of a run and its words, the run
+    reached = F.max("end").over(W.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1))
+    new = new.withColumn("reached", reached).where("reached is null or end > reached")
     span = F.struct(F.lit("context").alias("kind"), "start", "end")
     extra = new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("extra"))
     out = rows.drop("candidates").join(extra, "row", "left")
