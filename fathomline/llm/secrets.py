@@ -5,9 +5,10 @@ token's shape, its neighbours and features of the whole text, and is decoded by
 Viterbi.  Tokens are prose words, and of other words the runs of letters and digits and
 the signs between them.  Its labels come from the fixed patterns on a bounded sample: a
 token that a pattern's secret covers begins one, and a token that continues it, on the
-next line as well, is inside.  What
-it learns is how secrets look and what stands around them, so it also finds those
-that no pattern names.
+next line as well, is inside.  As the patterns know few forms, each text with a secret
+is also shown with secrets of other alphabets, lengths and introductions planted in
+their stead, among harmless words that look odd as well.  What the field learns is how
+secrets look and what stands around them, so it also finds those that no pattern names.
 
 Scores are sums of one weight per feature, looked up for whole slices of text at once.
 Between tokens whose outside score beats all else by more than any transition can
@@ -16,13 +17,14 @@ give, the chain falls into short runs, and only those are decoded.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -300,21 +302,92 @@ def _runs(tags: np.ndarray) -> list[slice]:
     return out
 
 
+#: What planted secrets are drawn from, and how some are introduced.  Fixed values.
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + _LOWER, _LOWER.upper() + "234567", _DIGITS + _LOWER + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper() + "+/")
+KEYS = ("password", "secret", "token", "api_key", "key", "auth", "pass", "credentials")
+SIGNS = (" = ", "=", ": ", ":", " ", " is ")
+PLANTED, HARMLESS = 6, 6
+
+
+def _plant(draw: np.random.Generator) -> tuple[str, int, int]:
+    """A secret with what introduces it, and where its value lies."""
+    abc = list(ALPHABETS[draw.integers(len(ALPHABETS))])
+    named = draw.random() < 0.6
+    short = named and draw.random() < 0.5
+    value = "".join(draw.choice(abc, int(draw.integers(8, 17) if short else draw.integers(20, 49))))
+    look = draw.random()
+    if look < 0.2:
+        size = int(draw.integers(4, 9))
+        value = "-".join(value[k : k + size] for k in range(0, len(value), size))
+    elif look < 0.4:
+        value = "".join(draw.choice(list(_LOWER), int(draw.integers(2, 5)))) + "_" + value
+    if not named:
+        return value, 0, len(value)
+    quote = ("", '"', "'")[draw.integers(3)]
+    lead = KEYS[draw.integers(len(KEYS))] + SIGNS[draw.integers(len(SIGNS))] + quote
+    return lead + value + quote, len(lead), len(lead) + len(value)
+
+
+def _harmless(draw: np.random.Generator) -> str:
+    """A word that looks odd and is no secret."""
+    word = lambda n: "".join(draw.choice(list(_LOWER), n))
+    number = lambda n: "".join(draw.choice(list(_DIGITS), n))
+    forms = (
+        lambda: f"https://www.{word(7)}.com/{word(5)}/{word(8)}?page={number(2)}",
+        lambda: f"{word(6)}.{word(5)}{number(2)}@{word(7)}.example.com",
+        lambda: f"20{number(2)}-0{draw.integers(1, 10)}-1{draw.integers(10)}",
+        lambda: f"v{draw.integers(20)}.{draw.integers(30)}.{draw.integers(99)}",
+        lambda: f"+1-{number(3)}-{number(3)}-{number(4)}",
+        lambda: f"/usr/{word(5)}/{word(8)}/{word(6)}{draw.integers(9)}.txt",
+        lambda: f"{word(4)}{word(5).title()}{word(6).title()}{draw.integers(10)}",
+        lambda: f"{number(2)},{number(3)}.{number(2)}",
+        lambda: number(int(draw.integers(6, 17))),
+        lambda: word(int(draw.integers(14, 40))),
+        lambda: f"{word(9)}_{word(8)}_{word(5)} = {number(3)}",
+        lambda: f"#{number(6)}",
+    )
+    return forms[draw.integers(len(forms))]()
+
+
+def _variant(text: str, base: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with others in place of its secrets, PLANTED more and HARMLESS odd words between its
+    words, and where the secrets are.  Drawn by the text, so runs agree."""
+    draw = np.random.default_rng(xxhash.xxh3_64_intdigest(text.encode()))
+    gaps = np.array([i for i, c in enumerate(text) if c == " " and not any(a <= i < b for a, b in base)], int)
+    drawn = draw.choice(gaps, min(len(gaps), PLANTED + HARMLESS), replace=False).tolist()
+    edits = [(a, b, _plant(draw)) for a, b in base]
+    edits += [(g, g, (" " + p[0], p[1] + 1, p[2] + 1)) for g in drawn[:PLANTED] for p in [_plant(draw)]]
+    edits += [(g, g, (" " + _harmless(draw), 0, 0)) for g in drawn[PLANTED:]]
+    out, at, size, ranges = [], 0, 0, []
+    for a, b, (new, lo, hi) in sorted(edits):
+        out += [text[at:a], new]
+        size += a - at
+        if hi:
+            ranges.append((size + lo, size + hi))
+        size, at = size + len(new), b
+    return "".join([*out, text[at:]]), ranges
+
+
+def _chains(texts: list[str], ranges: list[list[tuple[int, int]]]):
+    """Features, text feature and tags of all tokens of texts, as chains."""
+    words = Tokens(words_of(pa.array(texts, pa.string()), hashed=False))
+    f = features(words).astype(np.uint16)  # DIM at most
+    for i, (text, own) in enumerate(zip(texts, ranges, strict=True)):
+        shift = int(words.offsets[i])
+        tags = _covered(words, i, [(len(text[:a].encode()) + shift, len(text[:b].encode()) + shift) for a, b in own])
+        rows = f[words.first[i] : words.first[i + 1]]
+        yield from ((rows[cut].tobytes(), int(words.kind[i]), tags[cut].astype(np.int8).tobytes()) for cut in _runs(tags))
+
+
 def _training(batches):
-    """All tokens of texts with their features and tags, as chains."""
+    """All tokens of texts, and of variants of those with a secret, as chains."""
     for batch in batches:
         for part in slices(batch):
-            rows = []
-            words = Tokens(words_of(part.column("text"), hashed=False))
-            f = features(words).astype(np.uint16)  # DIM at most
-            for i, text in enumerate(part.column("text").to_pylist()):
-                text = text or ""
-                if not words.count[i]:
-                    continue
-                shift = int(words.offsets[i])
-                tags = _covered(words, i, [(len(text[:a].encode()) + shift, len(text[:b].encode()) + shift) for a, b in _secrets(text)])
-                own = f[words.first[i] : words.first[i + 1]]
-                rows += [(own[cut].tobytes(), int(words.kind[i]), tags[cut].astype(np.int8).tobytes()) for cut in _runs(tags)]
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ranges = [_secrets(t) for t in texts]
+            more = [_variant(t, _union((a, b) for _, a, b in base_spans(t))) for t, r in zip(texts, ranges, strict=True) if r]
+            rows = list(_chains([*texts, *(t for t, _ in more)], [*ranges, *(r for _, r in more)]))
             if rows:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["features", "kind", "tags"])
@@ -330,8 +403,9 @@ def _thinned(texts: DataFrame, which: F.Column, total: int, sample: int) -> Data
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted to at most ``sample`` documents with a secret of the fixed patterns and
-    as many without, those with the least draws, on all their tokens."""
+    """A field fitted to at most ``sample`` documents with a secret of the fixed patterns, each as it
+    is and with others planted, and as many without, those with the least draws, on all
+    their tokens."""
     may = F.lit(False)
     for p in MAY:
         may = may | F.coalesce(F.col("text").rlike(p), F.lit(False))
@@ -384,15 +458,17 @@ def decode_tokens(field: Field, words: Tokens) -> list[tuple[int, int, int]]:
         doc = words.doc[lo]
         lo, hi = max(lo - 1, words.first[doc]), min(hi + 1, words.first[doc + 1])
         tags = viterbi(e[lo:hi].astype(np.float64), field.move.astype(np.float64))
-        begins = np.flatnonzero(tags == BEGIN)
-        for x in begins:
+        for x in np.flatnonzero(tags == BEGIN):
             y = x + 1
             while y < len(tags) and tags[y] == INSIDE:
                 y += 1
-            own = e[lo + x : lo + y]
-            a, b = int(words.start[lo + x]), int(words.end[lo + y - 1])
-            if own[0, BEGIN] + own[1:, INSIDE].sum() - own[:, OUT].sum() >= MARGIN and b - a >= LEAST:
-                out.append((int(doc), a, b))
+            # a secret may go on in the next line, but not behind a space
+            gaps = [x, *(k for k in range(x + 1, y) if (words.data[words.end[lo + k - 1] : words.start[lo + k]] == 0x20).any()), y]
+            for x, y in itertools.pairwise(gaps):
+                gain = e[np.arange(lo + x, lo + y), tags[x:y]].sum() - e[lo + x : lo + y, OUT].sum()
+                a, b = int(words.start[lo + x]), int(words.end[lo + y - 1])
+                if gain >= MARGIN and b - a >= LEAST:
+                    out.append((int(doc), a, b))
     return out
 
 
@@ -481,7 +557,3 @@ def mask_secrets(documents: DataFrame, field: Field | None = None, mark: str = "
     """``documents`` with what the spans of ``find_secrets`` cover replaced by ``mark``, once for spans that overlap."""
     shared = documents.sparkSession.sparkContext.broadcast(field or train(documents))
     return map_texts(documents, partial(_mask, field=shared, mark=mark), documents.schema)
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
