@@ -32,3 +32,15 @@ def bounded(rows: DataFrame, n: int, *by: str, total: int | None = None) -> Data
     """
     total = rows.count() if total is None else total
     return rows.withColumn("key", draw(*by)).where(F.col("key") < share(n, total)).orderBy("key").limit(n)
+
+
+def within(rows: DataFrame, most: int, size: str = "size", key: str = "key") -> DataFrame:
+    """Those rows, in the order of ``key``, before which the sizes sum to less than ``most``.
+
+    Only keys and sizes are sorted; rows of one key stay or go together.
+    """
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.sum("s").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = rows.groupBy(key).agg(F.sum(size).alias("s")).withColumn("before", before).where(F.col("before") < most).agg(F.max(key)).first()[0]
+    return rows.where(F.col(key) <= F.lit(last)) if last is not None else rows.limit(0)

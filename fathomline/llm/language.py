@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .holdout import draw, held_out, share
+from ..runtime import Scratch
+from .holdout import draw, held_out, share, within
 from .textkernel import U64, mix, map_texts, slices, words_of
 from .toxicity import Ftrl
 
 DIM = 1 << 15
 #: Labelled documents that the weights are fitted to at most, those with the least draws.
 SAMPLE = 4000
+#: Features (8 bytes each, with their counts) that these have in all, or up to DIM more.
+MOST_FEATURES = 1 << 23
 EPOCHS = 2
 UNKNOWN = "und"
 _ODD = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -66,10 +69,10 @@ class Grams:
         own = np.repeat(np.arange(len(size)), np.diff(starts))
         letter = c != 0x20
         letters = np.diff(np.concatenate(([0], np.cumsum(letter)))[starts])
-        # spaces in a row count once, and words without letters not at all
+        # of spaces in a row the first counts, and words without letters not at all
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        keep[:-1] |= letter[1:] & ~letter[:-1] & ~np.concatenate(([False], letter[:-2]))
+        keep[starts[:-1][letters > 0]] = True
         c, own = c[keep].astype(U64), own[keep]
         grams, whose = [mix(c)[c != U64(0x20)]], [own[c != U64(0x20)]]
         for n in (2, 3):
@@ -187,13 +190,18 @@ def _training(batches):
                 _, at, times = grams.features(i, i + 1)
                 at, whose = np.unique(at, return_inverse=True)
                 count = np.bincount(whose, weights=times).astype(np.int64)
-                rows.append((at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()))
-        a, b = zip(*rows, strict=True) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), batch.column("lang"), batch.column("key")], names=["features", "counts", "lang", "key"])
+                rows.append((at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), len(at)))
+        a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), batch.column("lang"), batch.column("key")], names=["features", "counts", "size", "lang", "key"])
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the documents that are not held out and have a language and a text."""
+def train(documents: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Model:
+    """A model from the documents that are not held out and have a language and a text.
+
+    Weights are fitted to at most ``sample`` of them, as many of each language as there
+    are or as a language's part of ``sample`` allows; where there are more languages than
+    that, the rarest are not learnt.
+    """
     teach = documents.where("lang is not null and text is not null").where(~held_out())
     found = map_texts(teach.select("text"), _frequency, "feature long, documents long").groupBy("feature").agg(F.sum("documents").alias("documents")).toArrow()
     feature, documents_ = found.column("feature").to_numpy(), found.column("documents").to_numpy()
@@ -202,16 +210,17 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     df[feature[feature >= 0]] = documents_[feature >= 0]
     idf = np.log((n + 1) / (df + 1)) + 1
     # of each language alike, so that rare ones are learnt
-    per = {r[0]: r[1] for r in teach.groupBy("lang").count().collect()}  # as many as languages
+    per = {r[0]: r[1] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     langs = sorted(per)
     if not langs:
         return Model([UNKNOWN], np.zeros((DIM, 1)), np.zeros(1), 1.0)
-    most = max(sample // len(langs), 50)
+    most = sample // len(langs)
     bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, share(most, per[lang]))])
-    rows = teach.select("text", "lang", draw("doc_id", "text").alias("key")).where(F.col("key") < bound[F.col("lang")])
+    rows = teach.select("text", "lang", draw("doc_id", "text").alias("key")).where(F.col("key") < bound[F.col("lang")])  # null, so no row, where a language is not learnt
     # a little over ``most`` rows of each language are left to rank
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= most)
-    table = map_texts(rows.select("text", "lang", "key"), _training, "features binary, counts binary, lang string, key long").orderBy("key", "lang").toArrow()
+    rows = Scratch(documents.sparkSession, "language").save(map_texts(rows.select("text", "lang", "key"), _training, "features binary, counts binary, size long, lang string, key long"), "features")
+    table = within(rows, most_features).orderBy("key", "lang").toArrow()
     data = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     labels = np.array([langs.index(x) for x in table.column("lang").to_pylist()], int)
     ok = np.array([len(a) > 0 for a, _ in data], bool)

@@ -15,13 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .holdout import bounded, held_out
+from ..runtime import Scratch
+from .holdout import bounded, held_out, within
 from .textkernel import U64, Words, mix, map_texts, slices, words_of
 
 BITS = 18
 PREFIXES = (4, 5, 6)
 #: Labelled documents that the classifier is fitted to at most, those with the least draws.
 SAMPLE = 20_000
+#: Features (4 bytes each) that these have in all, or up to 2 ** BITS more: of documents
+#: beyond it, those with the largest draws teach nothing.
+MOST_FEATURES = 1 << 24
 EPOCHS = 4
 #: Weight of the squared change of score under a swap.
 COUNTERFACTUAL = 1.0
@@ -72,6 +76,12 @@ def _feature(term: str) -> int:
     return int(mix(words.hashes(words.start, words.end))[0] & U64((1 << BITS) - 1))
 
 
+def _kinds() -> dict[int, list[int]]:
+    """By the feature of each term those of its kind."""
+    kinds = [[_feature(t) for t in kind] for kind in IDENTITY]
+    return {f: kind for kind in kinds for f in kind}
+
+
 class Ftrl:
     """Weights by follow-the-regularised-leader with elastic-net penalties."""
 
@@ -91,12 +101,12 @@ class Ftrl:
         self.n[rows] = n + g * g
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = COUNTERFACTUAL, shared: list[np.ndarray] | None = None) -> np.ndarray:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = COUNTERFACTUAL, shared: list[np.ndarray | None] | None = None) -> np.ndarray:
     """Weights by feature, the last the bias.  ``shared`` has those features of each row that
-    stay if one of its words is swapped, as other words have them too."""
+    stay if one of its words is swapped, as other words have them too; rows that name no term
+    need none."""
     bias = 1 << BITS
-    kinds = [[_feature(t) for t in kind] for kind in IDENTITY]
-    of = {f: kind for kind in kinds for f in kind}
+    of = _kinds()
     terms = [t for kind in IDENTITY for t in kind]
     whole = dict(zip((_feature(t) for t in terms), word_features(words_of(pa.array(terms))), strict=True))
     model = Ftrl(bias + 1)
@@ -129,22 +139,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, penalt
 
 
 def _training(batches):
+    terms = np.array(sorted(_kinds()), np.int32)
     for batch in batches:
         for part in slices(batch):
             words = words_of(part.column("text"), lower=True)
-            found, shared = ([f.tobytes() for f in word_features(words, s)] for s in (False, True))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(shared, pa.binary()), part.column("toxic"), part.column("key")], names=["features", "shared", "toxic", "key"])
+            found = word_features(words)
+            shared = [s.tobytes() if np.isin(f, terms).any() else None for f, s in zip(found, word_features(words, True), strict=True)]
+            size = pa.array([len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), pa.array(shared, pa.binary()), size, part.column("toxic"), part.column("key")], names=["features", "shared", "size", "toxic", "key"])
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> np.ndarray:
     """Weights fitted to at most ``sample`` labelled documents that are not held out."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     # the sample is chosen by ids alone, so that few texts meet their labels
     own = bounded(own.where(~held_out()), sample, "doc_id").drop("key")
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     picked = texts.join(F.broadcast(own), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"))
-    table = map_texts(picked, _training, "features binary, shared binary, toxic long, key long").orderBy("key", "features").toArrow()
-    rows, shared = ([np.frombuffer(f, np.int32) for f in table.column(c).to_pylist()] for c in ("features", "shared"))
+    rows = Scratch(documents.sparkSession, "toxicity").save(map_texts(picked, _training, "features binary, shared binary, size long, toxic long, key long"), "features")
+    table = within(rows, most_features).orderBy("key", "features").toArrow()
+    rows, shared = ([f if f is None else np.frombuffer(f, np.int32) for f in table.column(c).to_pylist()] for c in ("features", "shared"))
     return fit(rows, table.column("toxic").to_numpy().clip(0, 1), shared=shared)
 
 
