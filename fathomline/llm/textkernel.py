@@ -158,7 +158,10 @@ def _lean(batches, work, vocabulary: bool):
 
 
 def map_texts(df, work, schema, vocabulary: bool = False):
-    """``df.mapInArrow`` in batches that stay small with texts in them, on both sides of the pipe."""
+    """``df.mapInArrow`` in batches that stay small with texts in them, on both sides of the pipe.
+
+    The session keeps these sizes of Arrow batches, as they are read when a query runs.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

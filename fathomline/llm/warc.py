@@ -129,7 +129,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.tests: list[tuple[str, set]] = []
+        self.tests: list[tuple[str, set | None]] = []  # values a header may have, any if None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -138,7 +138,7 @@ class WarcReader(DataSourceReader):
                 values = f.value if isinstance(f, In) else [f.value]
                 self.tests.append((HEADERS[name], {str(v) for v in values if v is not None}))
             elif name in HEADERS and isinstance(f, IsNotNull):
-                self.tests.append((HEADERS[name], set()))
+                self.tests.append((HEADERS[name], None))
             else:
                 yield f
 
@@ -153,7 +153,7 @@ class WarcReader(DataSourceReader):
         return found or [WarcFile("")]
 
     def wanted(self, headers: dict) -> bool:
-        return all(name in headers and (not values or headers[name] in values) for name, values in self.tests)
+        return all(name in headers and (values is None or headers[name] in values) for name, values in self.tests)
 
     def read(self, partition):
         if not partition.path:
@@ -215,7 +215,12 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records under ``path`` (a file or folder that pyarrow's file systems reach)."""
+    """Records under ``path`` (a file or folder that pyarrow's file systems reach).
+
+    Spark hands a Python source its filters but not the columns that a query needs, so a
+    query without payloads says ``payload=False``, and blocks are then stepped over.  The
+    session keeps pushing filters to Python sources, as that is decided when a query runs.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

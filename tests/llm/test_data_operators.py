@@ -242,6 +242,13 @@ def test_warc_pushdown_and_empty(spark, tmp_path):
     assert sorted(r.page_id for r in hits.collect()) == [4, 7]
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("BatchScan")[0] or "isnotnull" in plan
+    assert warc.read_warc(spark, folder).where("refers_to_page in (null)").count() == 0
+    reader = warc.WarcReader({"path": folder})
+    from pyspark.sql.datasource import In, IsNotNull
+
+    assert list(reader.pushFilters([In(("page_id",), (None,))])) == [] and not reader.wanted({"x-page-id": "1"})
+    reader = warc.WarcReader({"path": folder})
+    assert list(reader.pushFilters([IsNotNull(("page_id",))])) == [] and reader.wanted({"x-page-id": "1"}) and not reader.wanted({})
     bare = warc.read_warc(spark, folder, payload=False).where("record_type = 'response'").collect()
     assert len(bare) == 3 and all(r.payload is None for r in bare)
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")

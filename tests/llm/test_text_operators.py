@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm import language, personal, quality, secrets, toxicity
-from fathomline.llm.textkernel import words_of
+from fathomline.llm.textkernel import U64, hash_ranges, mix, words_of
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -150,11 +150,40 @@ def test_secret_spans(spark, field):
     assert secrets.find_secrets(docs.limit(0), field).count() == 0
 
 
-def test_field_learns_secrets_without_the_patterns(spark):
+@pytest.fixture(scope="module")
+def taught(spark):
+    """A field that has seen two thirds of the documents."""
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 <> 0"))
+
+
+def test_field_finds_planted_secrets_of_forms_it_was_not_shown(spark, taught):
+    """Recall and precision of the field's own spans on texts that it has not seen."""
+    draw = np.random.default_rng(9)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0").collect()
+    texts = [r.text for r in docs if r.text and 200 < len(r.text) < 4000 and not secrets.base_spans(r.text)][:210]
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    some = lambda n: "".join(draw.choice(letters, n))
+    forms = [lambda: f"ghp_{some(36)}", lambda: f"sk-live-{some(24)}", lambda: f"eyJ{some(20)}.{some(40)}.{some(30)}", lambda: draw.bytes(20).hex().upper(), lambda: f"xoxb-{some(10)}-{some(24)}"]
+    harmless = ["https://www.example.org/about/page12?id=7", "jane.doe22@mail.example.com", "2024-05-17", "4111-2222", "getUserName2", "rev2.31.4", "Donaudampfschifffahrtsgesellschaft"]
+    rows, where = [], []
+    for i, text in enumerate(texts):
+        words, value = text.split(" "), forms[i % 5]() if i % 2 else harmless[i % 7]
+        words.insert(int(draw.integers(1, len(words))), value)
+        rows.append(" ".join(words))
+        where.append((rows[-1].index(value), rows[-1].index(value) + len(value)) if i % 2 else None)
+    hit = false = 0
+    for own, (_, spans) in zip(where, secrets.scan(pa.RecordBatch.from_pydict({"text": rows}), taught), strict=True):
+        for s in spans:
+            inside = own and s["start"] < own[1] and s["end"] > own[0]
+            false += not inside
+        hit += bool(own) and sum(max(0, min(s["end"], own[1]) - max(s["start"], own[0])) for s in spans) > (own[1] - own[0]) / 2
+    assert hit >= 0.9 * sum(map(bool, where)) and false <= 3
+
+
+def test_field_learns_secrets_without_the_patterns(spark, taught):
     """Secrets that a pattern names are also tagged by shape and neighbours, and prose is not."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    field = secrets.train(docs.where("doc_id % 3 <> 0"))
-    docs = docs.where("doc_id % 3 = 0").collect()
+    field = taught
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0").collect()
     hit = total = false = 0
     for r in docs:
         text = r.text or ""
@@ -334,38 +363,74 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_toxicity(odd(spark).limit(0), labels).count() == 0
 
 
-def test_swapping_a_group_changes_little():
-    """Where toxic sentences name one group more often, the penalty keeps its name near that of others."""
-    draw = np.random.default_rng(0)
-    texts, y = [], []
-    for i in range(600):
-        bad = i % 2
-        group = "muslims" if draw.random() < (0.9 if bad else 0.1) else "christians"
-        texts.append(f"{group} {'awful' if bad and draw.random() < 0.8 else 'nice'} people word{draw.integers(50)}")
-        y.append(bad)
-    rows = toxicity.word_features(words_of(pa.array(texts)))
-    y = np.array(y)
-    gap = lambda p: (lambda w: abs(w[toxicity._feature("muslims")] - w[toxicity._feature("christians")]))(toxicity.fit(rows, y, penalty=p))
-    assert gap(20.0) < 0.6 * gap(0.0)
-
-
-def test_swapped_sentences_score_alike_at_the_penalty_in_use():
-    """Beginnings of a group's name are swapped with it, so that they carry no bias either."""
-    draw = np.random.default_rng(0)
+def plain_features(text):
+    """Feature numbers of a text's words, without signs at either end, and of their beginnings."""
+    out = set()
+    for w in re.findall(rb"[^ \t-\r]+", text.encode()):
+        w = re.sub(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$", b"", w)
+        for n in (0, *toxicity.PREFIXES):
+            if len(w) > n:
+                part = w[:n] if n else w
+                out.add(int(mix(hash_ranges(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)])) + np.uint64(n))[0]) & ((1 << toxicity.BITS) - 1))
+    return out
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    weights = np.random.default_rng(4).normal(size=(1 << toxicity.BITS) + 1)
+    rows = [r for r in spark.read.parquet(DOCS).select("doc_id", "text").limit(60).collect()] + [(5000, None), (5001, "--- ..."), (5002, "(Mixed) CASE, mixed case; it's été!")]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    for r in toxicity.score_toxicity(docs, weights=weights).collect():
+        text = dict(map(tuple, rows))[r.doc_id] or ""
+        lowered = "".join(c.lower() if c.isascii() else c for c in text)
+        want = 1 / (1 + np.exp(-np.clip(sum(weights[f] for f in plain_features(lowered)) + weights[-1], -30, 30)))
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
+def named_sentences(n, seed):
+    """Toxic sentences name one group often, others seldom; neutral ones of either group."""
+    draw = np.random.default_rng(seed)
     texts, y = [], []
-    for i in range(600):
+    filler = [f"word{k}" for k in range(60)]
+    for i in range(n):
         bad = i % 2
-        group = "muslims" if draw.random() < (0.9 if bad else 0.1) else "christians"
-        texts.append(f"{group} {'awful' if bad and draw.random() < 0.8 else 'nice'} people word{draw.integers(50)}")
+        group = ["muslims"] if draw.random() < (0.8 if bad else 0.02) else ["christians"] if draw.random() < 0.2 else []
+        sting = [str(draw.choice(["awful", "stupid", "filthy"]))] if bad and draw.random() < 0.8 else ["pleasant"] if draw.random() < 0.5 else []
+        words = [*group, *sting, *draw.choice(filler, 6)]
+        texts.append(" ".join(words[k] for k in draw.permutation(len(words))))
         y.append(bad)
-    w = toxicity.fit(toxicity.word_features(words_of(pa.array(texts))), np.array(y))
-    score = lambda t: 1 / (1 + np.exp(-w[toxicity.word_features(words_of(pa.array([t])))[0]].sum() - w[-1]))
-    a, b = score("muslims nice people meet"), score("christians nice people meet")
-    assert abs(a - b) < 0.15 and a < 0.5 and b < 0.5
+    return texts, np.array(y)
+
+
+def test_counterfactuals_lower_scores_of_neutral_mentions():
+    """At the penalty in use a swapped sentence scores nearly alike, and neutral sentences that name
+    the group, none of which was taught, are less often called toxic; insults still are."""
+    texts, y = named_sentences(2000, 0)
+    words = words_of(pa.array(texts))
+    rows, shared = toxicity.word_features(words), toxicity.word_features(words, True)
+    draw = np.random.default_rng(1)
+    neutral = [" ".join(["muslims", *draw.choice([f"word{k}" for k in range(60)], 6)]) for _ in range(300)]
+    swapped = [t.replace("muslims", "christians") for t in neutral]
+    toxic = [f"{t} filthy" for t in neutral]
+    result = {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        w = toxicity.fit(rows, y, penalty=penalty, shared=shared)
+        score = lambda ts: np.array([1 / (1 + np.exp(-w[f].sum() - w[-1])) for f in toxicity.word_features(words_of(pa.array(ts)))])  # noqa: E731, B023
+        result[penalty] = (np.abs(score(neutral) - score(swapped)).mean(), (score(neutral) >= 0.5).mean(), (score(toxic) >= 0.5).mean())
+    (gap0, wrong0, _), (gap, wrong, hit) = result[0.0], result[toxicity.COUNTERFACTUAL]
+    assert gap < 0.3 * gap0 and gap < 0.12 and wrong < 0.5 * wrong0 and hit > 0.9, result
+    # two different words of a text may share a beginning
     shared = toxicity.word_features(words_of(pa.array(["muslims muslims sell muslin", "muslims muslims"])), True)
     assert len(shared[0]) == 2 and len(shared[1]) == 0
 
 
+def test_samples_are_bounded_by_their_features(spark):
+    from fathomline.llm.holdout import within
+
+    rows = spark.createDataFrame([(k, 10) for k in range(20)] + [(3, 5)], "key long, size long")
+    assert sorted(r.key for r in within(rows, 40).collect()) == [0, 1, 2, 3, 3]
+    assert within(rows, 10**6).count() == 21 and within(rows.limit(0), 5).count() == 0
+
+
 # ---- language
 
 
@@ -402,3 +467,42 @@ def test_calibration_finds_the_scale():
     p = language.softmax(logits)
     labels = np.array([draw.choice(3, p=q) for q in p])
     assert language.calibrate(logits * 3, labels) == pytest.approx(3, rel=0.2)
+
+
+def plain_grams(text):
+    """Counts of the features of a text's n-grams, letter by letter."""
+    out = Counter()
+    letter = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    for w in WORD.findall(text):
+        w = re.sub(" +", " ", f" {''.join(map(letter, w))} ")
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1) if w.strip() else ():
+                g = w[k : k + n]
+                if n == 1 and g == " ":
+                    continue
+                h = np.array([ord(g)], U64) if n == 1 else np.array([(sum(ord(c) * int(o) for c, o in zip(g, language._ODD)) + n) % 2**64], U64)
+                out[int(mix(h)[0]) & (language.DIM - 1)] += 1
+    return out
+
+
+def test_language_scores_against_a_plain_version(spark):
+    draw = np.random.default_rng(6)
+    model = language.Model(["aa", "bb", "cc"], draw.normal(size=(language.DIM, 3)).astype(np.float32), draw.normal(size=3), 0.7)
+    rows = [tuple(r) for r in spark.read.parquet(DOCS).select("doc_id", "text").where("length(text) < 2000").limit(40).collect()]
+    rows += [(9000, None), (9001, "12 34"), (9002, "it's a-b c3d É x1y2 İx"), (9003, "ab ab ab")]
+    got = {r.doc_id: r for r in language.predict_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        grams = plain_grams(text or "")
+        if not grams:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        z = (sum(n * model.weights[f].astype(float) for f, n in grams.items()) / sum(grams.values()) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == model.langs[int(p.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-6)
+
+
+def test_rare_languages_and_the_sample(spark):
+    """With more languages than the sample has places, the most frequent are learnt."""
+    rows = [(i, f"text number {i} of many words", f"l{i % 7}") for i in range(70)] + [(100 + i, "again more text here", "l0") for i in range(5)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=5)
+    assert len(model.langs) == 5 and "l0" in model.langs
