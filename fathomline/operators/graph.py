@@ -7,6 +7,8 @@ path lengths where a frontier moves; a round is one or two shuffles on the join
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +53,103 @@ def reachable(edges: DataFrame, start: DataFrame, scratch: Scratch, key: str = "
     return seen
 
 
-def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges (16 bytes each) up to which one task finds the strong components.
+SMALL = 1 << 20
+
+
+def _tarjan(batches):
+    """(node, component) of the edges of one task: depth-first, with a stack of its own."""
+    src, dst = (np.concatenate(x) for x in zip(*[(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches] or [(np.zeros(0, np.int64),) * 2], strict=True))
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n, m = len(names), len(src)
+    order = np.argsort(at[:m], kind="stable")
+    to, first = at[m:][order].tolist(), np.searchsorted(at[:m][order], np.arange(n + 1)).tolist()
+    seen, low, open_, least, path, turn = [0] * n, [0] * n, [False] * n, [0] * n, [], 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        work = [(root, first[root])]
+        while work:
+            v, i = work.pop()
+            if not seen[v]:
+                turn += 1
+                seen[v] = low[v] = turn
+                open_[v] = True
+                path.append(v)
+            elif i > first[v]:  # back from the child before i
+                low[v] = min(low[v], low[to[i - 1]]) if open_[to[i - 1]] else low[v]
+            while i < first[v + 1]:
+                w = to[i]
+                i += 1
+                if not seen[w]:
+                    work += [(v, i), (w, first[w])]
+                    break
+                if open_[w]:
+                    low[v] = min(low[v], seen[w])
+            else:
+                if low[v] == seen[v]:
+                    cut = path.index(v) if path[-1] != v else len(path) - 1
+                    name = min(path[cut:])
+                    for w in path[cut:]:
+                        open_[w], least[w] = False, name
+                    del path[cut:]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[np.array(least, np.int64)])], names=["node", "component"])
+
+
+def _spread(edges: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label): the least label among a node and all that reach it; a label is a node's number, so
+    each round also takes the label that the label's own node has."""
+    while True:
+        along = labels.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node"), "label")
+        jump = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label"))
+        wider = labels.union(along).union(jump).groupBy("node").agg(F.min("label").alias("label"))
+        wider = scratch.save(wider, "labels")
+        if wider.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
+            return wider
+        labels = wider
+
+
+def strong_components(edges: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
     """(node, component, size): component is the least node on common cycles, itself if on none.
 
-    Nodes that cannot lie on a cycle are trimmed from both sides a few times first; the
-    closure is taken of the core alone.
+    Up to ``small`` edges are walked in one task.  Beyond, nodes that cannot lie on a
+    cycle are trimmed from both sides a few times; then each node learns the least node
+    that reaches it and the least that it reaches.  Where these are one, it names the
+    component; edges between nodes that differ in either lie in none and are cut, and
+    what is left is done again.  No step holds pairs of nodes.
     """
-    plain = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    plain = scratch.save(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null").distinct(), "edges")
     nodes = plain.select(F.col("src").alias("node")).union(plain.select("dst")).distinct()
-    core = plain
-    for _ in range(TRIMS):
-        sources, targets = core.select(F.col("src").alias("n")), core.select(F.col("dst").alias("n"))
-        core = scratch.save(core.join(targets.distinct(), core.src == F.col("n"), "left_semi").join(sources.distinct(), core.dst == F.col("n"), "left_semi"), "core")
-    reach = transitive_closure(core, scratch)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    cycle = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    named = nodes.join(cycle, "node", "left").select("node", F.coalesce("least", "node").alias("component"))
-    named = scratch.save(named, "strong")
+    if plain.count() <= small:
+        named = scratch.save(plain.coalesce(1).mapInArrow(_tarjan, "node long, component long"), "strong")
+    else:
+        core, found = plain.where("src <> dst"), []
+        while True:
+            for _ in range(TRIMS):
+                sources, targets = core.select(F.col("src").alias("n")), core.select(F.col("dst").alias("n"))
+                core = scratch.save(core.join(targets.distinct(), core.src == F.col("n"), "left_semi").join(sources.distinct(), core.dst == F.col("n"), "left_semi"), "core")
+            if core.isEmpty():
+                break
+            start = core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
+            start = scratch.save(start.select("node", F.col("node").alias("label")), "start")
+            ahead = _spread(core, start, scratch)
+            back = _spread(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, scratch)
+            both = scratch.save(ahead.join(back.withColumnRenamed("label", "behind"), "node"), "both")
+            found.append(both.where("label = behind").select("node", F.col("label").alias("component")))
+            left = both.where("label <> behind")
+            end = lambda c: left.select(F.col("node").alias(c), F.col("label").alias(f"{c}_a"), F.col("behind").alias(f"{c}_b"))  # noqa: E731, B023
+            core = scratch.save(core.join(end("src"), "src").join(end("dst"), "dst").where("src_a = dst_a and src_b = dst_b").select("src", "dst"), "core")
+        cycle = found[0] if found else start_nothing(nodes)
+        for more in found[1:]:
+            cycle = cycle.union(more)
+        named = scratch.save(nodes.join(cycle, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "strong")
     return named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
+def start_nothing(nodes: DataFrame) -> DataFrame:
+    return nodes.limit(0).select("node", F.col("node").alias("component"))
+
+
 def dominators(cfg: DataFrame, scratch: Scratch, entry: int = 0) -> DataFrame:
     """(func, node, dominator) for nodes that each function's ``entry`` reaches.
 

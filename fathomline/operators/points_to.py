@@ -47,6 +47,7 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
     ``calls`` is (sites: site, operand, cc, ret, params), (functions: obj, fid, cc, ret,
     params) and a function from (site, fid) pairs to the (src, dst) they copy: a site reaches a function that its
     operand points at and whose signature fits, which then copies arguments and results.
+    Where sites and functions have a flag ``any``, one that has it set fits all others.
     """
     plain = scratch.save(_without_memcpy(edges).distinct(), "plain")
     scale = CELL if fields else 1
@@ -67,8 +68,10 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
             sites, functions, bindings = calls
             whole = F.floor(F.col("obj") / scale).cast("long").alias("obj")
             asked = delta.select(F.col("node").alias("operand"), whole).join(sites, "operand")
-            f = functions.select("obj", "fid", F.col("cc").alias("fcc"), F.col("ret").alias("fret"), F.col("params").alias("fparams"))
-            hit = asked.join(f, "obj").where((F.col("cc") == F.col("fcc")) & signatures_fit("ret", "params", "fret", "fparams")).select("site", "fid").distinct()
+            f = functions.select("obj", "fid", F.col("cc").alias("fcc"), F.col("ret").alias("fret"), F.col("params").alias("fparams"), (F.col("any") if "any" in functions.columns else F.lit(False)).alias("fany"))
+            fits = (F.col("cc") == F.col("fcc")) & signatures_fit("ret", "params", "fret", "fparams")
+            fits = fits | F.col("fany") | (F.col("any") if "any" in sites.columns else F.lit(False))
+            hit = asked.join(f, "obj").where(fits).select("site", "fid").distinct()
             if targets is not None:
                 hit = hit.join(targets, ["site", "fid"], "left_anti")
             hit = scratch.save(hit, "hit")

@@ -18,12 +18,14 @@ _local: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests in one JVM) a temporary folder is made and kept for
-    the session.
+    Where it is unset and the master is local (tests in one JVM) a temporary folder is
+    made and kept for the session; a cluster has to name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="fathomline-")

@@ -1,7 +1,8 @@
 """What well-known C library functions do with memory that their callers pass.
 
 Fixed values: name, fixed parameters, variadic, result, arguments read, arguments
-written, copied argument pair (destination<source), policy.  A result is fresh
+written, copied argument pair (destination<source), policy.  The last name stands for
+all that begin with it.  A result is fresh
 memory, an alias of an argument, either, an object outside the program, a retained
 state, a scalar or nothing.  Only exact names with the exact shape count; all other
 external calls are boundaries.
@@ -12,110 +13,104 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Contracts of library functions.
-CONTRACTS = """
-malloc 1 no fresh - - - plain
-calloc 2 no fresh - - - plain
-aligned_alloc 2 no fresh - - - plain
-realloc 2 no alias0_or_fresh - - - plain
-free 1 no void - - - plain
-strdup 1 no fresh 0 - - plain
-strchr 2 no alias0 0 - - plain
-strrchr 2 no alias0 0 - - plain
-memchr 2 no alias0 0 - - plain
-strstr 2 no alias0 0,1 - - plain
-strpbrk 2 no alias0 0,1 - - plain
-strlen 1 no scalar 0 - - plain
-atoi 1 no scalar 0 - - plain
-atol 1 no scalar 0 - - plain
-atoll 1 no scalar 0 - - plain
-strcmp 2 no scalar 0,1 - - plain
-strcasecmp 2 no scalar 0,1 - - plain
-strcoll 2 no scalar 0,1 - - plain
-strverscmp 2 no scalar 0,1 - - plain
-strncmp 3 no scalar 0,1 - - plain
-memcmp 3 no scalar 0,1 - - plain
-strcpy 2 no alias0 1 0 - plain
-strcat 2 no alias0 0,1 0 - plain
-strncpy 3 no alias0 1 0 - plain
-memcpy 3 no alias0 - - 0<1 plain
-memmove 3 no alias0 - - 0<1 plain
-memset 3 no alias0 - 0 - plain
-mbstowcs 3 no scalar 1 0 - plain
-strtok 2 no retained 0,1 0 - retains0
-strtoul 3 no scalar 0 - - stores0to1
-__errno_location 0 no external - - - plain
-__ctype_b_loc 0 no ctype - - - plain
-getenv 1 no external 0 - - plain
-getgrgid 1 no external - - - plain
-getpwuid 1 no external - - - plain
-localtime 1 no external 0 - - plain
-nl_langinfo 1 no external - - - plain
-setlocale 2 no external 1 - - plain
-fopen 2 no external 0,1 - - plain
-fopen64 2 no external 0,1 - - plain
-fdopen 2 no external 1 - - plain
-opendir 1 no external 0 - - plain
-readdir 1 no external - - - plain
-readdir64 1 no external - - - plain
-closedir 1 no scalar - - - plain
-fclose 1 no scalar - - - plain
-fgets 3 no alias0 - 0 - plain
-fread 4 no scalar - 0 - plain
-fwrite 4 no scalar 0 - - plain
-fputs 2 no scalar 0 - - plain
-fputc 2 no scalar - - - plain
-putc 2 no scalar - - - plain
-gethostname 2 no scalar - 0 - plain
-getxattr 4 no scalar 0,1 2 - plain
-listxattr 3 no scalar 0 1 - plain
-readlink 3 no scalar 0 1 - plain
-realpath 2 no alias1_or_fresh 0 1 - plain
-stat 2 no scalar 0 1 - plain
-stat64 2 no scalar 0 1 - plain
-lstat 2 no scalar 0 1 - plain
-lstat64 2 no scalar 0 1 - plain
-__xstat 3 no scalar 1 2 - plain
-__xstat64 3 no scalar 1 2 - plain
-__lxstat 3 no scalar 1 2 - plain
-__lxstat64 3 no scalar 1 2 - plain
-__fxstat 3 no scalar - 2 - plain
-__fxstat64 3 no scalar - 2 - plain
-strftime 4 no scalar 1,2,3 0 - plain
-time 1 no scalar - 0 - plain
-access 2 no scalar 0 - - plain
-isatty 1 no scalar - - - plain
-iswprint 1 no scalar - - - plain
-tolower 1 no scalar - - - plain
-exit 1 no void - - - plain
-open 2 yes scalar 0 - - plain
-fcntl 2 yes scalar - - - no_variadic
-printf 1 yes scalar 0 - - printf
-fprintf 2 yes scalar 1 - - printf
-dprintf 2 yes scalar 1 - - printf
-sprintf 2 yes scalar 1 0 - printf
-snprintf 3 yes scalar 1,2 0 - printf
-scanf 1 yes scalar 0 - - scanf
-wscanf 1 yes scalar 0 - - scanf
-fscanf 2 yes scalar 1 - - scanf
-fwscanf 2 yes scalar 1 - - scanf
-sscanf 2 yes scalar 0,1 - - scanf
-swscanf 2 yes scalar 0,1 - - scanf
-"""
-#: Prefixes that scanf's functions also go by, and one whose every name is a scalar without effects.
+CONTRACTS = [
+    ("malloc", 1, False, "fresh", [], [], None, "plain"),
+    ("calloc", 2, False, "fresh", [], [], None, "plain"),
+    ("aligned_alloc", 2, False, "fresh", [], [], None, "plain"),
+    ("realloc", 2, False, "alias0_or_fresh", [], [], None, "plain"),
+    ("free", 1, False, "void", [], [], None, "plain"),
+    ("strdup", 1, False, "fresh", [0], [], None, "plain"),
+    ("strchr", 2, False, "alias0", [0], [], None, "plain"),
+    ("strrchr", 2, False, "alias0", [0], [], None, "plain"),
+    ("memchr", 2, False, "alias0", [0], [], None, "plain"),
+    ("strstr", 2, False, "alias0", [0, 1], [], None, "plain"),
+    ("strpbrk", 2, False, "alias0", [0, 1], [], None, "plain"),
+    ("strlen", 1, False, "scalar", [0], [], None, "plain"),
+    ("atoi", 1, False, "scalar", [0], [], None, "plain"),
+    ("atol", 1, False, "scalar", [0], [], None, "plain"),
+    ("atoll", 1, False, "scalar", [0], [], None, "plain"),
+    ("strcmp", 2, False, "scalar", [0, 1], [], None, "plain"),
+    ("strcasecmp", 2, False, "scalar", [0, 1], [], None, "plain"),
+    ("strcoll", 2, False, "scalar", [0, 1], [], None, "plain"),
+    ("strverscmp", 2, False, "scalar", [0, 1], [], None, "plain"),
+    ("strncmp", 3, False, "scalar", [0, 1], [], None, "plain"),
+    ("memcmp", 3, False, "scalar", [0, 1], [], None, "plain"),
+    ("strcpy", 2, False, "alias0", [1], [0], None, "plain"),
+    ("strcat", 2, False, "alias0", [0, 1], [0], None, "plain"),
+    ("strncpy", 3, False, "alias0", [1], [0], None, "plain"),
+    ("memcpy", 3, False, "alias0", [], [], "0<1", "plain"),
+    ("memmove", 3, False, "alias0", [], [], "0<1", "plain"),
+    ("memset", 3, False, "alias0", [], [0], None, "plain"),
+    ("mbstowcs", 3, False, "scalar", [1], [0], None, "plain"),
+    ("strtok", 2, False, "retained", [0, 1], [0], None, "retains0"),
+    ("strtoul", 3, False, "scalar", [0], [], None, "stores0to1"),
+    ("__errno_location", 0, False, "external", [], [], None, "plain"),
+    ("__ctype_b_loc", 0, False, "ctype", [], [], None, "plain"),
+    ("getenv", 1, False, "external", [0], [], None, "plain"),
+    ("getgrgid", 1, False, "external", [], [], None, "plain"),
+    ("getpwuid", 1, False, "external", [], [], None, "plain"),
+    ("localtime", 1, False, "external", [0], [], None, "plain"),
+    ("nl_langinfo", 1, False, "external", [], [], None, "plain"),
+    ("setlocale", 2, False, "external", [1], [], None, "plain"),
+    ("fopen", 2, False, "external", [0, 1], [], None, "plain"),
+    ("fopen64", 2, False, "external", [0, 1], [], None, "plain"),
+    ("fdopen", 2, False, "external", [1], [], None, "plain"),
+    ("opendir", 1, False, "external", [0], [], None, "plain"),
+    ("readdir", 1, False, "external", [], [], None, "plain"),
+    ("readdir64", 1, False, "external", [], [], None, "plain"),
+    ("closedir", 1, False, "scalar", [], [], None, "plain"),
+    ("fclose", 1, False, "scalar", [], [], None, "plain"),
+    ("fgets", 3, False, "alias0", [], [0], None, "plain"),
+    ("fread", 4, False, "scalar", [], [0], None, "plain"),
+    ("fwrite", 4, False, "scalar", [0], [], None, "plain"),
+    ("fputs", 2, False, "scalar", [0], [], None, "plain"),
+    ("fputc", 2, False, "scalar", [], [], None, "plain"),
+    ("putc", 2, False, "scalar", [], [], None, "plain"),
+    ("gethostname", 2, False, "scalar", [], [0], None, "plain"),
+    ("getxattr", 4, False, "scalar", [0, 1], [2], None, "plain"),
+    ("listxattr", 3, False, "scalar", [0], [1], None, "plain"),
+    ("readlink", 3, False, "scalar", [0], [1], None, "plain"),
+    ("realpath", 2, False, "alias1_or_fresh", [0], [1], None, "plain"),
+    ("stat", 2, False, "scalar", [0], [1], None, "plain"),
+    ("stat64", 2, False, "scalar", [0], [1], None, "plain"),
+    ("lstat", 2, False, "scalar", [0], [1], None, "plain"),
+    ("lstat64", 2, False, "scalar", [0], [1], None, "plain"),
+    ("__xstat", 3, False, "scalar", [1], [2], None, "plain"),
+    ("__xstat64", 3, False, "scalar", [1], [2], None, "plain"),
+    ("__lxstat", 3, False, "scalar", [1], [2], None, "plain"),
+    ("__lxstat64", 3, False, "scalar", [1], [2], None, "plain"),
+    ("__fxstat", 3, False, "scalar", [], [2], None, "plain"),
+    ("__fxstat64", 3, False, "scalar", [], [2], None, "plain"),
+    ("strftime", 4, False, "scalar", [1, 2, 3], [0], None, "plain"),
+    ("time", 1, False, "scalar", [], [0], None, "plain"),
+    ("access", 2, False, "scalar", [0], [], None, "plain"),
+    ("isatty", 1, False, "scalar", [], [], None, "plain"),
+    ("iswprint", 1, False, "scalar", [], [], None, "plain"),
+    ("tolower", 1, False, "scalar", [], [], None, "plain"),
+    ("exit", 1, False, "void", [], [], None, "plain"),
+    ("open", 2, True, "scalar", [0], [], None, "plain"),
+    ("fcntl", 2, True, "scalar", [], [], None, "no_variadic"),
+    ("printf", 1, True, "scalar", [0], [], None, "printf"),
+    ("fprintf", 2, True, "scalar", [1], [], None, "printf"),
+    ("dprintf", 2, True, "scalar", [1], [], None, "printf"),
+    ("sprintf", 2, True, "scalar", [1], [0], None, "printf"),
+    ("snprintf", 3, True, "scalar", [1, 2], [0], None, "printf"),
+    ("scanf", 1, True, "scalar", [0], [], None, "scanf"),
+    ("wscanf", 1, True, "scalar", [0], [], None, "scanf"),
+    ("fscanf", 2, True, "scalar", [1], [], None, "scanf"),
+    ("fwscanf", 2, True, "scalar", [1], [], None, "scanf"),
+    ("sscanf", 2, True, "scalar", [0, 1], [], None, "scanf"),
+    ("swscanf", 2, True, "scalar", [0, 1], [], None, "scanf"),
+    ("__ctype_get_", 0, False, "scalar", [], [], None, "plain"),
+]
+#: Prefixes that scanf's functions also go by.
 SCANF_PREFIXES = ("__isoc99_", "__isoc23_")
-SCALAR_PREFIX = "__ctype_get_"
 
 SCHEMA = "name string, fixed_params int, vararg boolean, result string, reads array<int>, writes array<int>, copies string, policy string"
 
 
 def contracts(spark: SparkSession) -> DataFrame:
     """The table above, a row each: small and of fixed size, so joins with it broadcast."""
-    rows = []
-    for line in CONTRACTS.strip().splitlines():
-        name, fixed, vararg, result, reads, writes, copies, policy = line.split()
-        numbers = lambda x: [] if x == "-" else [int(i) for i in x.split(",")]
-        row = (int(fixed), vararg == "yes", result, numbers(reads), numbers(writes), None if copies == "-" else copies, policy)
-        rows.append((name, *row))
-        if policy == "scanf":
-            rows += [(p + name, *row) for p in SCANF_PREFIXES]
+    rows = list(CONTRACTS)
+    rows += [(p + name, *row) for name, *row in CONTRACTS if row[-1] == "scanf" for p in SCANF_PREFIXES]
     return spark.createDataFrame(rows, SCHEMA)

@@ -17,13 +17,16 @@ SIGNATURE = f"struct<ret:{CLASS},params:array<{CLASS}>,vararg:boolean,cc:string>
 LOCATION = "struct<file:string,line:int,col:int,dir:string,filename:string>"
 STATEMENT = (
     "struct<kind:string,dest:string,ty:string,sources:array<string>,op:string,lhs:string,rhs:string,address:string,value:string,access_bytes:bigint,"
-    "base:string,byte_off:bigint,lane:struct<modulus:bigint,residue:bigint>,source:string,integer_bits:int,pointer_bits:int,comparison_only:boolean,"
-    "position:struct<kind:string,index:int>,list:string,dst:string,src:string,bytes:bigint,operands:array<string>,results:array<string>,reason:string,"
+    "base:string,byte_off:bigint,lane:struct<modulus:bigint,residue:bigint>,source:string,integer_bits:int,pointer_bits:int,pointer_address_space:int,comparison_only:boolean,"
+    "position:struct<kind:string,index:int>,list:string,dst:string,src:string,bytes:bigint,proven_fnptr_init:boolean,operands:array<string>,results:array<string>,reason:string,"
     f"callee:string,operand:string,sig:{SIGNATURE},args:array<string>,global:string,access:string,volatile:boolean,loc:{LOCATION}>"
 )
 FUNCTION = f"struct<key:string,sig:{SIGNATURE},param_names:array<string>,file:string,line:int,external:boolean,exported:boolean,address_taken:boolean,body:array<{STATEMENT}>>"
-GLOBAL = "struct<key:string,file:string,line:int,is_const:boolean,mutable:boolean,exported:boolean,is_definition:boolean,linkage:string,type_spelling:string,size_bits:bigint,align_bits:bigint,scalar_class:string,initializer_ir:string,init_refs:array<string>>"
-PIR = f"module string, source string, functions array<{FUNCTION}>, globals array<{GLOBAL}>, global_init array<{STATEMENT}>"
+GLOBAL = "struct<key:string,file:string,line:int,is_const:boolean,mutable:boolean,exported:boolean,is_definition:boolean,linkage:string,type_spelling:string,source_atomic:boolean,size_bits:bigint,align_bits:bigint,path_error:string,scalar_class:string,signed:boolean,initializer_ir:string,init_refs:array<string>>"
+BOUNDARY = f"struct<id:int,block:int,ordinal:int,loc:{LOCATION},insertable:boolean,stmt_indices:array<int>,successors:array<int>,predecessors:array<int>>"
+LOWERING = f"struct<semantic_value_kinds:map<string,string>,statement_cfgs:map<string,struct<entry:int,source_mapping_available:boolean,boundaries:array<{BOUNDARY}>>>>"
+TARGET = "struct<triple:string,data_layout:string,supported_atomic_widths:array<bigint>>"
+PIR = f"module string, source string, target {TARGET}, lowering {LOWERING}, functions array<{FUNCTION}>, globals array<{GLOBAL}>, global_init array<{STATEMENT}>"
 
 
 def read_pir(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -35,14 +38,14 @@ def functions(pir: DataFrame) -> DataFrame:
     """One row per function, with the defaults that files may leave out."""
     f = pir.select("module", F.posexplode("functions").alias("func", "f"))
     bool_ = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(False)).alias(c)
-    return f.select("module", "func", F.col("f.key").alias("key"), F.col("f.sig").alias("sig"), F.col("f.param_names").alias("param_names"), bool_("external"), bool_("exported"), bool_("address_taken"))
+    return f.select("module", "func", F.col("f.key").alias("key"), F.col("f.sig").alias("sig"), F.col("f.param_names").alias("param_names"), bool_("external"), bool_("exported"), bool_("address_taken"), F.col("f.file").alias("file"), F.col("f.line").alias("line"))
 
 
 def globals_(pir: DataFrame) -> DataFrame:
     """One row per global; absent flags mean mutable and defined."""
     g = pir.select("module", F.posexplode("globals").alias("gvar", "g"))
     flag = lambda c, d: F.coalesce(F.col(f"g.{c}"), F.lit(d)).alias(c)
-    return g.select("module", "gvar", F.col("g.key").alias("key"), flag("is_const", False), flag("mutable", True), flag("exported", False), flag("is_definition", True), F.col("g.size_bits").alias("size_bits"), F.col("g.init_refs").alias("init_refs"))
+    return g.select("module", "gvar", F.col("g.key").alias("key"), flag("is_const", False), flag("mutable", True), flag("exported", False), flag("is_definition", True), F.col("g.size_bits").alias("size_bits"), F.col("g.init_refs").alias("init_refs"), F.col("g.initializer_ir").alias("initializer_ir"))
 
 
 def statements(pir: DataFrame) -> DataFrame:
@@ -52,6 +55,25 @@ def statements(pir: DataFrame) -> DataFrame:
     return body.union(init).select("module", "func", "idx", "s.*")
 
 
+def value_kinds(pir: DataFrame) -> DataFrame:
+    """(module, value, vkind): what values may hold, by their spelling; others are unknown."""
+    return pir.select("module", F.explode("lowering.semantic_value_kinds").alias("value", "vkind"))
+
+
+def boundaries(pir: DataFrame) -> DataFrame:
+    """One row per boundary of the statement graphs: module, func, entry and the boundary's fields."""
+    cfg = pir.select("module", F.explode("lowering.statement_cfgs").alias("func", "c"))
+    return cfg.select("module", "func", F.col("c.entry").alias("entry"), F.explode("c.boundaries").alias("b")).select("module", "func", "entry", "b.*")
+
+
+def odd_spaces(pir: DataFrame) -> DataFrame:
+    """(module, targeted, odd): whether a module names its target, and the address spaces whose
+    pointers are not plain integers."""
+    parts = F.filter(F.split(F.coalesce("target.data_layout", F.lit("")), "-"), lambda p: p.startswith("ni:"))
+    spaces = F.transform(F.flatten(F.transform(parts, lambda p: F.split(F.substring(p, 4, 1000), ":"))), lambda x: x.cast("int"))
+    return pir.select("module", F.col("target").isNotNull().alias("targeted"), spaces.alias("odd"))
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """(key): a symbol per line; blank lines and what follows # are left out."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))

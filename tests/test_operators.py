@@ -71,7 +71,29 @@ def test_closure_and_strong_components(spark, scratch):
     assert pairs(graph.transitive_closure(df, scratch)) == reach
     nodes = {x for e in edges for x in e}
     want = {n: min([m for m in nodes if (n, m) in reach and (m, n) in reach] or [n]) for n in nodes}
-    assert {(r.node, r.component) for r in graph.strong_components(df, scratch).collect()} == set(want.items())
+    for small in (0, 1000):  # by rounds, and in one task
+        assert {(r.node, r.component) for r in graph.strong_components(df, scratch, small=small).collect()} == set(want.items())
+        assert graph.strong_components(df.limit(0), scratch, small=small).count() == 0
+
+
+def test_facts_go_up_to_all_callers(spark, scratch):
+    from fathomline.operators.modref import transitive
+
+    draw = random.Random(6)
+    edges = {(draw.randrange(20), draw.randrange(20)) for _ in range(24)}
+    facts = [(draw.randrange(22), f"g{draw.randrange(5)}", f"w{draw.randrange(50):02}") for _ in range(25)]
+    reach = {(x, x) for x in range(22)} | edges
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    want = {}
+    for a, b in reach:
+        for f, g, w in facts:
+            if f == b:
+                want[a, g] = min(want.get((a, g), w), w)
+    got = transitive(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(facts, "func long, fact string, witness string"), scratch)
+    assert {(r.func, r.fact): r.witness for r in got.collect()} == want
+    named = transitive(spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in edges], "src string, dst string"), spark.createDataFrame([(f"f{f}", g, w) for f, g, w in facts], "func string, fact string, witness string"), scratch)
+    assert {(r.func, r.fact): r.witness for r in named.collect()} == {(f"f{a}", g): w for (a, g), w in want.items()}
 
 
 def test_dominators_of_a_diamond(spark, scratch):
