@@ -19,10 +19,11 @@ from ..runtime import Scratch
 TRIMS = 4
 
 
-def transitive_closure(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def transitive_closure(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame | None:
     """All (src, dst) with a path of one edge or more, by squaring.
 
-    Null ends are dropped; repeated edges and loops count once.
+    Null ends are dropped; repeated edges and loops count once.  With ``most``, None as
+    soon as there are more pairs.
     """
     every = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     size = every.count()
@@ -34,6 +35,8 @@ def transitive_closure(edges: DataFrame, scratch: Scratch) -> DataFrame:
         every, now = wider, wider.count()
         if now == size:
             return every
+        if most is not None and now > most:
+            return None
         size = now
 
 

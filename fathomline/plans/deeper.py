@@ -18,7 +18,7 @@ def _pts(v, scratch):
 
 
 @query(
-    PTS + " SELECT b AS origin, a AS node FROM t WHERE tag = 0 AND a < 10000000000 AND (b - 1000000) % 100 = 0 AND b - 1000000 IN (SELECT fid FROM {pv_func} WHERE address_taken)",
+    PTS + " SELECT b AS origin, a AS node FROM t WHERE tag = 0 AND a < 1000000000000000 AND (b - 1000000000) % 100 = 0 AND b - 1000000000 IN (SELECT fid FROM {pv_func} WHERE address_taken)",
     True,
 )
 def gr9_callee_walk_flat(v, scratch):
@@ -43,12 +43,12 @@ def pag13_cycle_lanes(v, scratch):
 @query(
     """, e AS (SELECT DISTINCT src, dst FROM {pv_edge}), b(node, depth) AS (SELECT DISTINCT operand, 0 FROM {pv_icall} UNION SELECT e.src, b.depth + 1 FROM b JOIN e ON e.dst = b.node WHERE b.depth < 60),
 m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), p AS (SELECT depth, count(*) AS nodes FROM m GROUP BY depth)
-SELECT CAST(depth AS BIGINT) AS depth, nodes, CAST(sum(nodes) OVER (ORDER BY depth) AS BIGINT) AS total, sum(nodes) OVER (ORDER BY depth) <= 500 AS admitted FROM p""",
+SELECT CAST(depth AS BIGINT) AS depth, nodes, CAST(sum(nodes) OVER (ORDER BY depth) AS BIGINT) AS total, sum(nodes) OVER (ORDER BY depth) <= 200000 AS admitted FROM p""",
     True,
 )
 def gr8_directional_slice(v, scratch):
     """What leads to indirect calls' operands, by distance, within a budget (GR8)."""
-    return slices.backward_slice(v("pv_edge"), v("pv_icall").select(F.col("operand").alias("node")), scratch, 500)
+    return slices.backward_slice(v("pv_edge"), v("pv_icall").select(F.col("operand").alias("node")), scratch, 200_000)
 
 
 @query()
@@ -70,7 +70,7 @@ def gr17_spine_descent(v, scratch):
     return slices.spine(v("pv_call"), scratch)
 
 
-@query(PTS + ", p AS (SELECT a AS node, b AS obj FROM t WHERE tag = 0), w AS (SELECT DISTINCT dst AS node FROM {pv_edge} WHERE kind IN ('store', 'memcpy')) SELECT p.obj - 1000000 AS object, bool_or(p.node IN (SELECT operand FROM {pv_icall}) OR p.node >= 1000000) AS exposed, bool_or(p.node IN (SELECT node FROM w)) AS written FROM p WHERE p.node < 10000000000 GROUP BY p.obj", True)
+@query(PTS + ", p AS (SELECT a AS node, b AS obj FROM t WHERE tag = 0), w AS (SELECT DISTINCT dst AS node FROM {pv_edge} WHERE kind IN ('store', 'memcpy')) SELECT p.obj - 1000000000 AS object, bool_or(p.node IN (SELECT operand FROM {pv_icall}) OR p.node >= 1000000000) AS exposed, bool_or(p.node IN (SELECT node FROM w)) AS written FROM p WHERE p.node < 1000000000000000 GROUP BY p.obj", True)
 def gr19_allocation_isolation(v, scratch):
     """Whether an object's address gets into memory or to a boundary, and whether it is written through (GR19, GR21)."""
     boundary = v("pv_icall").select(F.col("operand").alias("node"), F.lit(True).alias("b")).distinct()
@@ -80,10 +80,10 @@ def gr19_allocation_isolation(v, scratch):
     return rows.groupBy((F.col("obj") - OBJECT).alias("object")).agg(F.bool_or(exposed).alias("exposed"), F.bool_or(F.coalesce("w", F.lit(False))).alias("written"))
 
 
-@query(PTS + " SELECT a AS node, CAST(count(*) AS BIGINT) AS count, count(*) > 2 AS incomplete, array_to_string(list_sort(list(b))[1:2], ',') AS origins FROM t WHERE tag = 0 AND a < 1000000 GROUP BY a", True)
+@query(PTS + " SELECT a AS node, CAST(count(*) AS BIGINT) AS count, count(*) > 64 AS incomplete, array_to_string(list_sort(list(b))[1:64], ',') AS origins FROM t WHERE tag = 0 AND a < 1000000000 GROUP BY a", True)
 def gr22_allocation_origins(v, scratch):
-    """What allocations each value comes from, at most two named, with a flag beyond (GR22)."""
-    per = D.collapse(_pts(v, scratch).where(F.col("node") < OBJECT), ["node"], "obj", 2, 2)
+    """What allocations each value comes from, up to 64 named, with a flag beyond (GR22)."""
+    per = D.collapse(_pts(v, scratch).where(F.col("node") < OBJECT), ["node"], "obj", 64, 64)
     return per.select("node", "count", F.col("collapsed").alias("incomplete"), F.col("sample").alias("origins"))
 
 
@@ -122,7 +122,7 @@ RANKS = {"undefined": 0, "global_symbol": 1, "other_load": 1, "fn_address": 8}
 
 @query(
     """, w(site, node, d) AS (SELECT site, operand, 0 FROM {pv_icall} UNION SELECT w.site, e.src, w.d + 1 FROM w JOIN {pv_edge} e ON e.dst = w.node AND e.kind IN ('assign', 'gep') WHERE w.d < 40),
-l AS (SELECT w.site, CASE WHEN e.kind = 'load' THEN 'other_load' WHEN (e.src - 1000000) % 5 = 0 THEN 'fn_address' ELSE 'global_symbol' END AS label FROM w JOIN {pv_edge} e ON e.dst = w.node AND e.kind IN ('load', 'addr_of')
+l AS (SELECT w.site, CASE WHEN e.kind = 'load' THEN 'other_load' WHEN (e.src - 1000000000) % 5 = 0 THEN 'fn_address' ELSE 'global_symbol' END AS label FROM w JOIN {pv_edge} e ON e.dst = w.node AND e.kind IN ('load', 'addr_of')
   UNION SELECT site, 'undefined' FROM w WHERE node NOT IN (SELECT dst FROM {pv_edge} WHERE kind <> 'store'))
 SELECT site, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(CASE label WHEN 'undefined' THEN 0 WHEN 'fn_address' THEN 8 ELSE 1 END) AS bucket FROM l GROUP BY site""",
     True,
@@ -180,12 +180,12 @@ def src13_pointer_to_integer_uses(v, scratch):
     return s.where("kind = 'ptr_to_int'").select("func", "idx", "dest").join(used, ["func", "dest"], "left").select("func", "idx", F.col("used").isNull().alias("innocuous"))
 
 
-@query("SELECT l_orderkey AS func, l_linenumber AS idx, min(CAST(l_quantity AS BIGINT) * 4) AS byte_off, min(gcd(8 * (1 + l_partkey % 6), 4 * (1 + l_suppkey % 9))) AS modulus, min((CAST(l_quantity AS BIGINT) * 4) % gcd(8 * (1 + l_partkey % 6), 4 * (1 + l_suppkey % 9))) AS residue FROM lineitem WHERE l_orderkey % 19 = 0 GROUP BY 1, 2", plain=True)
+@query("SELECT l_orderkey AS func, l_linenumber AS idx, min(CAST(l_quantity AS BIGINT) * 4) AS byte_off, min(gcd(8 * (1 + l_partkey % 6), 4 * (1 + l_suppkey % 9))) AS modulus, min((CAST(l_quantity AS BIGINT) * 4) % gcd(8 * (1 + l_partkey % 6), 4 * (1 + l_suppkey % 9))) AS residue FROM lineitem GROUP BY 1, 2", plain=True)
 def src6_gep_displacement(v, scratch):
     """Constant offsets and the lane of two dynamic strides (SRC6)."""
     lane = P.gcd(8 * (1 + F.col("l_partkey") % 6), 4 * (1 + F.col("l_suppkey") % 9))
     off = F.col("l_quantity").cast("long") * 4
-    rows = v("lineitem").where("l_orderkey % 19 = 0").select(F.col("l_orderkey").alias("func"), F.col("l_linenumber").alias("idx"), off.alias("off"), lane.alias("lane"))
+    rows = v("lineitem").select(F.col("l_orderkey").alias("func"), F.col("l_linenumber").alias("idx"), off.alias("off"), lane.alias("lane"))
     return rows.groupBy("func", "idx").agg(F.min("off").alias("byte_off"), F.min("lane").alias("modulus"), F.min(F.pmod("off", "lane")).alias("residue"))
 
 

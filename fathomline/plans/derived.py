@@ -88,13 +88,13 @@ def j1_conservative_icalls(v, scratch):
 
 @query(
     f"""SELECT src AS caller, dst AS callee, 'direct' AS kind FROM {{pv_call}}
-UNION SELECT i.caller, f.fid, 'indirect' FROM {{pv_icall}} i JOIN {{pv_func}} f ON f.address_taken AND {FITS} WHERE i.site % 6 = 0
-UNION SELECT i.caller, -1, 'indirect' FROM {{pv_icall}} i WHERE i.site % 6 = 0
+UNION SELECT i.caller, f.fid, 'indirect' FROM {{pv_icall}} i JOIN {{pv_func}} f ON f.address_taken AND {FITS}
+UNION SELECT i.caller, -1, 'indirect' FROM {{pv_icall}} i
 UNION SELECT -1, fid, 'external' FROM {{pv_func}} WHERE exported"""
 )
 def d3_call_edges(v, scratch):
     """Direct, indirect and outside calls in one deduplicated table."""
-    sites = v("pv_icall").where("site % 6 = 0")
+    sites = v("pv_icall")
     indirect = D.conservative_targets(sites, v("pv_func")).join(sites.select("site", "caller"), "site").select("caller", F.col("fid").alias("callee"), F.lit("indirect").alias("kind"))
     direct = v("pv_call").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit("direct").alias("kind"))
     outside = v("pv_func").where("exported").select(F.lit(-1).cast("long").alias("caller"), F.col("fid").alias("callee"), F.lit("external").alias("kind"))
@@ -502,7 +502,7 @@ def gr7_partition_admission(v, scratch):
 
 
 @query(
-    """, c AS (SELECT src * 1000000 + dst AS site, src AS caller, dst AS fid FROM {pv_call} UNION SELECT -site, caller, operand FROM {pv_icall} UNION SELECT -site, caller, operand + 7 FROM {pv_icall}),
+    """, c AS (SELECT src * 1000000000 + dst AS site, src AS caller, dst AS fid FROM {pv_call} UNION SELECT -site, caller, operand FROM {pv_icall} UNION SELECT -site, caller, operand + 7 FROM {pv_icall}),
 r(fid) AS (SELECT DISTINCT func FROM {pv_modref} WHERE gvar % 200 = 0 UNION SELECT x FROM r JOIN c ON c.fid = r.fid, LATERAL (SELECT c.caller AS x UNION SELECT d.fid FROM c d WHERE d.site = c.site))
 SELECT fid FROM r""",
     True,
@@ -510,14 +510,14 @@ SELECT fid FROM r""",
 def gr13_context_rewrite(v, scratch):
     """Functions to change when some globals move: accessors, their callers, and siblings at rewritten sites."""
     sites = v("pv_icall")
-    direct = v("pv_call").select((F.col("src") * 1000000 + F.col("dst")).alias("site"), F.col("src").alias("caller"), F.col("dst").alias("fid"))
+    direct = v("pv_call").select((F.col("src") * 1000000000 + F.col("dst")).alias("site"), F.col("src").alias("caller"), F.col("dst").alias("fid"))
     indirect = sites.select((-F.col("site")).alias("site"), "caller", F.col("operand").alias("fid")).union(sites.select((-F.col("site")).alias("site"), "caller", (F.col("operand") + 7).alias("fid")))
     accessors = v("pv_modref").where("gvar % 200 = 0").select(F.col("func").alias("fid"))
     return D.rewrite_closure(accessors, direct, indirect, scratch).select("fid")
 
 
 @query(
-    """, f AS (SELECT src, dst, kind IN ('assign', 'gep') AS plain FROM {pv_edge} WHERE kind <> 'addr_of' AND kind <> 'store'), s AS (SELECT dst AS node, src - 1000000 AS fid FROM {pv_edge} WHERE kind = 'addr_of' AND (src - 1000000) % 5 = 0),
+    """, f AS (SELECT src, dst, kind IN ('assign', 'gep') AS plain FROM {pv_edge} WHERE kind <> 'addr_of' AND kind <> 'store'), s AS (SELECT dst AS node, src - 1000000000 AS fid FROM {pv_edge} WHERE kind = 'addr_of' AND (src - 1000000000) % 5 = 0),
 w(site, node, d) AS (SELECT site, operand, 0 FROM {pv_icall} UNION SELECT w.site, f.src, w.d + 1 FROM w JOIN f ON f.dst = w.node AND f.plain WHERE w.d < 8),
 m AS (SELECT site, node, min(d) AS d FROM w GROUP BY 1, 2),
 bad AS (SELECT site FROM m WHERE node IN (SELECT dst FROM f WHERE NOT plain) UNION SELECT site FROM m WHERE node NOT IN (SELECT dst FROM f) AND node NOT IN (SELECT node FROM s) UNION SELECT site FROM m WHERE d = 8 AND node IN (SELECT dst FROM f))
@@ -528,29 +528,29 @@ def pa1_simple_pointers(v, scratch):
     """Indirect calls whose operand is walked back to functions alone (PA1, PA4)."""
     e = v("pv_edge")
     flows = e.where("kind not in ('addr_of', 'store')").select("src", "dst", F.col("kind").isin("assign", "gep").alias("plain"))
-    sources = e.where("kind = 'addr_of'").select(F.col("dst").alias("node"), (F.col("src") - 1000000).alias("fid")).where("fid % 5 = 0")
+    sources = e.where("kind = 'addr_of'").select(F.col("dst").alias("node"), (F.col("src") - 1000000000).alias("fid")).where("fid % 5 = 0")
     return D.simple_sources(v("pv_icall").select("site", F.col("operand").alias("node")), sources, flows, scratch)
 
 
 @query(
-    """, a AS (SELECT src - 1000000 AS fid, dst AS node FROM {pv_edge} WHERE kind = 'addr_of' AND (src - 1000000) % 5 = 0), r AS (SELECT DISTINCT operand AS node FROM {pv_icall})
+    """, a AS (SELECT src - 1000000000 AS fid, dst AS node FROM {pv_edge} WHERE kind = 'addr_of' AND (src - 1000000000) % 5 = 0), r AS (SELECT DISTINCT operand AS node FROM {pv_icall})
 SELECT fid, count(*) AS taken, count(r.node) AS reached, count(*) = count(r.node) AS confined FROM a LEFT JOIN r ON r.node = a.node GROUP BY fid"""
 )
 def pa2_confined_functions(v, scratch):
     """Functions all of whose address-taken sites a resolved call reaches (PA2, PA5)."""
-    taken = v("pv_edge").where("kind = 'addr_of'").select((F.col("src") - 1000000).alias("fid"), F.col("dst").alias("node")).where("fid % 5 = 0")
+    taken = v("pv_edge").where("kind = 'addr_of'").select((F.col("src") - 1000000000).alias("fid"), F.col("dst").alias("node")).where("fid % 5 = 0")
     reached = v("pv_icall").select(F.col("operand").alias("node"), F.lit(1).alias("hit")).distinct()
     return taken.join(reached, "node", "left").groupBy("fid").agg(F.count("*").alias("taken"), F.count("hit").alias("reached"), (F.count("*") == F.count("hit")).alias("confined"))
 
 
 @query(
-    """, s AS (SELECT l_partkey AS gid, CAST(l_quantity AS BIGINT) % 4 * 8 AS off, l_suppkey AS fid, l_linenumber = 7 AS poison FROM lineitem WHERE l_orderkey % 29 = 0)
+    """, s AS (SELECT l_partkey AS gid, CAST(l_quantity AS BIGINT) % 4 * 8 AS off, l_suppkey AS fid, l_linenumber = 7 AS poison FROM lineitem )
 SELECT gid, off, min(fid) AS fid, count(DISTINCT fid) AS candidates FROM s WHERE gid NOT IN (SELECT gid FROM s WHERE poison) GROUP BY gid, off""".replace(", s AS", "WITH s AS", 1),
     plain=True,
 )
 def pa3_initial_values(v, scratch):
     """Functions in static initialisers by global and offset; one odd statement spoils a global (PA3)."""
-    s = v("lineitem").where("l_orderkey % 29 = 0").select(F.col("l_partkey").alias("gid"), (F.col("l_quantity").cast("long") % 4 * 8).alias("off"), F.col("l_suppkey").alias("fid"), (F.col("l_linenumber") == 7).alias("poison"))
+    s = v("lineitem").select(F.col("l_partkey").alias("gid"), (F.col("l_quantity").cast("long") % 4 * 8).alias("off"), F.col("l_suppkey").alias("fid"), (F.col("l_linenumber") == 7).alias("poison"))
     return s.join(s.where("poison").select("gid").distinct(), "gid", "left_anti").groupBy("gid", "off").agg(F.min("fid").alias("fid"), F.countDistinct("fid").alias("candidates"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..operators import graph, points_to
 from ..operators.components import connected_components
+from ..operators.modref import transitive
 from ..runtime import Scratch
 from .views import OBJECT, oracle, view
 
@@ -78,6 +79,22 @@ def gr3_strong_components(v, scratch):
     return graph.strong_components(v("pv_call"), scratch)
 
 
+SQL["gr1_components_by_rounds"] = SQL["gr1_connected_components"]
+SQL["gr3_strong_by_rounds"] = SQL["gr3_strong_components"]
+
+
+@query()
+def gr1_components_by_rounds(v, scratch):
+    """gr1 by the rounds that a graph of any size takes."""
+    return connected_components(v("pv_call"), scratch, small=0)
+
+
+@query()
+def gr3_strong_by_rounds(v, scratch):
+    """gr3 by the rounds that a graph of any size takes."""
+    return graph.strong_components(v("pv_call"), scratch, small=0)
+
+
 @query(
     """, w(func, node, out_) AS (
   SELECT DISTINCT func, CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM {pv_cfg}
@@ -146,18 +163,18 @@ def gr16_publication_point(v, scratch):
 
 
 @query(
-    """, b(origin, node, depth) AS (SELECT fid, fid, CAST(0 AS BIGINT) FROM {pv_func} WHERE fid % 50 = 1 UNION SELECT b.origin, c.dst, b.depth + 1 FROM b JOIN {pv_call} c ON b.node = c.src WHERE b.depth < 12)
+    """, b(origin, node, depth) AS (SELECT fid, fid, CAST(0 AS BIGINT) FROM {pv_func} UNION SELECT b.origin, c.dst, b.depth + 1 FROM b JOIN {pv_call} c ON b.node = c.src WHERE b.depth < 100)
 , m AS (SELECT origin, node, min(depth) AS depth FROM b WHERE depth > 0 GROUP BY 1, 2)
-, z AS (SELECT origin, node, depth FROM m UNION ALL SELECT fid, fid, 0 FROM {pv_func} WHERE fid % 50 = 1)
+, z AS (SELECT origin, node, depth FROM m UNION ALL SELECT fid, fid, 0 FROM {pv_func})
 SELECT m.origin, m.node, m.depth, min(c.src) AS parent FROM m JOIN {pv_call} c ON c.dst = m.node JOIN z p ON p.origin = m.origin AND p.node = c.src AND p.depth = m.depth - 1
-JOIN {pv_func} f ON f.fid = m.node WHERE f.exported AND m.depth <= 10 GROUP BY 1, 2, 3""",
+JOIN {pv_func} f ON f.fid = m.node WHERE f.exported GROUP BY 1, 2, 3""",
     True,
 )
 def gr18_reentrancy_paths(v, scratch):
     """Shortest call paths from accessors to functions that re-enter, with a parent as witness."""
-    start = v("pv_func").where("fid % 50 = 1").select(F.col("fid").alias("origin"), F.col("fid").alias("node"))
+    start = v("pv_func").select(F.col("fid").alias("origin"), F.col("fid").alias("node"))
     goal = v("pv_func").where("exported").select(F.col("fid").alias("node"))
-    return graph.shortest_witness(v("pv_call"), start, goal, scratch).where("depth <= 10")
+    return graph.shortest_witness(v("pv_call"), start, goal, scratch)
 
 
 @query(
@@ -168,26 +185,18 @@ SELECT r.func, m.gvar, m.access, min(m.witness) AS witness FROM reach r JOIN {pv
 )
 def modref_transitive(v, scratch):
     """Which globals each function may read or write, itself or through its callees (GR12, AG3)."""
-    direct = scratch.save(v("pv_modref"), "direct")
-    strong = scratch.save(graph.strong_components(v("pv_call"), scratch).select("node", "component"), "strong")
-    # the closure is taken of the condensed graph, whose paths are shorter and whose rows are fewer
-    name = lambda d, c: d.join(strong.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")), c, "left").withColumn(f"{c}_c", F.coalesce(f"{c}_c", c))
-    calls = name(name(v("pv_call"), "src"), "dst").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).where("src <> dst")
-    reach = graph.transitive_closure(calls, scratch)
-    own = name(direct, "func").groupBy(F.col("func_c").alias("dst"), "gvar", "access").agg(F.min("witness").alias("witness"))
-    own = scratch.save(own, "own")
-    through = reach.join(own, "dst").select(F.col("src").alias("component"), "gvar", "access", "witness")
-    every = through.union(own.select(F.col("dst").alias("component"), "gvar", "access", "witness")).groupBy("component", "gvar", "access").agg(F.min("witness").alias("witness"))
-    members = strong.union(direct.select(F.col("func").alias("node"), F.col("func").alias("component")).distinct().join(strong, "node", "left_anti"))
-    return members.join(every, "component").select(F.col("node").alias("func"), "gvar", "access", "witness")
+    facts = v("pv_modref").select("func", F.concat_ws(":", F.col("gvar").cast("string"), "access").alias("fact"), "witness")
+    found = transitive(v("pv_call").select("src", "dst"), facts, scratch)
+    part = F.split("fact", ":")
+    return found.select("func", part[0].cast("long").alias("gvar"), part[1].alias("access"), "witness")
 
 
 # ---- points-to
 
 PTS = """, n AS (SELECT 6 * (count(*) // 3) AS n FROM customer),
 e AS (SELECT kind, src, dst, off FROM {pv_edge} WHERE kind <> 'memcpy'
-  UNION SELECT 'load', src, 10000000000 + src * 1000000 + dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'
-  UNION SELECT 'store', 10000000000 + src * 1000000 + dst, dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'),
+  UNION SELECT 'load', src, 1000000000000000 + src * 1000000000 + dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'
+  UNION SELECT 'store', 1000000000000000 + src * 1000000000 + dst, dst, NULL FROM {pv_edge} WHERE kind = 'memcpy'),
 t(tag, a, b) USING KEY (tag, a, b) AS (
   SELECT 0, dst, src * SCALE FROM e WHERE kind = 'addr_of' UNION SELECT 1, src, dst FROM e WHERE kind IN (COPIES)
   UNION (
@@ -208,7 +217,7 @@ OTHER = ", " + INSENSITIVE.replace("MORE", "").split(",\n", 2)[2].replace("t(tag
 FITS = "i.cc = f.cc AND (i.ret = f.ret OR i.ret = 'V' OR f.ret = 'V') AND starts_with(i.params, f.params)"
 JOINT = INSENSITIVE.replace(
     "MORE",
-    f"""UNION SELECT 2, i.site, f.fid FROM t p JOIN {{pv_icall}} i ON i.operand = p.a JOIN {{pv_func}} f ON f.address_taken AND f.fid = p.b - 1000000 AND f.fid % 5 = 0 AND {FITS} WHERE p.tag = 0
+    f"""UNION SELECT 2, i.site, f.fid FROM t p JOIN {{pv_icall}} i ON i.operand = p.a JOIN {{pv_func}} f ON f.address_taken AND f.fid = p.b - 1000000000 AND f.fid % 5 = 0 AND {FITS} WHERE p.tag = 0
     UNION SELECT 1, (c.a * 17 + k) % n.n, (c.b * 3 + k * 7) % n.n FROM t c, n, range(0, 2) r(k) WHERE c.tag = 2""",
 )
 
@@ -237,13 +246,13 @@ class Bindings:
         return each.select(((F.col("site") * 17 + F.col("k")) % self.n).alias("src"), ((F.col("fid") * 3 + F.col("k") * 7) % self.n).alias("dst"))
 
 
-@query(INSENSITIVE.replace("MORE", "") + " SELECT a AS node, b AS obj FROM t WHERE tag = 0 AND a < 10000000000", True)
+@query(INSENSITIVE.replace("MORE", "") + " SELECT a AS node, b AS obj FROM t WHERE tag = 0 AND a < 1000000000000000", True)
 def gr5_andersen(v, scratch):
     """Inclusion-based points-to facts, fields apart left aside."""
     return points_to.solve_inclusion(_edges(v, scratch), scratch)[0]
 
 
-@query(SENSITIVE + " SELECT a AS node, b // 4096 AS obj, b % 4096 AS off FROM t WHERE tag = 0 AND a < 10000000000", True)
+@query(SENSITIVE + " SELECT a AS node, b // 4096 AS obj, b % 4096 AS off FROM t WHERE tag = 0 AND a < 1000000000000000", True)
 def gr5_andersen_fields(v, scratch):
     """Inclusion-based points-to facts over cells (object, offset); offset 4095 is unknown."""
     pts = points_to.solve_inclusion(_edges(v, scratch), scratch, fields=True)[0]
@@ -278,7 +287,7 @@ def gr4_steensgaard(v, scratch):
 
 @query(
     INSENSITIVE.replace("MORE", "")
-    + """, s AS (SELECT i.site, f.fid FROM t JOIN {pv_icall} i ON i.operand = t.a JOIN {pv_func} f ON f.address_taken AND f.fid % 5 = 0 AND f.fid = t.b - 1000000 AND """
+    + """, s AS (SELECT i.site, f.fid FROM t JOIN {pv_icall} i ON i.operand = t.a JOIN {pv_func} f ON f.address_taken AND f.fid % 5 = 0 AND f.fid = t.b - 1000000000 AND """
     + FITS
     + """ WHERE tag = 0)
 SELECT i.site, count(s.fid) AS targets, count(s.fid) = 0 AS unknown FROM {pv_icall} i LEFT JOIN s ON i.site = s.site GROUP BY i.site""",
@@ -296,7 +305,7 @@ def d2_icall_resolution(v, scratch):
 
 @query(
     INSENSITIVE.replace("MORE", "")
-    + """, g AS (SELECT a, b - 1000000 AS g FROM t WHERE tag = 0 AND a < 1000000)
+    + """, g AS (SELECT a, b - 1000000000 AS g FROM t WHERE tag = 0 AND a < 1000000000)
 SELECT a AS node, CAST(sum(CASE WHEN g % 5 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS globals, bool_or(g % 5 = 0) AS reaches_function FROM g GROUP BY a""",
     True,
 )
@@ -310,7 +319,7 @@ def d6_node_resolution(v, scratch):
 @query(
     INSENSITIVE.replace("MORE", "")
     + """, a AS (SELECT dst AS addr, 'mod' AS access FROM {pv_edge} WHERE kind IN ('store', 'memcpy') UNION SELECT src, 'ref' FROM {pv_edge} WHERE kind IN ('load', 'memcpy')),
-p AS (SELECT a.addr, a.access, t.b - 1000000 AS gvar FROM a JOIN t ON t.tag = 0 AND t.a = a.addr WHERE (t.b - 1000000) % 5 <> 0),
+p AS (SELECT a.addr, a.access, t.b - 1000000000 AS gvar FROM a JOIN t ON t.tag = 0 AND t.a = a.addr WHERE (t.b - 1000000000) % 5 <> 0),
 c AS (SELECT addr, access, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT a.addr, a.access, coalesce(CASE WHEN c.n <= 16 THEN p.gvar END, -1) AS gvar, CASE WHEN c.n IS NULL THEN 'unknown' WHEN c.n > 16 THEN 'collapsed' ELSE 'aliased' END AS via, coalesce(c.n, 0) AS candidates
 FROM a LEFT JOIN c USING (addr, access) LEFT JOIN p ON p.addr = a.addr AND p.access = a.access AND c.n <= 16""",
@@ -332,7 +341,7 @@ def d8_pointer_modref(v, scratch):
 @query(
     SENSITIVE
     + OTHER
-    + " SELECT 'fields' AS stage, count(*) AS facts, CAST(0 AS BIGINT) AS violations FROM (SELECT DISTINCT a, b // 4096 FROM t WHERE tag = 0 AND a < 1000000) UNION ALL SELECT 'inclusion', count(*), 0 FROM u WHERE tag = 0 AND a < 1000000",
+    + " SELECT 'fields' AS stage, count(*) AS facts, CAST(0 AS BIGINT) AS violations FROM (SELECT DISTINCT a, b // 4096 FROM t WHERE tag = 0 AND a < 1000000000) UNION ALL SELECT 'inclusion', count(*), 0 FROM u WHERE tag = 0 AND a < 1000000000",
     True,
 )
 def x1_narrowing_ledger(v, scratch):
@@ -341,9 +350,11 @@ def x1_narrowing_ledger(v, scratch):
     fine = scratch.save(points_to.solve_inclusion(edges, scratch, fields=True)[0].where(F.col("node") < OBJECT).select("node", F.floor(F.col("obj") / 4096).cast("long").alias("obj")).distinct(), "fine")
     pts = scratch.save(points_to.solve_inclusion(edges, scratch)[0].where(F.col("node") < OBJECT), "pts")
     classes = scratch.save(points_to.solve_unification(edges, scratch), "classes")
-    coarse = classes.select(F.col("class").alias("star"), F.col("node").alias("obj")).join(classes.select("node", "star"), "star").select("node", "obj")
-    count = lambda stage, a, b: a.select("node", "obj").withColumn("missed", F.lit(0)).groupBy().agg(F.count("*").alias("facts")).crossJoin(a.join(b, ["node", "obj"], "left_anti").groupBy().agg(F.count("*").alias("violations"))).select(F.lit(stage).alias("stage"), "facts", "violations")
-    return count("fields", fine, pts).union(count("inclusion", pts, coarse))
+    # a fact is among the unification's if the object's class is what the value's points at; no pair of a class is formed
+    star, own = classes.select("node", "star"), classes.select(F.col("node").alias("obj"), "class")
+    missed = pts.join(star, "node", "left").join(own, "obj", "left").where("star is null or class is null or star <> class")
+    row = lambda stage, facts, broken: facts.agg(F.count("*").alias("facts")).crossJoin(broken.agg(F.count("*").alias("violations"))).select(F.lit(stage).alias("stage"), "facts", "violations")
+    return row("fields", fine, fine.join(pts, ["node", "obj"], "left_anti")).union(row("inclusion", pts, missed))
 
 
 @query()

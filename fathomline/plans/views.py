@@ -2,7 +2,7 @@
 
 Each view is one SELECT in the dialect that Spark and DuckDB share, with tables and
 other views in braces, so the queries and their oracles start from the same rows.
-Node numbers: values from 0, objects from 1,000,000 on.  An object is the function of
+Node numbers: values from 0, objects from 1,000,000,000 on.  An object is the function of
 its number if that is a multiple of 5, else the global.
 """
 
@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-OBJECT = 1_000_000
+OBJECT = 1_000_000_000
 
 VIEWS: dict[str, str] = {
     "pv_func": """
@@ -34,23 +34,23 @@ FROM {orders} WHERE o_orderkey % 39 = 0""",
     "pv_modref": """
 SELECT o_custkey AS func, l_partkey AS gvar, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS access,
   min(concat('f', CAST(o_custkey AS STRING), '@o', CAST(l_orderkey AS STRING), '.c:', CAST(l_linenumber AS STRING), ':1#0')) AS witness
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0 GROUP BY 1, 2, 3""",
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
     "pv_edge": """
-SELECT DISTINCT kind, CASE WHEN kind = 'addr_of' THEN 1000000 + (s + CASE WHEN w % 3 = 0 THEN 0 ELSE 1 END) % (n / 3) ELSE s END AS src, d AS dst, CASE WHEN kind = 'gep' THEN off END AS off, w AS width
+SELECT DISTINCT kind, CASE WHEN kind = 'addr_of' THEN 1000000000 + (s + CASE WHEN w % 3 = 0 THEN 0 ELSE 1 END) % (n / 3) ELSE s END AS src, d AS dst, CASE WHEN kind = 'gep' THEN off END AS off, w AS width
 FROM (
   SELECT CASE l_linenumber WHEN 1 THEN 'addr_of' WHEN 4 THEN 'load' WHEN 5 THEN 'store' WHEN 6 THEN 'gep' WHEN 7 THEN 'memcpy' ELSE 'assign' END AS kind,
-    (l_partkey * 7 + l_orderkey) % n AS s, (l_suppkey * 13 + l_orderkey * 3 + l_partkey) % n AS d, CAST(l_quantity AS BIGINT) % 4 * 8 AS off, CAST(l_quantity AS BIGINT) % 8 + 1 AS w, n
-  FROM {lineitem} CROSS JOIN (SELECT 6 * CAST(count(*) / 3 AS BIGINT) AS n FROM {customer}) c WHERE l_orderkey % 23 = 0
+    (l_partkey * 7907 + l_orderkey * 7919) % n AS s, (l_suppkey * 1301 + l_orderkey * 3571 + l_partkey * 17) % n AS d, CAST(l_quantity AS BIGINT) % 4 * 8 AS off, CAST(l_quantity AS BIGINT) % 8 + 1 AS w, n
+  FROM {lineitem} CROSS JOIN (SELECT 138 * CAST(count(*) / 3 AS BIGINT) AS n FROM {customer}) c
 ) e""",
     "pv_cfg": """
-SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS src, CAST(1 + (l_linenumber + l_partkey) % 7 AS BIGINT) AS dst FROM {lineitem} WHERE l_orderkey % 17 = 0
-UNION SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT), CAST(l_linenumber AS BIGINT) FROM {lineitem} WHERE l_orderkey % 17 = 0 AND l_linenumber <= 2""",
+SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS src, CAST(1 + (l_linenumber + l_partkey) % 7 AS BIGINT) AS dst FROM {lineitem}
+UNION SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT), CAST(l_linenumber AS BIGINT) FROM {lineitem} WHERE l_linenumber <= 2""",
     "pv_write": """
-SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS boundary, l_partkey % 8 AS gvar FROM {lineitem} WHERE l_orderkey % 17 = 0 AND l_returnflag = 'R'""",
+SELECT DISTINCT l_orderkey AS func, CAST(l_linenumber AS BIGINT) AS boundary, l_partkey % 8 AS gvar FROM {lineitem} WHERE l_returnflag = 'R'""",
     "pv_range": """
-SELECT l_partkey % 50 AS root, l_orderkey AS region, CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END AS off, CAST(CASE WHEN l_linenumber = 5 THEN 8 WHEN l_linenumber = 6 THEN 12 END AS BIGINT) AS modulus,
+SELECT l_partkey AS root, l_orderkey AS region, CASE WHEN l_linenumber < 5 THEN CAST(l_quantity AS BIGINT) END AS off, CAST(CASE WHEN l_linenumber = 5 THEN 8 WHEN l_linenumber = 6 THEN 12 END AS BIGINT) AS modulus,
   CASE WHEN l_linenumber IN (5, 6) THEN CAST(l_quantity AS BIGINT) % 8 END AS residue, min(1 + CAST(l_tax * 100 AS BIGINT) % 8) AS width
-FROM {lineitem} WHERE l_orderkey % 97 = 0 GROUP BY 1, 2, 3, 4, 5""",
+FROM {lineitem} GROUP BY 1, 2, 3, 4, 5""",
     "pv_sfunc": """
 SELECT fid, key, external, exported, CAST(length(params) AS BIGINT) AS nparams, vararg, CASE WHEN NOT external THEN key WHEN fid % 4 = 0 THEN 'strlen' WHEN fid % 4 = 1 THEN 'memcmp' WHEN fid % 4 = 2 THEN 'calloc' ELSE concat('ext_', key) END AS name
 FROM {pv_func}""",
@@ -63,11 +63,11 @@ FROM (
   SELECT concat('f', CAST(o_custkey AS STRING)) AS func, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) - 1 AS idx,
     CASE l_linenumber WHEN 1 THEN 'alloca' WHEN 2 THEN 'assign' WHEN 3 THEN 'load' WHEN 4 THEN 'store' WHEN 5 THEN 'gep' WHEN 6 THEN 'call_direct'
       ELSE CASE p % 6 WHEN 0 THEN 'call_indirect' WHEN 1 THEN 'memcpy' WHEN 2 THEN 'ptr_to_int' WHEN 3 THEN 'int_to_ptr' WHEN 4 THEN 'return' ELSE 'unknown' END END AS kind, p, s, q, l_orderkey AS o, m
-  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} WHERE l_orderkey % 31 = 0 GROUP BY l_orderkey, l_linenumber) l
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
   JOIN {orders} ON l_orderkey = o_orderkey CROSS JOIN (SELECT max(c_custkey) AS m FROM {customer}) c
 ) t""",
     "pv_trace": """
-SELECT user_id AS caller, event_id AS target, CAST(event_id % 3 AS BIGINT) AS idx FROM {events} WHERE event_id % 5 = 0""",
+SELECT user_id AS caller, event_id AS target, CAST(event_id % 3 AS BIGINT) AS idx FROM {events}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 

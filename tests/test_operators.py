@@ -90,8 +90,10 @@ def test_facts_go_up_to_all_callers(spark, scratch):
         for f, g, w in facts:
             if f == b:
                 want[a, g] = min(want.get((a, g), w), w)
-    got = transitive(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(facts, "func long, fact string, witness string"), scratch)
-    assert {(r.func, r.fact): r.witness for r in got.collect()} == want
+    for small, most in ((0, 0), (1000, 5), (1000, 1000)):  # by levels, the second after too many pairs
+        got = transitive(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(facts, "func long, fact string, witness string"), scratch, small, most)
+        assert {(r.func, r.fact): r.witness for r in got.collect()} == want
+    assert transitive(got.selectExpr("func as src", "func as dst").limit(0), got.limit(0), scratch).count() == 0
     named = transitive(spark.createDataFrame([(f"f{a}", f"f{b}") for a, b in edges], "src string, dst string"), spark.createDataFrame([(f"f{f}", g, w) for f, g, w in facts], "func string, fact string, witness string"), scratch)
     assert {(r.func, r.fact): r.witness for r in named.collect()} == {(f"f{a}", g): w for (a, g), w in want.items()}
 
