@@ -96,7 +96,25 @@ def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op2_crf_secret_scan, op3_karmarkar_karp_packing, op4_bootstrapped_personal_data, op5_counterfactual_toxicity, op6_kd_tree_search, op7_fertility_quality, op8_source_mixing, op9_warc_round_trip, op10_ftrl_language_id)}
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ballkmeans import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exactdup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_setsketch_near_dedup, op2_crf_secret_scan, op3_karmarkar_karp_packing, op4_bootstrapped_personal_data, op5_counterfactual_toxicity, op6_kd_tree_search, op7_fertility_quality, op8_source_mixing, op9_warc_round_trip, op10_ftrl_language_id, op11_ball_kmeans, op12_progressive_exact_dedup, op13_source_divergence)}
 SQL: dict[str, str] = {
     "op6_kd_tree_search": """
 WITH v AS (
@@ -138,5 +156,61 @@ WITH p AS (
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> first_page THEN first_page END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+""",
+    "op12_progressive_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS MATERIALIZED (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), counts AS MATERIALIZED (SELECT w.lang, source, w.term, count(*) AS c FROM w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), langs AS (SELECT lang, count(*) AS v, sum(n) AS size FROM kept GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT p.lang, p.source, coalesce(l.v, 0) AS v, l.size AS lang_size, coalesce(s.size, 0) AS size FROM (SELECT DISTINCT lang, source FROM d) p
+  LEFT JOIN langs l ON p.lang = l.lang LEFT JOIN (SELECT lang, source, sum(c) AS size FROM counts GROUP BY ALL) s ON p.lang = s.lang AND p.source = s.source
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + CAST(2 AS HUGEINT)) // (CAST(g.size AS HUGEINT) + 2 * g.v) AS p,
+    1 + 1000000000 * (k.n + 2) // (CAST(g.lang_size AS HUGEINT) + 2 * g.v) AS q
+  FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE c > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows_)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assigning all vectors and averaging, written out one after another."""
+    far = "CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, e FROM v) ORDER BY h LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min((d, c)) AS best FROM (SELECT r, c, {far} AS d FROM v, c{n} c) GROUP BY r)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT best[2] AS c, i, sum(e[i]) AS s, count(*) AS n FROM (SELECT best, e, unnest(range(1, 65)) AS i FROM a{n} JOIN v USING (r)) GROUP BY ALL)")
+            parts.append(f"m{n} AS (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{n} GROUP BY c)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m.e, o.e) AS e FROM c{n} o LEFT JOIN m{n} m USING (c))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.c = best[2]"""
+
+
+SQL["op11_ball_kmeans"] = _kmeans_sql()
