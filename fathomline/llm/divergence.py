@@ -74,8 +74,8 @@ def _count(batches):
             once, n = np.unique(doc * many + word, return_counts=True)
             key, back, docs = np.unique(code[once // many] * many + once % many, return_inverse=True, return_counts=True)
             total = np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
-            own = [names[i] for i in (key // many).tolist()]
-            arrays = [pa.array([a for a, _ in own], pa.string()), pa.array([b for _, b in own], pa.string()), terms.dictionary.take(pa.array(key % many)).cast(pa.string()), pa.array(total), pa.array(docs.astype(np.int64))]
+            own = pa.array(key // many)
+            arrays = [*(pa.array(names.get_level_values(k).tolist(), pa.string()).take(own) for k in (0, 1)), terms.dictionary.take(pa.array(key % many)).cast(pa.string()), pa.array(total), pa.array(docs.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
 
 
