@@ -61,7 +61,8 @@ def constraints(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     carried = F.when(F.col("kind") == "assign", F.col("src_carries") & F.col("dst_carries")).when(F.col("kind") == "load", F.col("dst_carries")).when(F.col("kind") == "store", F.col("src_carries")).otherwise(True)
     written = ~(F.col("kind").isin("store", "memcpy") & F.col("dst_none"))
     e = scratch.save(e.where(carried & written), "carried")
-    off = F.when(F.col("modulus").isNull(), F.col("off"))  # a lane may be anywhere
+    # a lane may be anywhere; of a copy it is the length
+    off = F.when(F.col("kind") == "memcpy", F.col("width").cast("long")).when(F.col("modulus").isNull(), F.col("off"))
     plain = e.where("not src_none or kind = 'addr_of'").select("kind", "src", "dst", off.alias("off"))
     # what is read or moved from nothing is unknown
     lost = e.where("src_none and kind in ('load', 'gep')").select(F.lit("outside").alias("mark"), F.col("dst").alias("node"))
@@ -150,7 +151,7 @@ def solve_by_inclusion(p: Program, g: Graph, scratch: Scratch, fields: bool = Tr
         told = called.join(calls.returns.select(F.col("obj").alias("fid"), F.col("node").alias("src")), "fid").select("src", F.col("leaked").alias("dst"))
         return union([passed, given, taken, any_, fed, told])
 
-    pts, hits = solve_inclusion(_with_hubs(edges, g, scratch), scratch, fields=fields, calls=(sites, functions, bind))
+    pts, hits = solve_inclusion(edges, scratch, fields=fields, calls=(sites, functions, bind))
     if fields:
         cells = pts.select(F.when(F.col("node") >= (1 << 47), F.floor(F.col("node") / CELL)).otherwise(F.col("node")).cast("long").alias("node"), F.floor(F.col("obj") / CELL).cast("long").alias("obj"))
         pts = cells.distinct()
@@ -165,20 +166,6 @@ def solve_by_inclusion(p: Program, g: Graph, scratch: Scratch, fields: bool = Tr
     return Solved(pts.select("node", F.col("node").alias("set")).distinct(), scratch.save(members, "members"), outside, scratch.save(escaped, "escaped"), scratch.save(targets.distinct(), "targets"), open_sites)
 
 
-def _with_hubs(edges: DataFrame, g: Graph, scratch: Scratch) -> DataFrame:
-    """Copies as a load into a node of their own and a store from it, numbered beyond all values."""
-    from pyspark.sql import Window as W
-
-    copies = edges.where("kind = 'memcpy'").select("src", "dst").distinct().withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(64)))
-    copies = scratch.save(copies, "copies")
-    counts = copies.groupBy("part").count()
-    before = counts.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 64 rows
-    rank = F.row_number().over(W.partitionBy("part").orderBy("src", "dst")) - 1 + F.col("before")
-    hub = scratch.save(copies.join(F.broadcast(before), "part").select("src", "dst", (rank + (1 << 35)).alias("hub")), "hubs")
-    none = F.lit(None).cast("long").alias("off")
-    return union([edges.where("kind <> 'memcpy'"), hub.select(F.lit("load").alias("kind"), "src", F.col("hub").alias("dst"), none), hub.select(F.lit("store").alias("kind"), F.col("hub").alias("src"), "dst", none)])
-
-
 def solve_by_unification(p: Program, g: Graph, scratch: Scratch) -> Solved:
     """Unification: classes of values and of what they point at, with calls joined as they are found,
     and then the bits ``outside`` and ``escaped`` carried over the classes."""

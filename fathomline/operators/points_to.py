@@ -5,10 +5,10 @@ Constraint edges are (kind, src, dst, off):
     addr_of  src is an object, dst the value that holds its address
     assign   dst takes src's value          gep     dst is src moved by off (null: unknown)
     load     dst takes what src points at   store   what dst points at takes src's value
-    memcpy   what dst points at takes what src points at
+    memcpy   what dst points at takes what src points at, off bytes of it (null: unknown)
 
-A memcpy is a load into a node of its own and a store from it, so a site with m sources
-and n targets costs m + n derived edges and never m * n.
+A memcpy goes through a hub of its own, so a site with m sources and n targets costs
+m + n derived edges, for each distance at which something lies, and never m * n.
 """
 
 from __future__ import annotations
@@ -31,25 +31,81 @@ ANYWHERE = 1 << 40
 HUB = 1 << 50
 
 
-def _without_memcpy(edges: DataFrame) -> DataFrame:
-    hub = F.lit(HUB) + F.pmod(F.xxhash64("src", "dst"), F.lit(HUB))
-    copies = edges.where("kind = 'memcpy'")
-    load = copies.select(F.lit("load").alias("kind"), "src", hub.alias("dst"), F.lit(None).cast("long").alias("off"))
-    store = copies.select(F.lit("store").alias("kind"), hub.alias("src"), "dst", F.lit(None).cast("long").alias("off"))
-    return edges.where("kind <> 'memcpy'").select("kind", "src", "dst", "off").union(load).union(store)
+def _numbered_copies(plain: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst, size, hub): each copy with an object of its own between its ends."""
+    copies = plain.where("kind = 'memcpy'").select("src", "dst", F.col("off").alias("size"))
+    return scratch.save(copies.withColumn("hub", F.monotonically_increasing_id() + (HUB // CELL)), "copied")
+
+
+def _through_hubs(plain: DataFrame, copies: DataFrame) -> DataFrame:
+    """Edges with each copy as a load into its hub and a store from it, for objects without fields."""
+    none = F.lit(None).cast("long").alias("off")
+    hub = F.col("hub") * CELL
+    load = copies.select(F.lit("load").alias("kind"), "src", hub.alias("dst"), none)
+    store = copies.select(F.lit("store").alias("kind"), hub.alias("src"), "dst", none)
+    return plain.where("kind <> 'memcpy'").union(load).union(store)
+
+
+class _Cells:
+    """Cells that hold or are pointed at, and which of them flow into which others.
+
+    A copy is two windows over the cells of an object: from each object that its source
+    points at into the copy's hub, and from the hub into each object that its destination
+    points at.  A window (root, low, size, to, shift) moves the cell at x, for low <= x <
+    low + size, to the cell of ``to`` at x + shift; a null size has no end, and where low or
+    shift is null, or x is unknown, the move ends at an unknown offset.
+    """
+
+    def __init__(self, plain: DataFrame, copies: DataFrame, scratch: Scratch):
+        self.scratch = scratch
+        self.copies = copies
+        #: Values are numbered below the cells of the least object.
+        self.least = (plain.where("kind = 'addr_of'").agg(F.min("src")).first()[0] or 0) * CELL
+        empty = plain.select(F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("at")).limit(0)
+        self.cells = empty
+        self.windows = empty.select("root", F.col("at").alias("low"), F.col("at").alias("size"), F.col("root").alias("to"), F.col("at").alias("shift"))
+
+    def flows(self, delta: DataFrame) -> DataFrame:
+        """(src, dst) copies between cells that new facts give rise to."""
+        root, at = (lambda c: F.floor(F.col(c) / CELL).cast("long")), (lambda c: F.col(c) % CELL)
+        met = delta.select(F.col("obj").alias("cell")).union(delta.where(F.col("node") >= self.least).select("node"))
+        met = met.select(root("cell").alias("root"), at("cell").alias("at")).distinct()
+        new = self.scratch.save(met.join(self.cells, ["root", "at"], "left_anti"), "cells")
+        off = F.when(at("obj") != UNKNOWN, at("obj"))
+        into = delta.join(self.copies.withColumnRenamed("src", "node"), "node").select(root("obj").alias("root"), off.alias("low"), "size", F.col("hub").alias("to"), (-off).alias("shift"))
+        out = delta.join(self.copies.withColumnRenamed("dst", "node"), "node").select(F.col("hub").alias("root"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("size"), root("obj").alias("to"), off.alias("shift"))
+        windows = self.scratch.save(into.union(out).distinct(), "windows")
+        old, self.cells = self.cells, self.scratch.grow(self.cells, new, "cells")
+        self.windows = self.scratch.grow(self.windows, windows, "windows")
+        moved = new.join(self.windows, "root").union(old.join(windows, "root"))
+        x, low = F.col("at"), F.col("low")
+        known = (x != UNKNOWN) & low.isNotNull() & F.col("shift").isNotNull()
+        goal = F.when(known & (x + F.col("shift")).between(0, MOST_OFFSET), x + F.col("shift")).otherwise(UNKNOWN)
+        inside = (x == UNKNOWN) | low.isNull() | ((x >= low) & (F.col("size").isNull() | (x < low + F.col("size"))))
+        copied = moved.where(inside).select((F.col("root") * CELL + x).alias("src"), (F.col("to") * CELL + goal).alias("dst"))
+        # an object has one unknown cell, which is one with each of its others; hubs are passed through
+        alike = lambda a, b: a.where((F.col("at") != UNKNOWN) & (F.col("root") < HUB // CELL)).join(b.where(F.col("at") == UNKNOWN).select("root"), "root").select((F.col("root") * CELL + F.col("at")).alias("cell"), (F.col("root") * CELL + UNKNOWN).alias("any"))
+        pairs = alike(new, self.cells).union(alike(old, new))
+        return copied.union(pairs.select("cell", "any")).union(pairs.select("any", "cell"))
 
 
 def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, calls: tuple | None = None, limit: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
     """Points-to facts (node, obj) by semi-naive rounds; with ``calls``, also (site, fid) targets.
 
     With ``fields`` objects are cells (object * CELL + offset), and cells of one object
-    whose offset is unknown hold what its others hold and the other way round.
+    whose offset is unknown hold what its others hold and the other way round.  Moves
+    below an object's first byte or beyond MOST_OFFSET are unknown.  A copy then moves each
+    cell within its length (``off``; null: unknown) to the cell at the same distance.
+    Values are to be numbered below CELL times the least object.
     ``calls`` is (sites: site, operand, cc, ret, params), (functions: obj, fid, cc, ret,
     params) and a function from (site, fid) pairs to the (src, dst) they copy: a site reaches a function that its
     operand points at and whose signature fits, which then copies arguments and results.
     Where sites and functions have a flag ``any``, one that has it set fits all others.
     """
-    plain = scratch.save(_without_memcpy(edges).distinct(), "plain")
+    plain = scratch.save(edges.select("kind", "src", "dst", "off").distinct(), "edges")
+    copied = _numbered_copies(plain, scratch)
+    cells = _Cells(plain, copied, scratch) if fields else None
+    plain = plain.where("kind <> 'memcpy'") if fields else scratch.save(_through_hubs(plain, copied), "plain")
     scale = CELL if fields else 1
     pts = plain.where("kind = 'addr_of'").select(F.col("dst").alias("node"), (F.col("src") * scale).alias("obj")).distinct()
     pts = delta = scratch.save(pts, "pts")
@@ -77,12 +133,8 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
             hit = scratch.save(hit, "hit")
             targets = hit if targets is None else scratch.grow(targets, hit, "targets")
             grown = grown.union(bindings(hit).select("src", "dst"))
-        if fields:
-            # a new cell of an object is one with each unknown cell of that object
-            cell = lambda d: d.select(F.col("obj").alias("cell"), F.floor(F.col("obj") / CELL).alias("root")).distinct()
-            new, every = cell(delta), cell(pts).withColumnRenamed("cell", "other")
-            alias = new.join(every, "root").where((F.col("cell") != F.col("other")) & ((F.col("cell") % CELL == UNKNOWN) | (F.col("other") % CELL == UNKNOWN)))
-            grown = grown.union(alias.select("cell", "other")).union(alias.select("other", "cell"))
+        if cells:
+            grown = grown.union(cells.flows(delta))
         grown = scratch.save(grown.where("src <> dst").distinct().join(copies, ["src", "dst"], "left_anti"), "grown")
         wider = scratch.grow(copies, grown, "copies")
         by = lambda d: d.select(F.col("src").alias("node"), "dst")
@@ -90,7 +142,8 @@ def solve_inclusion(edges: DataFrame, scratch: Scratch, fields: bool = False, ca
         found = found.union(pts.join(by(grown), "node").select(F.col("dst").alias("node"), "obj"))
         if fields:
             moved = F.col("obj") % CELL + F.col("off")
-            at = F.when(F.col("off").isNull() | (F.col("obj") % CELL == UNKNOWN) | (moved > MOST_OFFSET), UNKNOWN).otherwise(moved)
+            known = F.col("off").isNotNull() & (F.col("obj") % CELL != UNKNOWN) & moved.between(0, MOST_OFFSET)
+            at = F.when(known, moved).otherwise(UNKNOWN)
             found = found.union(delta.join(geps, "node").select(F.col("dst").alias("node"), (F.floor(F.col("obj") / CELL) * CELL + at).cast("long")))
         delta = scratch.save(found.distinct().join(pts, ["node", "obj"], "left_anti"), "delta")
         if delta.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -206,13 +207,22 @@ t(tag, a, b) USING KEY (tag, a, b) AS (
     UNION SELECT 1, e.src, p.b FROM t p JOIN e ON e.kind = 'store' AND e.dst = p.a WHERE p.tag = 0 AND p.b <> e.src
     MORE))"""
 INSENSITIVE = PTS.replace("SCALE", "1").replace("COPIES", "'assign', 'gep'")
-FIELDS = """UNION SELECT 0, e.dst, CASE WHEN e.off IS NULL OR p.b % 4096 = 4095 OR p.b % 4096 + e.off > 64 THEN p.b // 4096 * 4096 + 4095 ELSE p.b + e.off END
-      FROM t p JOIN e ON e.kind = 'gep' AND e.src = p.a WHERE p.tag = 0
-    UNION SELECT 1, p.b, q.b FROM t p JOIN recurring.t q ON p.b // 4096 = q.b // 4096 WHERE p.tag = 0 AND q.tag = 0 AND p.b <> q.b AND (p.b % 4096 = 4095 OR q.b % 4096 = 4095)
-    UNION SELECT 1, q.b, p.b FROM t p JOIN recurring.t q ON p.b // 4096 = q.b // 4096 WHERE p.tag = 0 AND q.tag = 0 AND p.b <> q.b AND (p.b % 4096 = 4095 OR q.b % 4096 = 4095)"""
+#: Copies over cells: tag 2 is a cell that holds or is pointed at, of its root; a copy's hub is numbered from 2**50 / 4096 on.
+MOVED = "CASE WHEN {x} % 4096 <> 4095 AND {low} % 4096 <> 4095 AND {x} % 4096 {sign} {low} % 4096 BETWEEN 0 AND 64 THEN {x} % 4096 {sign} {low} % 4096 ELSE 4095 END"
+INTO, OUT = MOVED.format(x="c.a", low="p.b", sign="-"), MOVED.format(x="c.a", low="p.b", sign="+")
+INSIDE = "(c.a % 4096 = 4095 OR p.b % 4096 = 4095 OR c.a % 4096 >= p.b % 4096 AND (m.size IS NULL OR c.a % 4096 < p.b % 4096 + m.size))"
+FIELDS = "UNION SELECT 0, e.dst, CASE WHEN p.b % 4096 <> 4095 AND p.b % 4096 + e.off BETWEEN 0 AND 64 THEN p.b + e.off ELSE p.b // 4096 * 4096 + 4095 END FROM t p JOIN e ON e.kind = 'gep' AND e.src = p.a WHERE p.tag = 0"
+FIELDS += " UNION SELECT 2, p.b, p.b // 4096 FROM t p WHERE p.tag = 0 UNION SELECT 2, p.a, p.a // 4096 FROM t p WHERE p.tag = 0 AND p.a >= 4096000000000"
+for _new, _old in (("t", "recurring.t"), ("recurring.t", "t")):
+    FIELDS += f"""
+    UNION SELECT 1, c.a, m.hub * 4096 + {INTO} FROM {_new} p JOIN m ON p.a = m.src JOIN {_old} c ON c.tag = 2 AND c.b = p.b // 4096 WHERE p.tag = 0 AND {INSIDE}
+    UNION SELECT 1, c.a, p.b // 4096 * 4096 + {OUT} FROM {_new} p JOIN m ON p.a = m.dst JOIN {_old} c ON c.tag = 2 AND c.b = m.hub WHERE p.tag = 0
+    UNION SELECT 1, p.a, q.a FROM {_new} p JOIN {_old} q ON p.b = q.b WHERE p.tag = 2 AND q.tag = 2 AND p.a <> q.a AND (p.a % 4096 = 4095 OR q.a % 4096 = 4095) AND p.b < 274877906944"""
 SENSITIVE = PTS.replace("SCALE", "4096").replace("COPIES", "'assign'").replace("MORE", FIELDS)
+SENSITIVE = SENSITIVE[: SENSITIVE.index("\n  UNION SELECT 'load'")] + "),\nm AS (SELECT src, dst, size, 274877906944 + row_number() OVER () AS hub FROM (SELECT DISTINCT src, dst, CASE WHEN width < 8 THEN 8 * width END AS size FROM {pv_edge} WHERE kind = 'memcpy') c)" + SENSITIVE[SENSITIVE.index(",\nt(tag") :]
 #: The insensitive solution beside another, under names of its own.
-OTHER = ", " + INSENSITIVE.replace("MORE", "").split(",\n", 2)[2].replace("t(tag", "u(tag").replace("recurring.t ", "recurring.u ").replace("FROM t ", "FROM u ").replace("JOIN t ", "JOIN u ")
+OTHER = INSENSITIVE.replace("MORE", "").split(",\n", 1)[1].replace("t(tag", "u(tag").replace("recurring.t ", "recurring.u ").replace("FROM t ", "FROM u ").replace("JOIN t ", "JOIN u ")
+OTHER = ", " + re.sub(r"\be\b", "g", OTHER)
 #: Whether an indirect call's signature fits a function's (PR1), in SQL.
 FITS = "i.cc = f.cc AND (i.ret = f.ret OR i.ret = 'V' OR f.ret = 'V') AND starts_with(i.params, f.params)"
 JOINT = INSENSITIVE.replace(
@@ -223,7 +233,9 @@ JOINT = INSENSITIVE.replace(
 
 
 def _edges(v, scratch):
-    return scratch.save(v("pv_edge").select("kind", "src", "dst", "off"), "view-edges")
+    """Constraint edges; a copy's length is 8 times its width, and unknown from the width 8 on."""
+    size = F.when((F.col("kind") == "memcpy") & (F.col("width") < 8), 8 * F.col("width"))
+    return scratch.save(v("pv_edge").select("kind", "src", "dst", F.coalesce("off", size).alias("off")).distinct(), "view-edges")
 
 
 def _calls(v, scratch):
@@ -252,7 +264,7 @@ def gr5_andersen(v, scratch):
     return points_to.solve_inclusion(_edges(v, scratch), scratch)[0]
 
 
-@query(SENSITIVE + " SELECT a AS node, b // 4096 AS obj, b % 4096 AS off FROM t WHERE tag = 0 AND a < 1000000000000000", True)
+@query(SENSITIVE + " SELECT a AS node, b // 4096 AS obj, b % 4096 AS off FROM t WHERE tag = 0 AND a < 1125899906842624", True)
 def gr5_andersen_fields(v, scratch):
     """Inclusion-based points-to facts over cells (object, offset); offset 4095 is unknown."""
     pts = points_to.solve_inclusion(_edges(v, scratch), scratch, fields=True)[0]

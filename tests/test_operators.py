@@ -115,39 +115,42 @@ def test_cycle_lanes(spark, scratch):
 
 
 def brute_inclusion(edges, fields):
-    pts, copies, cell = {}, set(), 4096 if fields else 1
-    load, store, gep = [], [], []
-    for kind, s, d, off in edges:
-        if kind == "addr_of":
-            pts.setdefault(d, set()).add(s * cell)
-        elif kind == "assign" or kind == "gep" and not fields:
-            copies.add((s, d))
-        elif kind == "gep":
-            gep.append((s, d, off))
-        elif kind == "load":
-            load.append((s, d))
-        elif kind == "store":
-            store.append((s, d))
-        else:
-            load.append((s, ("hub", s, d)))
-            store.append((("hub", s, d), d))
+    """Facts by the rules as they are stated: a copy takes all pairs of what its ends point at."""
+    pts, cell = {}, 4096 if fields else 1
+    held = lambda n: pts.setdefault(n, set())
+    move = lambda o, off: o // 4096 * 4096 + (o % 4096 + off if off is not None and o % 4096 != 4095 and 0 <= o % 4096 + off <= 64 else 4095)
     size = None
-    while size != (size := (sum(map(len, pts.values())), len(copies))):
-        for a, d in load:
-            copies |= {(o, d) for o in pts.get(a, ())}
-        for q, a in store:
-            copies |= {(q, o) for o in pts.get(a, ())}
-        for b, d, off in gep:
-            for o in list(pts.get(b, ())):
-                at = 4095 if off is None or o % 4096 == 4095 or o % 4096 + off > 64 else o % 4096 + off
-                pts.setdefault(d, set()).add(o // 4096 * 4096 + at)
+    while size != (size := sum(map(len, pts.values()))):
+        for kind, s, d, off in edges:
+            if kind == "addr_of":
+                held(d).add(s * cell)
+            elif kind == "assign" or kind == "gep" and not fields:
+                held(d).update(held(s))
+            elif kind == "gep":
+                held(d).update({move(o, off) for o in held(s)})
+            elif kind == "load":
+                for o in list(held(s)):
+                    held(d).update(held(o))
+            elif kind == "store":
+                for o in list(held(d)):
+                    held(o).update(held(s))
+            else:
+                for o, q in [(o, q) for o in held(s) for q in held(d)]:
+                    if not fields:
+                        held(q).update(held(o))
+                        continue
+                    for c in [c for c in pts if c // 4096 == o // 4096]:
+                        if 4095 in (c % 4096, o % 4096):
+                            held(q // 4096 * 4096 + 4095).update(held(c))
+                        elif c >= o and (off is None or c - o < off):
+                            held(move(q, c - o)).update(held(c))
         if fields:
-            seen = {o for s in pts.values() for o in s}
-            copies |= {(a, b) for a in seen for b in seen if a != b and a // 4096 == b // 4096 and 4095 in (a % 4096, b % 4096)}
-        for s, d in copies:
-            if pts.get(s):
-                pts.setdefault(d, set()).update(pts[s])
-    return {(n, o) for n, s in pts.items() for o in s if not isinstance(n, tuple)}
+            for o in {o for s in pts.values() for o in s} | {n for n in pts if n >= 4096}:
+                unknown = o // 4096 * 4096 + 4095
+                if o != unknown and (unknown in pts or any(unknown in s for s in pts.values())):
+                    held(unknown).update(held(o))
+                    held(o).update(held(unknown))
+    return {(n, o) for n, s in pts.items() for o in s}
 
 
 def random_edges(seed, n=40):
@@ -156,18 +159,32 @@ def random_edges(seed, n=40):
     for _ in range(n):
         kind = draw.choice(("addr_of", "addr_of", "assign", "load", "store", "gep", "memcpy"))
         src = 1000 + draw.randrange(6) if kind == "addr_of" else draw.randrange(14)
-        out.append((kind, src, draw.randrange(14), draw.choice((0, 8, 40, None)) if kind == "gep" else None))
+        out.append((kind, src, draw.randrange(14), draw.choice((0, 8, 40, -8, None)) if kind == "gep" else draw.choice((8, 16, None)) if kind == "memcpy" else None))
     return out
 
 
-@pytest.mark.parametrize("fields", [False, True])
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("fields,seed", [(False, 0), (True, 1), (True, 2)])
 def test_inclusion_against_brute_force(spark, scratch, fields, seed):
-    edges = random_edges(seed)
+    edges = random_edges(seed, 30)
     df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
     assert pairs(points_to.solve_inclusion(df, scratch, fields=fields)[0]) == brute_inclusion(edges, fields)
 
 
+def test_copies_take_fields_with_them(spark, scratch):
+    """Of a structure copied whole, of its first 8 bytes, into the middle of another, and through a pointer moved back."""
+    head = [("addr_of", 1000, 1, None), ("addr_of", 1001, 2, None), ("addr_of", 1100, 3, None), ("gep", 3, 4, 8), ("store", 1, 3, None), ("store", 2, 4, None)]
+    goal = lambda size: [("addr_of", 1101, 5, None), ("memcpy", 3, 5, size), ("gep", 5, 6, 8), ("load", 5, 7, None), ("load", 6, 8, None)]
+    inner = [("addr_of", 1102, 9, None), ("gep", 9, 10, 16), ("memcpy", 4, 10, 8), ("gep", 10, 11, -16), ("load", 10, 12, None), ("load", 11, 13, None)]
+    below = [("gep", 3, 14, -8), ("store", 2, 14, None), ("load", 3, 15, None), ("addr_of", 1099, 16, None), ("load", 16, 17, None)]
+    for edges, want in (
+        (head + goal(None), {7: {1000}, 8: {1001}}), (head + goal(16), {7: {1000}, 8: {1001}}), (head + goal(8), {7: {1000}, 8: set()}),
+        (head + inner, {12: {1001}, 13: set()}), (head + below, {15: {1000, 1001}, 17: set()}),
+    ):
+        got = pairs(points_to.solve_inclusion(spark.createDataFrame(edges, "kind string, src long, dst long, off long"), scratch, fields=True)[0])
+        assert got == {(n, o) for n, o in brute_inclusion(edges, True) if n < points_to.HUB}
+        assert {n: {o // 4096 for m, o in got if m == n} for n in want} == want
+
+
 def test_unification_is_congruence_closure_and_coarser(spark, scratch):
     edges = random_edges(9, 30)
     df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
