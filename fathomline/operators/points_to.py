@@ -188,50 +188,121 @@ def solve_unification(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return own.join(star, "node").select("node", "class", "star")
 
 
-def over_none(start: DataFrame) -> DataFrame:
-    return start.select("origin").limit(0)
+FORWARD, BACKWARD = 0, 1
+#: What a context asks for: where a value goes, what was read from a stored-to place, what was stored in a read place.
+VALUE, READS, WRITES = 0, 1, 2
+_CONTEXT, _STATE = ("mode", "entry"), ("mode", "entry", "node", "phase", "off")
 
 
-def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: int = 3, limit: int = 25_000) -> tuple[DataFrame, DataFrame]:
-    """Where each origin object's address may flow, on demand, with a stack of offsets.
+def callee_walk(edges: DataFrame, origins: DataFrame, scratch: Scratch, depth: int | None = None, limit: int = 25_000, calls: tuple | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Where each origin object's address may flow, on demand, with a stack of offsets of any depth.
 
-    A store pushes the current offset of the pointed-at field, a load of an alias of the
-    same memory pops it, a move shifts the top.  Addresses alias when an object's
-    address reaches both, so (origin, node, stack) steps over (store, load) pairs of one
-    object.  Returns ((origin, node), origins that went over ``limit`` states and whose
-    answer must fall back to a solver's).  Stacks deeper than ``depth`` are cut to it, and
-    an offset that is null or beyond MOST_OFFSET is unknown from there on, which only
-    widens the answer; at depth 0 there is no stack and the answer is that of
-    the inclusion-based solver, objects' memory included.
+    A value that is stored goes on from what is read of the same place.  A place is asked
+    for in a context of its own, entered at the address with offset 0: backward to where
+    the address comes from, then forward to what else comes from there, each move shifting
+    the offset; only where it is 0 again, or unknown, may a load give the value back.  On
+    the way back through a load, the same is asked of stores.  A copy carries a place of
+    its source, within its length, to the same distance of its destination.  Contexts are
+    shared by all who enter them, and what a context gives back is kept as a summary (entry,
+    node), so stacks are never spelled out.
+
+    Offsets that are null or beyond MOST_OFFSET are unknown from there on.  Returns
+    ((origin, node), origins whose walk meets more than ``limit`` nodes, itself or in a context that it
+    enters, and whose answer must fall back to a solver's, and with ``calls`` (as of
+    ``solve_inclusion``) the (site, fid) found, whose arguments and results the walk then follows too).
+    At depth 0 there is no stack and the answer is that of the inclusion-based solver, objects' memory included.
     """
     plain = scratch.save(edges.select("kind", "src", "dst", "off").distinct(), "walk-edges")
-    memory, _ = solve_inclusion(plain, scratch)
-    memory = scratch.save(memory, "memory")
-    into = plain.where("kind in ('store', 'memcpy')").join(memory.select(F.col("node").alias("dst"), "obj"), "dst")
-    out = plain.where("kind in ('load', 'memcpy')").join(memory.select(F.col("node").alias("src"), "obj"), "src")
-    push = scratch.save(into.where("kind = 'store'").select(F.col("src").alias("node"), F.col("obj").alias("to")).distinct(), "push")
-    pop = scratch.save(out.where("kind = 'load'").select(F.col("obj").alias("node"), F.col("dst").alias("to")).distinct(), "pop")
-    pair = plain.where("kind = 'memcpy'").join(memory.select(F.col("node").alias("src"), F.col("obj").alias("o")), "src").join(memory.select(F.col("node").alias("dst"), F.col("obj").alias("to")), "dst")
-    pair = scratch.save(pair.select(F.col("o").alias("node"), "to").distinct(), "pair")
-    flat = scratch.save(plain.where("kind in ('assign', 'gep')").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.when(F.col("kind") == "gep", F.coalesce("off", F.lit(ANYWHERE))).otherwise(0).alias("off")), "flat")
-    start = origins.join(plain.where("kind = 'addr_of'"), origins.origin == F.col("src")).select("origin", F.col("dst").alias("node"), F.array(F.lit(0).cast("long")).alias("stack"))
+    taken = origins.join(plain.where("kind = 'addr_of'").select(F.col("src").alias("origin"), "dst"), "origin")
+    if depth == 0:
+        memory = scratch.save(solve_inclusion(plain, scratch)[0], "memory")
+        flat = plain.where("kind in ('assign', 'gep')").select("src", "dst")
+        hubs = _through_hubs(plain, _numbered_copies(plain, scratch))
+        push = hubs.where("kind = 'store'").join(memory.select(F.col("node").alias("dst"), "obj"), "dst").select("src", F.col("obj").alias("dst"))
+        pop = hubs.where("kind = 'load'").join(memory.select(F.col("node").alias("src"), "obj"), "src").select(F.col("obj").alias("src"), "dst")
+        onward = scratch.save(flat.union(push).union(pop).distinct(), "onward")
+        found = reachable(onward, taken.select("origin", F.col("dst").alias("node")), scratch)
+        return found.where(F.col("node") < HUB), origins.limit(0), None
+
+    off = F.when(F.col("kind") == "gep", F.coalesce("off", F.lit(ANYWHERE))).otherwise(0).cast("long").alias("move")
+    flat = plain.where("kind in ('addr_of', 'assign', 'gep')").select("src", "dst", off).distinct()
+    # a move is undone on the way there and made on the way back
+    steps = lambda f: f.select(F.col("src").alias("node"), F.lit(FORWARD).alias("phase"), F.col("dst").alias("to"), F.when(F.col("move") == ANYWHERE, ANYWHERE).otherwise(-F.col("move")).alias("move")).union(f.select("dst", F.lit(BACKWARD), "src", "move"))
+    flat = scratch.save(steps(flat), "flat")
+    loads = plain.where("kind = 'load'")
+    stores = plain.where("kind = 'store'")
+    copies = plain.where("kind = 'memcpy'")
+    # who enters a context: a stored value on its way, or a read one on its way back
+    enter = stores.select(F.col("src").alias("node"), F.lit(FORWARD).alias("phase"), F.lit(READS).alias("ask"), F.col("dst").alias("at"))
+    enter = scratch.save(enter.union(loads.select("dst", F.lit(BACKWARD), F.lit(WRITES), "src")).distinct(), "enter")
+    leave = loads.select(F.lit(READS).alias("mode"), F.col("src").alias("node"), F.col("dst").alias("to"))
+    leave = scratch.save(leave.union(stores.select(F.lit(WRITES), "dst", "src")).distinct(), "leave")
+    carry = copies.select(F.lit(READS).alias("mode"), F.col("src").alias("node"), F.col("dst").alias("to"), F.col("off").alias("size"))
+    carry = scratch.save(carry.union(copies.select(F.lit(WRITES), "dst", "src", "off")).distinct(), "carry")
+
+    start = taken.select(F.lit(VALUE).alias("mode"), F.col("origin").alias("entry"), F.col("dst").alias("node"), F.lit(FORWARD).alias("phase"), F.lit(0).cast("long").alias("off"))
     seen = new = scratch.save(start.distinct(), "states")
-    over = scratch.save(seen.select("origin").limit(0), "over")
-    if not depth:
-        onward = flat.select("node", "to").union(push).union(pop).union(pair).distinct()
-        onward = scratch.save(onward.select(F.col("node").alias("src"), F.col("to").alias("dst")), "onward")
-        return reachable(onward, start.select("origin", "node"), scratch), over_none(start)
-    cut = lambda s: F.slice(s, 1, depth)
-    while not new.isEmpty():
-        moved = F.element_at("stack", 1) + F.col("off")
-        top = F.when(F.abs(moved) > MOST_OFFSET, ANYWHERE).otherwise(moved)
-        top = F.when(F.element_at("stack", 1) == ANYWHERE, ANYWHERE).otherwise(top)
-        step = new.join(flat, "node").select("origin", F.col("to").alias("node"), F.concat(F.array(top.cast("long")), F.slice("stack", 2, depth)).alias("stack"))
-        step = step.union(new.join(push, "node").select("origin", "to", cut(F.concat(F.array(F.lit(0).cast("long")), "stack"))))
-        step = step.union(new.join(pop, "node").select("origin", "to", F.when(F.size("stack") > 1, F.slice("stack", 2, depth)).otherwise(F.col("stack"))))
-        step = step.union(new.join(pair, "node").select("origin", "to", "stack"))
-        new = step.distinct().join(seen, ["origin", "node", "stack"], "left_anti").join(over, "origin", "left_anti")
-        new = scratch.save(new, "new")
+    asked = new.select("mode", "entry", F.col("phase").alias("resume"), "off", F.lit(READS).alias("ask"), F.col("node").alias("at")).limit(0)
+    gives = new.select(F.col("mode").alias("ask"), F.col("entry").alias("at"), "node").limit(0)
+    asked, gives = scratch.save(asked, "asked"), scratch.save(gives, "gives")
+    full = scratch.save(new.select(*_CONTEXT).limit(0), "full")
+    targets = None
+    while True:
+        while not new.isEmpty():
+            new, seen, asked, gives, full = _walk_round(new, seen, asked, gives, full, (flat, enter, leave, carry), limit, scratch)
+        if not calls:
+            break
+        sites, functions, bindings = calls
+        at = seen.where(F.col("mode") == VALUE).select(F.col("entry").alias("obj"), F.col("node").alias("operand")).distinct()
+        f = functions.select("obj", "fid", F.col("cc").alias("fcc"), F.col("ret").alias("fret"), F.col("params").alias("fparams"))
+        hit = at.join(sites, "operand").join(f, "obj").where((F.col("cc") == F.col("fcc")) & signatures_fit("ret", "params", "fret", "fparams")).select("site", "fid").distinct()
+        hit = scratch.save(hit if targets is None else hit.join(targets, ["site", "fid"], "left_anti"), "hit")
+        targets = hit if targets is None else scratch.grow(targets, hit, "targets")
+        bound = steps(bindings(hit).select("src", "dst", F.lit(0).cast("long").alias("move")).where("src <> dst").distinct())
+        bound = scratch.save(bound.join(flat, ["node", "phase", "to", "move"], "left_anti"), "bound")
+        if bound.isEmpty():
+            break
+        flat = scratch.grow(flat, bound, "flat")
+        new = _moved(seen.join(bound, ["node", "phase"])).distinct().join(seen, list(_STATE), "left_anti")
+        new = scratch.save(new.join(full, list(_CONTEXT), "left_anti"), "bound-states")
         seen = scratch.grow(seen, new, "states")
-        over = scratch.save(seen.groupBy("origin").count().where(F.col("count") > limit).select("origin"), "over")
-    return seen.select("origin", "node").distinct(), over
+    found = seen.where(F.col("mode") == VALUE).select(F.col("entry").alias("origin"), "node").distinct()
+    # whoever waits for a context that was given up has no whole answer either
+    lost = fresh = full
+    callers = scratch.save(asked.select("mode", "entry", "ask", "at").distinct(), "callers")
+    while not fresh.isEmpty():
+        fresh = callers.join(fresh.select(F.col("mode").alias("ask"), F.col("entry").alias("at")), ["ask", "at"], "left_semi").select(*_CONTEXT).distinct()
+        fresh = scratch.save(fresh.join(lost, list(_CONTEXT), "left_anti"), "waits")
+        lost = scratch.grow(lost, fresh, "lost")
+    return found, lost.where(F.col("mode") == VALUE).select(F.col("entry").alias("origin")), targets
+
+
+def _moved(joined: DataFrame) -> DataFrame:
+    """States after a step; what an origin's own walk is at has no place, so no offset."""
+    off = F.when(F.col("mode") == VALUE, 0).when((F.col("off") == ANYWHERE) | (F.col("move") == ANYWHERE), ANYWHERE).otherwise(F.col("off") + F.col("move"))
+    off = F.when(F.abs(off) > MOST_OFFSET, ANYWHERE).otherwise(off).cast("long")
+    return joined.select("mode", "entry", F.col("to").alias("node"), "phase", off.alias("off"))
+
+
+def _walk_round(new: DataFrame, seen: DataFrame, asked: DataFrame, gives: DataFrame, full: DataFrame, graph: tuple, limit: int, scratch: Scratch) -> tuple:
+    """One step of every new state, with contexts entered, and what they give back to those who wait."""
+    flat, enter, leave, carry = graph
+    hits = (F.col("off") == 0) | (F.col("off") == ANYWHERE)
+    out = new.where(F.col("phase") == FORWARD).where(hits).join(leave, ["mode", "node"]).select(F.col("mode").alias("ask"), F.col("entry").alias("at"), F.col("to").alias("node"))
+    out = scratch.save(out.distinct().join(gives, ["ask", "at", "node"], "left_anti"), "gives")
+    ask = new.join(enter, ["node", "phase"]).select("mode", "entry", F.col("phase").alias("resume"), "off", "ask", "at")
+    ask = scratch.save(ask.distinct().join(asked, ["mode", "entry", "resume", "off", "ask", "at"], "left_anti"), "asks")
+    old, gives, asked = gives, scratch.grow(gives, out, "gives"), scratch.grow(asked, ask, "asked")
+    state = lambda d: d.select("mode", "entry", "node", F.col("resume").alias("phase"), "off")
+    turned = new.where(F.col("phase") == BACKWARD).withColumn("phase", F.lit(FORWARD)).select(*_STATE)
+    opened = ask.select(F.col("ask").alias("mode"), F.col("at").alias("entry"), F.col("at").alias("node"), F.lit(BACKWARD).alias("phase"), F.lit(0).cast("long").alias("off"))
+    within = (F.col("off") == ANYWHERE) | (F.col("off").between(0, MOST_OFFSET) & (F.col("size").isNull() | (F.col("off") < F.col("size"))))
+    carried = new.where(F.col("phase") == FORWARD).join(carry, ["mode", "node"]).where(within).select("mode", "entry", F.col("to").alias("node"), F.lit(BACKWARD).alias("phase"), "off")
+    back = state(ask.join(gives, ["ask", "at"])).union(state(asked.join(out, ["ask", "at"])))
+    found = _moved(new.join(flat, ["node", "phase"])).union(turned).union(opened).union(carried).union(back)
+    new = scratch.save(found.distinct().join(full, list(_CONTEXT), "left_anti").join(seen, list(_STATE), "left_anti"), "new")
+    seen = scratch.grow(seen, new, "states")
+    grown = new.select(*_CONTEXT).distinct()
+    size = seen.join(grown, list(_CONTEXT), "left_semi").groupBy(*_CONTEXT).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    full = scratch.grow(full, scratch.save(size.select(*_CONTEXT), "full"), "full")
+    return new, seen, asked, gives, full

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..operators import derive as D
 from ..operators import points_to, sinks_of, slices
-from .registry import CLOSURE, INSENSITIVE, QUERIES, SQL, _edges, query
+from .registry import CLOSURE, FITS, INSENSITIVE, QUERIES, SQL, WALK, Bindings, _calls, _edges, query
 from .views import OBJECT
 
 PTS = INSENSITIVE.replace("MORE", "")
@@ -51,16 +51,32 @@ def gr8_directional_slice(v, scratch):
     return slices.backward_slice(v("pv_edge"), v("pv_icall").select(F.col("operand").alias("node")), scratch, 200_000)
 
 
-@query()
+@query(WALK.replace("MORE", "") + " SELECT DISTINCT b AS origin, c AS node, false AS fallback FROM t WHERE tag = 0 AND a = 0", True)
 def gr11_walk_with_fallback(v, scratch):
     """The walk with offsets, where functions over the limit take the solver's answer (GR11)."""
     edges = _edges(v, scratch)
     origins = scratch.save(v("pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("origin")), "origins")
-    found, over = points_to.callee_walk(edges, origins, scratch)
-    wide = points_to.solve_inclusion(edges, scratch)[0].select(F.col("obj").alias("origin"), "node").join(over, "origin", "left_semi")
+    found, over, _ = points_to.callee_walk(edges, origins, scratch)
+    over = scratch.save(over, "over")
+    wide = points_to.solve_inclusion(edges, scratch)[0].select(F.col("obj").alias("origin"), "node").join(over, "origin", "left_semi") if not over.isEmpty() else found.limit(0)
     return found.join(over, "origin", "left_anti").withColumn("fallback", F.lit(False)).union(wide.withColumn("fallback", F.lit(True)))
 
 
+@query(
+    WALK.replace("MORE", f"""UNION SELECT 3, i.site, h.fid, 0, 0, 0 FROM t s JOIN {{pv_icall}} i ON i.operand = s.c JOIN {{pv_func}} h ON h.fid = s.b - 1000000000 AND {FITS.replace("f.", "h.")} WHERE s.tag = 0 AND s.a = 0
+    UNION SELECT 4, (c.a * 17 + k) % n.n, (c.b * 3 + k * 7) % n.n, 0, 0, 0 FROM t c, n, range(0, 2) r(k) WHERE c.tag = 3 AND (c.a * 17 + k) % n.n <> (c.b * 3 + k * 7) % n.n
+    UNION SELECT 0, s.a, s.b, w.b, 0, s.e FROM t s JOIN recurring.t w ON w.tag = 4 AND w.a = s.c WHERE s.tag = 0 AND s.d = 0 UNION SELECT 0, s.a, s.b, w.b, 0, s.e FROM recurring.t s JOIN t w ON w.tag = 4 AND w.a = s.c WHERE s.tag = 0 AND s.d = 0
+    UNION SELECT 0, s.a, s.b, w.a, 1, s.e FROM t s JOIN recurring.t w ON w.tag = 4 AND w.b = s.c WHERE s.tag = 0 AND s.d = 1 UNION SELECT 0, s.a, s.b, w.a, 1, s.e FROM recurring.t s JOIN t w ON w.tag = 4 AND w.b = s.c WHERE s.tag = 0 AND s.d = 1""")
+    + " SELECT a AS site, b AS fid FROM t WHERE tag = 3",
+    True,
+)
+def gr10_walk_call_graph(v, scratch):
+    """Targets of indirect calls by the walk with offsets, going on through what they bind (GR10)."""
+    sites, _, n = _calls(v, scratch)
+    functions = scratch.save(v("pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("obj"), "fid", "cc", "ret", "params"), "functions")
+    return points_to.callee_walk(_edges(v, scratch), functions.select(F.col("obj").alias("origin")), scratch, calls=(sites, functions, Bindings(n).of))[2]
+
+
 @query(
     """, o AS (SELECT src AS node, min(dst) AS to_ FROM {pv_call} GROUP BY src HAVING count(*) = 1), s(func, level, callee) AS (SELECT node, 1, to_ FROM o UNION ALL SELECT s.func, s.level + 1, o.to_ FROM s JOIN o ON o.node = s.callee WHERE s.level < 4) SELECT func, level, callee FROM s""",
     True,

@@ -369,9 +369,30 @@ def x1_narrowing_ledger(v, scratch):
     return row("fields", fine, fine.join(pts, ["node", "obj"], "left_anti")).union(row("inclusion", pts, missed))
 
 
-@query()
+#: States (tag 0: mode, entry, node, phase, offset), who asks (1) and what contexts give back (2); no context is over the limit.
+WALK = """, n AS (SELECT 6 * (count(*) // 3) AS n FROM customer), k AS (SELECT 1099511627776 AS z), e AS (SELECT DISTINCT kind, src, dst, CASE WHEN kind = 'memcpy' THEN CASE WHEN width < 8 THEN 8 * width END ELSE off END AS off FROM {pv_edge}),
+f AS (SELECT src AS node, 0 AS phase, dst AS to_, CASE WHEN kind <> 'gep' THEN 0 ELSE coalesce(-off, z) END AS move FROM e, k WHERE kind IN ('addr_of', 'assign', 'gep')
+  UNION SELECT dst, 1, src, CASE WHEN kind <> 'gep' THEN 0 ELSE coalesce(off, z) END FROM e, k WHERE kind IN ('addr_of', 'assign', 'gep')),
+x AS (SELECT src AS node, 0 AS phase, 1 AS ask, dst AS at_ FROM e WHERE kind = 'store' UNION SELECT dst, 1, 2, src FROM e WHERE kind = 'load'),
+l AS (SELECT 1 AS mode, src AS node, dst AS to_ FROM e WHERE kind = 'load' UNION SELECT 2, dst, src FROM e WHERE kind = 'store'),
+y AS (SELECT 1 AS mode, src AS node, dst AS to_, off AS size FROM e WHERE kind = 'memcpy' UNION SELECT 2, dst, src, off FROM e WHERE kind = 'memcpy'),
+t(tag, a, b, c, d, e) USING KEY (tag, a, b, c, d, e) AS (
+  SELECT DISTINCT CAST(0 AS BIGINT), CAST(0 AS BIGINT), e.src, e.dst, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM e JOIN {pv_func} h ON e.kind = 'addr_of' AND h.address_taken AND h.fid = e.src - 1000000000
+  UNION (
+    SELECT 0, s.a, s.b, f.to_, s.d, CASE WHEN s.a = 0 THEN 0 WHEN s.e = z OR f.move = z OR abs(s.e + f.move) > 64 THEN z ELSE s.e + f.move END FROM t s JOIN f ON f.node = s.c AND f.phase = s.d CROSS JOIN k WHERE s.tag = 0
+    UNION SELECT 0, s.a, s.b, s.c, 0, s.e FROM t s WHERE s.tag = 0 AND s.d = 1
+    UNION SELECT 0, s.a, s.b, y.to_, 1, s.e FROM t s JOIN y ON y.mode = s.a AND y.node = s.c CROSS JOIN k WHERE s.tag = 0 AND s.d = 0 AND (s.e = z OR s.e BETWEEN 0 AND 64 AND (y.size IS NULL OR s.e < y.size))
+    UNION SELECT 1, s.a, s.b, s.d * 4 + x.ask, x.at_, s.e FROM t s JOIN x ON x.node = s.c AND x.phase = s.d WHERE s.tag = 0
+    UNION SELECT 0, s.c % 4, s.d, s.d, 1, 0 FROM t s WHERE s.tag = 1
+    UNION SELECT 2, s.a, s.b, l.to_, 0, 0 FROM t s JOIN l ON l.mode = s.a AND l.node = s.c CROSS JOIN k WHERE s.tag = 0 AND s.d = 0 AND s.e IN (0, z)
+    UNION SELECT 0, w.a, w.b, g.c, w.c // 4, w.e FROM t w JOIN recurring.t g ON g.tag = 2 AND g.a = w.c % 4 AND g.b = w.d WHERE w.tag = 1
+    UNION SELECT 0, w.a, w.b, g.c, w.c // 4, w.e FROM recurring.t w JOIN t g ON g.tag = 2 AND g.a = w.c % 4 AND g.b = w.d WHERE w.tag = 1
+    MORE))"""
+
+
+@query(WALK.replace("MORE", "") + " SELECT DISTINCT b AS origin, c AS node, false AS truncated FROM t WHERE tag = 0 AND a = 0", True)
 def gr10_callee_walk(v, scratch):
     """Which values a function's address may flow to, on demand, with a stack of offsets (GR9 to GR11)."""
     origins = v("pv_func").where("address_taken").select((F.col("fid") + OBJECT).alias("origin"))
-    found, over = points_to.callee_walk(_edges(v, scratch), origins, scratch)
+    found, over, _ = points_to.callee_walk(_edges(v, scratch), origins, scratch)
     return found.join(over.withColumn("truncated", F.lit(True)), "origin", "left").select("origin", "node", F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -227,16 +227,81 @@ def test_offset_stack_tells_fields_apart(spark, scratch):
     """Stored in field 8 and loaded from field 8 flows; loaded into another object's field does not."""
     edges = [("addr_of", 100, 1, None), ("addr_of", 200, 2, None), ("store", 1, 2, None), ("addr_of", 300, 3, None), ("load", 2, 4, None), ("load", 3, 5, None)]
     df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
-    found, over = points_to.callee_walk(df, spark.createDataFrame([(100,)], "origin long"), scratch)
+    found, over, _ = points_to.callee_walk(df, spark.createDataFrame([(100,)], "origin long"), scratch)
     nodes = {r.node for r in found.collect()}
     assert {1, 4} <= nodes and 5 not in nodes and over.count() == 0
 
 
+def brute_walk(edges, origin, depth):
+    """Nodes met with an empty stack, stacks of (what is asked for, offset) spelled out up to a depth."""
+    reads, writes, anywhere = "reads", "writes", None
+    shift = lambda stack, off: stack if not stack else (*stack[:-1], (stack[-1][0], anywhere if off is None or stack[-1][1] is None or abs(stack[-1][1] + off) > 64 else stack[-1][1] + off))
+    todo, seen = [(d, "on", ()) for k, s, d, _ in edges if k == "addr_of" and s == origin], set()
+    while todo:
+        if (state := todo.pop()) in seen or len(state[2]) > depth:
+            continue
+        seen.add(state)
+        node, way, stack = state
+        ask, at = stack[-1] if stack else (None, None)
+        if way == "back":
+            todo.append((node, "on", stack))
+        for kind, s, d, off in edges:
+            if kind in ("addr_of", "assign", "gep"):
+                move = 0 if kind != "gep" else off
+                if way == "on" and s == node:
+                    todo.append((d, way, shift(stack, None if move is None else -move)))
+                if way == "back" and d == node:
+                    todo.append((s, way, shift(stack, move)))
+            elif kind == "store" and way == "on":
+                if s == node:
+                    todo.append((d, "back", (*stack, (reads, 0))))
+                if d == node and ask == writes and at in (0, anywhere):
+                    todo.append((s, "back", stack[:-1]))
+            elif kind == "load":
+                if way == "back" and d == node:
+                    todo.append((s, "back", (*stack, (writes, 0))))
+                if way == "on" and s == node and ask == reads and at in (0, anywhere):
+                    todo.append((d, "on", stack[:-1]))
+            elif kind == "memcpy" and way == "on" and (at is anywhere or 0 <= at <= 64 and (off is None or at < off)):
+                if ask == reads and s == node:
+                    todo.append((d, "back", stack))
+                if ask == writes and d == node:
+                    todo.append((s, "back", stack))
+    return {n for n, way, stack in seen if not stack}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_walk_against_stacks_spelled_out(spark, scratch, seed):
+    edges = [e for e in random_edges(seed + 20, 26) if e[3] != -8]
+    df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
+    origins = sorted({s for k, s, _, _ in edges if k == "addr_of"})
+    found, over, _ = points_to.callee_walk(df, spark.createDataFrame([(o,) for o in origins], "origin long"), scratch)
+    found = pairs(found)
+    spelled = [{(o, n) for o in origins for n in brute_walk(edges, o, depth)} for depth in (3, 4)]
+    assert spelled[0] == spelled[1] == found and over.count() == 0
+    # what the solver with fields finds, the walk finds
+    assert {(o // 4096, n) for n, o in brute_inclusion(edges, True) if n < 14} <= found
+
+
+def test_walk_prunes_by_offsets_and_follows_what_it_binds(spark, scratch):
+    """Stored at 8 and loaded at 0 does not flow with a stack, and does without one."""
+    edges = [("addr_of", 1000, 1, None), ("addr_of", 1001, 2, None), ("gep", 2, 3, 8), ("store", 1, 3, None), ("load", 2, 4, None), ("gep", 2, 5, 8), ("load", 5, 6, None), ("addr_of", 1002, 7, None), ("memcpy", 2, 7, 16), ("gep", 7, 8, 8), ("load", 8, 9, None), ("load", 7, 10, None)]
+    df, start = spark.createDataFrame(edges, "kind string, src long, dst long, off long"), spark.createDataFrame([(1000,)], "origin long")
+    assert {r.node for r in points_to.callee_walk(df, start, scratch)[0].collect()} == {1, 6, 9}
+    assert {r.node for r in points_to.callee_walk(df, start, scratch, depth=0)[0].collect() if r.node < 1000} == {1, 4, 6, 9, 10}
+    found, over, _ = points_to.callee_walk(df, start, scratch, limit=2)
+    assert over.collect()[0].origin == 1000
+    sites = spark.createDataFrame([(70, 9, "ccc", "V", "I"), (80, 13, "ccc", "V", "I")], "site long, operand long, cc string, ret string, params string")
+    functions = spark.createDataFrame([(1000, 0, "ccc", "V", "I")], "obj long, fid long, cc string, ret string, params string")
+    bind = lambda hit: hit.where("site = 70").select(F.lit(6).cast("long").alias("src"), F.lit(13).cast("long").alias("dst"))
+    assert pairs(points_to.callee_walk(df, start, scratch, calls=(sites, functions, bind))[2]) == {(70, 0), (80, 0)}
+
+
 def test_walk_goes_on_beyond_the_largest_offset(spark, scratch):
     """Moved by 72 bytes, by an unknown number or round a cycle, an address is still followed."""
     edges = [("addr_of", 100, 1, None), ("gep", 1, 2, 24), ("gep", 2, 3, 24), ("gep", 3, 4, 24), ("assign", 4, 5, None), ("gep", 5, 6, -200), ("gep", 6, 6, 8), ("gep", 1, 7, None), ("addr_of", 200, 8, None), ("store", 6, 8, None), ("load", 8, 9, None)]
     df = spark.createDataFrame(edges, "kind string, src long, dst long, off long")
-    found, over = points_to.callee_walk(df, spark.createDataFrame([(100,)], "origin long"), scratch)
+    found, over, _ = points_to.callee_walk(df, spark.createDataFrame([(100,)], "origin long"), scratch)
     assert {1, 2, 3, 4, 5, 6, 7, 9} <= {r.node for r in found.collect()} and over.count() == 0
 
 
