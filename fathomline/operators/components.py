@@ -1,8 +1,11 @@
-"""Connected components of an undirected graph, by large-star and small-star rounds.
-
-Every round is two aggregations and two equi-joins over the edges, so no vertex's
-neighbourhood has to fit in one task, and the rounds needed grow with the logarithm
-of the graph and not with its diameter (Kiveris et al., 2014).
+"""Connected components of an undirected graph, by contracting it round by round.
+
+Each vertex moves to that neighbour, or stays, whose hashed number is the least, and on
+to where that one moves; edges move with their ends.  What is left shrinks by a constant factor a round (Lacki et
+al., 2018), so all rounds together cost little more than the first, and the
+rounds needed grow with the logarithm of the graph and not with its diameter.  A round is
+one aggregation and three equi-joins over the edges that are left, so no vertex's
+neighbourhood has to fit in one task.  The last few edges are joined in one.
 """
 
 from __future__ import annotations
@@ -15,31 +18,7 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch
 
 
-def _star(scratch: Scratch, edges: DataFrame, large: bool) -> DataFrame:
-    """One star step.  ``edges`` has (u, v) with v < u, each pair once.
-
-    Large: each vertex hands its larger neighbours to the least vertex around it.
-    Small: each vertex hands its smaller neighbours, and itself, to the least.
-    """
-    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m"))
-    least = scratch.save(least.select("u", F.least("u", "m").alias("m")), "least")
-    if large:
-        out = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # edges whose larger end saw nothing smaller elsewhere keep that end's own link
-    else:
-        out = around.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    out = scratch.save(out.where("u <> v").distinct(), "edges")
-    scratch.drop(least)
-    return out
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
-#: Edges (16 bytes each) up to which one task joins them, without the rounds' jobs.
+#: Edges (16 bytes each) that one task may join when no more are left.
 SMALL = 100_000
 
 
@@ -63,25 +42,42 @@ def connected_components(edges: DataFrame, scratch: Scratch, left: str = "src",
     """(vertex, component) for every vertex of an edge; component is its least vertex.
 
     Null ends, loops and repeated edges are ignored, but a loop still names its
-    vertex.  Vertices must be of one ordered type (here: long).  Up to ``small`` edges
-    are joined in one task, more by rounds; both give the same rows.
+    vertex.  Vertices are longs.  Rounds go on until ``small`` edges or fewer are left,
+    which one task joins; with 0, until none is.
     """
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
     start = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     start = scratch.save(start.distinct(), "pairs")
-    if small and start.count() <= small:
+    if start.count() <= small:
         one = start.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1)
         return scratch.save(one.mapInArrow(_join_all, "vertex long, component long"), "labels")
     now = scratch.save(start.where("u <> v"), "edges")
-    before, mark = None, _mark(now)
-    while mark != before and mark[0]:
-        before = mark
-        wide = _star(scratch, now, True)
-        scratch.drop(now)
-        now = _star(scratch, wide, False)
-        scratch.drop(wide)
-        mark = _mark(now)
-    # now each vertex that is not a root has one edge, to its root
+    moves = []
+    while not now.isEmpty():
+        if now.count() <= small:
+            ends = now.coalesce(1).mapInArrow(_join_all, "vertex long, component long")
+            moves.append(scratch.save(ends.select(F.col("vertex").alias("u"), F.col("component").alias("to")), "moves"))
+            break
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("to"))  # noqa: E731, B023
+        around = now.select("u", rank("v").alias("r")).union(now.select("v", rank("u"))).groupBy("u").agg(F.min("r").alias("r"))
+        one = scratch.save(around.select("u", F.least("r", rank("u"))["to"].alias("to")), "moves")
+        # and on to where that neighbour moves
+        to = scratch.save(one.join(one.select(F.col("u").alias("to"), F.col("to").alias("end")), "to").select("u", F.col("end").alias("to")), "moves")
+        scratch.drop(one)
+        moves.append(to)
+        left, right = to.select("u", F.col("to").alias("a")), to.select(F.col("u").alias("v"), F.col("to").alias("b"))
+        moved = now.join(left, "u").join(right, "v").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        before, now = now, scratch.save(moved.distinct(), "edges")
+        scratch.drop(before)
     vertices = start.select(F.col("u").alias("vertex")).union(start.select("v")).distinct()
-    found = vertices.join(now.withColumnRenamed("u", "vertex"), "vertex", "left")
-    return scratch.save(found.select("vertex", F.coalesce("v", "vertex").alias("component")), "labels")
+    at = None  # where each vertex of the last round, then of the one before, and so on, ends
+    for to in reversed(moves):
+        to = to.select(F.col("u").alias("vertex"), "to")
+        at = to if at is None else to.join(at.select(F.col("vertex").alias("to"), F.col("to").alias("end")), "to", "left").select("vertex", F.coalesce("end", "to").alias("to"))
+    if at is None:
+        return scratch.save(vertices.select("vertex", F.col("vertex").alias("component")), "labels")
+    at = scratch.save(vertices.join(at, "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("to")), "ends")
+    least = at.groupBy("to").agg(F.min("vertex").alias("component"))
+    labels = scratch.save(at.join(least, "to").select("vertex", "component"), "labels")
+    scratch.drop(at, *moves)
+    return labels

@@ -158,7 +158,7 @@ def solve_unification(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Assignments and moves join classes; taking an address joins the target's pointee
     with the object; loads, stores and copies join pointees only.  What equal terms
-    point at is equal, which each round adds until nothing is joined.
+    point at is equal, which each round adds, over classes alone, until nothing is joined.
     """
     term = lambda c, k: (F.col(c) * 4 + k).alias
     rule = {"assign": (0, 0), "gep": (0, 0), "addr_of": (0, 1), "load": (2, 1), "store": (1, 2), "memcpy": (2, 2)}
@@ -170,19 +170,24 @@ def solve_unification(edges: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = plain.select(F.col("src").alias("n")).union(plain.select("dst")).distinct()
     terms = nodes.select(F.explode(F.array(*[(F.col("n") * 4 + k) for k in range(3)])).alias("t"))
     equal = scratch.save(equal.union(terms.select("t", F.col("t").alias("u"))), "equal")
-    size = -1
-    labels = connected_components(equal, scratch)
+    labels = scratch.save(connected_components(equal, scratch), "labels")
+    # from here on classes alone are joined: what each points at, named by its class
+    known = labels.select(F.col("vertex").alias("star"), F.col("component").alias("to"))
+    points = labels.where("vertex % 4 < 2").select("component", (F.col("vertex") + 1).alias("star")).join(known, "star")
+    points = scratch.save(points.select("component", "to").distinct(), "points")
+    renamed = scratch.save(points.select(F.col("component").alias("old"), F.col("to").alias("now")).limit(0), "renamed")
     while True:
-        # what stands for the pointee of each class: the least star of its members
-        stars = labels.where("vertex % 4 < 2").select("component", (F.col("vertex") + 1).alias("star"))
-        known = labels.select(F.col("vertex").alias("star"), F.col("component").alias("to"))
-        stars = stars.join(known, "star").select("component", "to").distinct()
-        least = stars.groupBy("component").agg(F.min("to").alias("least"))
-        new = scratch.save(stars.join(least, "component").where("to <> least").select(F.col("to").alias("src"), F.col("least").alias("dst")).distinct(), "new")
-        if (size := new.count()) == 0:
+        least = points.groupBy("component").agg(F.min("to").alias("least"), F.count("*").alias("n")).where("n > 1")
+        new = scratch.save(points.join(least, "component").where("to <> least").select(F.col("to").alias("src"), F.col("least").alias("dst")).distinct(), "new")
+        if new.isEmpty():
             break
-        joined = connected_components(new, scratch).select(F.col("vertex").alias("component"), F.col("component").alias("to"))
-        labels = scratch.save(labels.join(joined, "component", "left").select("vertex", F.coalesce("to", "component").alias("component")), "labels")
+        joined = scratch.save(connected_components(new, scratch).where("vertex <> component").select(F.col("vertex").alias("old"), F.col("component").alias("now")), "joined")
+        by = lambda d, c: d.join(joined.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+        points = scratch.save(by(by(points, "component"), "to").distinct(), "points")
+        moved = by(renamed.withColumnRenamed("now", "to"), "to").withColumnRenamed("to", "now")
+        renamed = scratch.save(moved.unionByName(joined), "renamed")
+    labels = labels.join(renamed.withColumnRenamed("old", "component"), "component", "left").select("vertex", F.coalesce("now", "component").alias("component"))
+    labels = scratch.save(labels, "labels")
     own = labels.where("vertex % 4 = 0").select((F.col("vertex") / 4).cast("long").alias("node"), F.col("component").alias("class"))
     star = labels.where("vertex % 4 = 1").select(((F.col("vertex") - 1) / 4).cast("long").alias("node"), F.col("component").alias("star"))
     return own.join(star, "node").select("node", "class", "star")

@@ -64,8 +64,8 @@ SELECT n AS vertex, c AS component FROM l""",
     True,
 )
 def gr1_connected_components(v, scratch):
-    """Functions that calls connect, named by the least of them."""
-    return connected_components(v("pv_call"), scratch)
+    """Functions that calls connect, named by the least of them, by the rounds that a graph of any size takes."""
+    return connected_components(v("pv_call"), scratch, small=0)
 
 
 @query(
@@ -76,8 +76,8 @@ SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM s"""
     True,
 )
 def gr3_strong_components(v, scratch):
-    """Strongly connected components of the call graph."""
-    return graph.strong_components(v("pv_call"), scratch)
+    """Strongly connected components of the call graph, by the rounds that a graph of any size takes."""
+    return graph.strong_components(v("pv_call"), scratch, small=0)
 
 
 SQL["gr1_components_by_rounds"] = SQL["gr1_connected_components"]
@@ -86,14 +86,15 @@ SQL["gr3_strong_by_rounds"] = SQL["gr3_strong_components"]
 
 @query()
 def gr1_components_by_rounds(v, scratch):
-    """gr1 by the rounds that a graph of any size takes."""
-    return connected_components(v("pv_call"), scratch, small=0)
+    """gr1, whose edges may come twice, either way round and as loops."""
+    twice = v("pv_call").union(v("pv_call").select("dst", "src"))
+    return connected_components(twice.union(twice.select("src", F.col("src").alias("dst"))), scratch, small=0)
 
 
 @query()
 def gr3_strong_by_rounds(v, scratch):
-    """gr3 by the rounds that a graph of any size takes."""
-    return graph.strong_components(v("pv_call"), scratch, small=0)
+    """gr3, with the arrows turned round."""
+    return graph.strong_components(v("pv_call").select(F.col("dst").alias("src"), F.col("src").alias("dst")), scratch, small=0)
 
 
 @query(

@@ -58,8 +58,11 @@ TARGET = {"triple": "x", "data_layout": "e-m:e-i64:64", "supported_atomic_widths
 LONG = dict(integer_bits=64, pointer_bits=64, pointer_address_space=0)
 
 MODULES = {
-    # an exported cell holds a callback; another function's address never leaves
-    "slot": dict(functions=[func("setup", [store("@CB", "cb"), load("%fp", "@CB"), icall()]), *taken("cb", "other")], globals=[glob("@CB", exported=True), glob("@Local")]),
+    # a table of handlers that other modules see, filled at one place and fired at another
+    "hooks": dict(
+        functions=[func("install", [gep("%h", "@Hooks", 8), store("%h", "on_open")]), func("fire", [gep("%k", "@Hooks", 8), load("%f", "%k"), icall("%f")]), *taken("on_open", "idle")],
+        globals=[glob("@Hooks", exported=True), glob("@Count")],
+    ),
     # a callback handed on by arguments, results and copies
     "pass": dict(
         functions=[
@@ -79,16 +82,32 @@ MODULES = {
             *taken("one", "two"),
         ]
     ),
-    # what is passed to code outside, and what comes back
-    "outer": dict(
-        functions=[func("main", [call("ext", sig(I, I), ["@Esc"], dest="%v"), load("%w", "%v", loc=at(3)), store("%v", "%w", loc=at(4)), icall("%v", loc=at(5))]), func("ext", (), sig(I, I), external=True)],
-        globals=[glob("@Esc"), glob("@Kept")],
-    ),
-    # an escaped function's parameter is unknown and its result escapes
-    "escaped": dict(
-        functions=[func("setup", [store("@CB", "cb")]), func("cb", [store("%p", "@Hid"), {"kind": "return", "value": "@Ret"}], sig(I, I), param_names=["%p"], address_taken=True)],
-        globals=[glob("@CB", exported=True), glob("@Hid"), glob("@Ret"), glob("@Own")],
+    # a buffer that code outside fills, with an address in it
+    "filled": dict(
+        functions=[func("probe", [{"kind": "alloca", "dest": "%buf", "ty": "i8*"}, store("%buf", "@Shared"), call("fill", sig(V, I), ["%buf"]), load("%q", "%buf", loc=at(3)), icall("%q", loc=at(5))]), func("fill", (), sig(V, I), external=True)],
+        globals=[glob("@Shared"), glob("@Private")],
     ),
+    # a handler given to code outside: what it stores through its argument and what it returns get out
+    "notified": dict(
+        functions=[
+            func("main", [call("subscribe", sig(V, I), ["@notify"])]), func("subscribe", (), sig(V, I), external=True),
+            func("notify", [store("%slot", "@Box"), load("%leaf", "@Inner"), {"kind": "return", "value": "%leaf"}], sig(I, I), param_names=["%slot"], address_taken=True),
+        ],
+        globals=[glob("@Box"), glob("@Inner"), glob("@Leaf"), glob("@Calm")],
+        global_init=[store("@Inner", "@Leaf")],
+    ),
+    # structures copied whole, by a copy of memory and by value
+    "structs": dict(
+        functions=[
+            func("main", [
+                {"kind": "alloca", "dest": "%s", "ty": "{ void ()*, void ()* }"}, gep("%a", "%s", 0), gep("%b", "%s", 8), store("%a", "one"), store("%b", "two"),
+                {"kind": "alloca", "dest": "%t", "ty": "{ void ()*, void ()* }"}, {"kind": "memcpy", "dst": "%t", "src": "%s", "bytes": 16}, gep("%c", "%t", 8), load("%f", "%c"), icall("%f", loc=at(1)),
+                call("byv", sig(V, {"class": "byval", "size": 16}), ["%s"]),
+            ]),
+            func("byv", [gep("%m", "%p", 8), load("%y", "%m"), icall("%y", loc=at(2))], sig(V, {"class": "byval", "size": 16}), param_names=["%p"]),
+            *taken("one", "two"),
+        ]
+    ),
     # reads and writes by name, through one pointer, through an unknown one
     "access": dict(
         functions=[func("main", [{"kind": "global_ref", "global": "@D", "access": "ref", "loc": at(1)}, assign("%g", "@A"), load("%v", "%g", loc=at(3)), store("%g", "%x", loc=at(4)), {"kind": "int_to_ptr", "dest": "%u", "source": "%bits"}, load("%r", "%u", loc=at(6)), store("%u", "%y", loc=at(7))])],
@@ -169,11 +188,13 @@ def rows(a, table, module, *columns):
 
 def test_call_targets_by_stage(runs):
     want = {
-        ("slot", None): ({"cb", "other", "?"}, {"cb", "?"}, {"cb", "?"}),
+        ("hooks", None): ({"on_open", "idle", "?"}, {"on_open", "?"}, {"on_open", "?"}),
+        ("structs", 1): ({"one", "two", "?"}, {"one", "two"}, {"two"}),
+        ("structs", 2): ({"one", "two", "?"}, {"one", "two"}, {"two"}),
         ("pass", None): ({"one", "two", "?"}, {"one"}, {"one"}),
         ("fields", 1): ({"one", "two", "?"}, {"one", "two"}, {"one"}),
         ("fields", 2): ({"one", "two", "?"}, {"one", "two"}, {"one", "two"}),
-        ("outer", 5): ({"?"}, {"?"}, {"?"}),
+        ("filled", 5): ({"?"}, {"?"}, {"?"}),
         ("memory", 5): ({"one", "two", "?"}, {"one"}, {"one"}),
         ("casts", 1): ({"one", "two", "?"}, {"one"}, {"one"}),
         ("casts", 2): ({"one", "two", "?"}, {"?"}, {"?"}),
@@ -197,22 +218,22 @@ def test_tiers_and_direct_calls(runs):
 
 def test_callers_outside(runs):
     outer = lambda s, m: {r.callee for r in runs[s].callgraph.collect() if r.module == m and r.caller is None}
-    assert outer("conservative", "slot") == {"cb", "other"}
+    assert outer("conservative", "hooks") == {"on_open", "idle"}
     for s in ("steens", "andersen"):
-        assert outer(s, "slot") == {"cb"} and outer(s, "outer") == {"ext"} and outer(s, "escaped") == {"cb"} and outer(s, "pass") == {"main"}
-        assert rows(runs[s], "functions", "slot", "key", "address_escaped") == {("setup", False), ("cb", True), ("other", False)}
+        assert outer(s, "hooks") == {"on_open"} and outer(s, "filled") == {"fill"} and outer(s, "notified") == {"notify", "subscribe"} and outer(s, "pass") == {"main"}
+        assert rows(runs[s], "functions", "hooks", "key", "address_escaped") == {("install", False), ("fire", False), ("on_open", True), ("idle", False)}
 
 
 def test_what_escapes(runs):
     for s in ("steens", "andersen"):
         escape = lambda m: dict(rows(runs[s], "globals", m, "key", "escape"))  # noqa: E731, B023
-        assert escape("slot") == {"@CB": "external", "@Local": "module"}
-        assert escape("outer") == {"@Esc": "external", "@Kept": "module"}
-        assert escape("escaped") == {"@CB": "external", "@Hid": "external", "@Ret": "external", "@Own": "module"}
+        assert escape("hooks") == {"@Hooks": "external", "@Count": "module"}
+        assert escape("filled") == {"@Shared": "external", "@Private": "module"}
+        assert escape("notified") == {"@Box": "external", "@Inner": "module", "@Leaf": "external", "@Calm": "module"}
         assert escape("casts")["@G"] == "external" and escape("casts")["@H"] == "module"
         assert escape("memory") == {"@To": "module", "@From": "module"}
         never = lambda m: dict(rows(runs[s], "globals", m, "key", "never_written"))  # noqa: E731, B023
-        assert never("slot") == {"@CB": False, "@Local": True} and never("outer") == {"@Esc": False, "@Kept": True}
+        assert never("hooks") == {"@Hooks": False, "@Count": True} and never("filled") == {"@Shared": False, "@Private": True}
 
 
 def test_reads_and_writes(runs):
@@ -250,7 +271,7 @@ def test_components_and_audits(runs):
     assert parts["asm"].frozen and parts["dl"].frozen and parts["tell"].frozen and parts["agg"].frozen and not parts["calm"].frozen
     assert parts["calm"].mutable_globals == ["@C"] and "inline_asm" in {t.kind for t in parts["asm"].taint}
     by = {r.module: r for r in runs["steens"].metrics.collect()}
-    assert by["audit"].in_rewritable_components == 1 and by["slot"].functions == 3 and by["slot"].mutable_globals_total == 2
+    assert by["audit"].in_rewritable_components == 1 and by["hooks"].functions == 4 and by["hooks"].mutable_globals_total == 2
     conservative = {r.id: r.frozen for r in runs["conservative"].components.collect() if r.module == "pass"}
     assert conservative["give"] and {t.kind for r in runs["conservative"].components.collect() if r.module == "pass" for t in r.taint} == {"unknown_callee", "unknown_caller"}
 
