@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import derive as D
-from ..operators import points_to, sinks_of, slices
+from ..operators import integers, points_to, sinks_of, slices
 from .registry import CLOSURE, FITS, INSENSITIVE, QUERIES, SQL, WALK, Bindings, _calls, _edges, query
 from .views import OBJECT
 
@@ -219,3 +219,18 @@ def snk5_manifest_pair(v, scratch):
     """A manifest and its ledger, written as one canonical record per global and read back (SNK5)."""
     rows = scratch.save(QUERIES["po1_strategy_cascade"](v("pv_func").sparkSession, v.sf_dir), "cascade")
     return sinks_of.round_trip(rows, scratch, "gid")
+
+
+@query(
+    """, o AS (SELECT DISTINCT dest, op, lhs, rhs, k FROM {pv_int}),
+s AS (SELECT lhs AS v, dest, CASE op WHEN 'either' THEN 0 WHEN 'add' THEN k WHEN 'sub' THEN -k END AS m, op FROM o WHERE op <> 'cast' UNION SELECT rhs, dest, CASE op WHEN 'either' THEN 0 END, op FROM o WHERE op IN ('either', 'sum')),
+f(v, b, x) AS (SELECT dest, lhs, CAST(0 AS BIGINT) FROM o WHERE op = 'cast' UNION SELECT s.dest, f.b, CASE WHEN abs(f.x + s.m) <= 64 THEN f.x + s.m END FROM f JOIN s ON s.v = f.v WHERE s.op <> 'other'),
+l(v) AS (SELECT dest FROM o WHERE op = 'other' AND lhs IN (SELECT v FROM f) OR op = 'sum' AND lhs IN (SELECT v FROM f) AND rhs IN (SELECT v FROM f) UNION SELECT s.dest FROM l JOIN s ON s.v = l.v)
+SELECT c.dest, coalesce(f.b, -1) AS base, coalesce(f.x, -9999) AS off, f.b IS NOT NULL AS known FROM (SELECT DISTINCT dest FROM {pv_int} WHERE back) c LEFT JOIN (SELECT * FROM f WHERE v NOT IN (SELECT v FROM l)) f ON f.v = c.dest""",
+    True,
+)
+def pag12_integer_provenance(v, scratch):
+    """Integers cast back to pointers: moves of the pointers that they come from, or any (SRC14, PAG12)."""
+    ops = scratch.save(v("pv_int"), "ints")
+    casts = ops.where("back").select("dest", F.col("dest").alias("value")).distinct()
+    return integers.recovered(ops, casts, scratch).select("dest", F.coalesce("base", F.lit(-1)).alias("base"), F.coalesce("off", F.lit(-9999)).alias("off"), "known")

@@ -66,6 +66,11 @@ FROM (
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
   JOIN {orders} ON l_orderkey = o_orderkey CROSS JOIN (SELECT max(c_custkey) AS m FROM {customer}) c
 ) t""",
+    "pv_int": """
+SELECT 8 * l_orderkey + l_linenumber AS dest, CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN 'cast' ELSE CASE l_suppkey % 8 WHEN 0 THEN 'mask' WHEN 1 THEN 'sub' WHEN 2 THEN 'either' WHEN 3 THEN 'sum' WHEN 4 THEN 'other' ELSE 'add' END END AS op,
+  CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN l_partkey ELSE 8 * l_orderkey + 1 + l_partkey % 4 END AS lhs,
+  8 * l_orderkey + 1 + (l_partkey + l_suppkey) % 6 AS rhs, CASE WHEN l_suppkey % 5 > 0 THEN 8 * (CAST(l_quantity AS BIGINT) % 7) END AS k, l_returnflag <> 'N' AS back
+FROM {lineitem}""",
     "pv_trace": """
 SELECT user_id AS caller, event_id AS target, CAST(event_id % 3 AS BIGINT) AS idx FROM {events}""",
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import predicates as P
-from fathomline.operators import derive, graph, pag, points_to, slices
+from fathomline.operators import derive, graph, integers, pag, points_to, slices
 from fathomline.operators.components import connected_components
 from fathomline.runtime import Scratch
 from fathomline.sources import pir, sinks
@@ -318,6 +318,24 @@ def test_walks_start_from_every_address_taken_function(spark):
         assert {r.origin for r in all_queries.QUERIES[name](spark, sf).select("origin").distinct().collect()} == want
 
 
+def test_integers_made_from_pointers(spark, scratch):
+    ops = [
+        (1, "cast", 900, None, None), (2, "add", 1, None, 24), (3, "sub", 2, None, 8), (4, "mask", 3, None, None), (5, "cast", 901, None, None), (6, "either", 3, 5, None),
+        (7, "sum", 1, 50, None), (8, "sum", 1, 5, None), (9, "other", 2, None, None), (10, "add", 9, None, 8), (11, "other", 50, None, None), (12, "either", 1, 13, None), (13, "add", 12, None, 2000),
+        (14, "add", 1, None, None), (15, "either", 8, 1, None), (16, "add", 1, None, 8), (16, "sub", 5, None, 8), (17, "add", 50, None, 8),
+    ]
+    df = spark.createDataFrame(ops, "dest long, op string, lhs long, rhs long, k long")
+    got = {}
+    for r in integers.recovered(df, df.select("dest", F.col("dest").alias("value")).distinct(), scratch, most=4096).collect():
+        got.setdefault(r.dest, set()).add((r.base, r.off))
+    unknown = {(None, None)}
+    assert got == {
+        1: {(900, 0)}, 2: {(900, 24)}, 3: {(900, 16)}, 4: {(900, None)}, 5: {(901, 0)}, 6: {(900, 16), (901, 0)}, 7: {(900, None)}, 8: unknown, 9: unknown, 10: unknown, 11: unknown,
+        12: {(900, 0), (900, 2000), (900, 4000), (900, None)}, 13: {(900, 2000), (900, 4000), (900, None)}, 14: {(900, None)}, 15: unknown, 16: {(900, 8), (901, -8)}, 17: unknown,
+    }
+    assert integers.recovered(df.limit(0), df.select("dest", F.col("dest").alias("value")).limit(0), scratch).count() == 0
+
+
 # ---- predicates
 
 
