@@ -66,6 +66,18 @@ FROM (
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
   JOIN {orders} ON l_orderkey = o_orderkey CROSS JOIN (SELECT max(c_custkey) AS m FROM {customer}) c
 ) t""",
+    "pv_flow": """
+SELECT func, idx, CAST(floor(idx / 4.0) AS BIGINT) AS block, kind, op1, callee, CASE WHEN idx % 17 <> 16 THEN func END AS file,
+  CASE WHEN idx % 17 <> 16 THEN idx - idx % 2 - CASE WHEN idx % 13 = 0 THEN 6 ELSE 0 END END AS line
+FROM {pv_stmt}""",
+    "pv_branch": """
+SELECT DISTINCT func, src, dst FROM (
+  SELECT func, block AS src, CASE k WHEN 0 THEN block + 1 WHEN 1 THEN CASE WHEN block % 2 = 0 THEN block + 2 END WHEN 2 THEN CASE WHEN block % 6 = 5 THEN block - 1 END WHEN 3 THEN CASE WHEN block % 4 = 1 THEN last END END AS dst, last
+  FROM (SELECT DISTINCT func, block, max(block) OVER (PARTITION BY func) AS last FROM {pv_flow}) f CROSS JOIN (SELECT 0 AS k UNION SELECT 1 UNION SELECT 2 UNION SELECT 3) k
+) b WHERE src < last AND dst <= last""",
+    "pv_touch": """
+SELECT func, idx, CAST(substr(op1, 3) AS BIGINT) % 8 AS gvar, CASE WHEN kind IN ('store', 'memcpy') THEN 'mod' WHEN kind = 'ptr_to_int' THEN 'pin' ELSE 'ref' END AS access
+FROM {pv_stmt} WHERE op1 LIKE '@g%'""",
     "pv_int": """
 SELECT 8 * l_orderkey + l_linenumber AS dest, CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN 'cast' ELSE CASE l_suppkey % 8 WHEN 0 THEN 'mask' WHEN 1 THEN 'sub' WHEN 2 THEN 'either' WHEN 3 THEN 'sum' WHEN 4 THEN 'other' ELSE 'add' END END AS op,
   CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN l_partkey ELSE 8 * l_orderkey + 1 + l_partkey % 4 END AS lhs,
