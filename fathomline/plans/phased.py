@@ -1,10 +1,11 @@
-"""Queries of flow graphs with branches and of the points where globals may be published."""
+"""Queries of flow graphs with branches, of the points where globals may be published, and of variadic tails."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, phases
+from ..operators import graph, phases, tails
+from ..sources.contracts import contracts
 from .registry import query
 
 FLOW = """, o AS (SELECT *, CASE WHEN block = lag(block) OVER w AND file IS NOT DISTINCT FROM lag(file) OVER w AND line IS NOT DISTINCT FROM lag(line) OVER w THEN 0 ELSE 1 END AS opens
@@ -87,3 +88,32 @@ def gr17_descended_points(v, scratch):
     unknown = v("pv_func").where("external or address_taken").select(F.col("key").alias("func"))
     gates = phases.only_callees(sites, changes, direct, unknown)
     return phases.descended_points(*tables, gates, scratch)
+
+
+TAILS = """, u AS (SELECT func, kind, dest, idx % 4 <> 0 AS pointer, unnest([op1, op2]) AS value, unnest([1, 2]) AS at_ FROM {pv_stmt}),
+x AS (SELECT a.func, a.callee, a.pos, a.value, f.fid IS NOT NULL AS inside, coalesce(CASE o.name WHEN 'strlen' THEN o.nparams = 1 AND a.pos = 0 WHEN 'memcmp' THEN o.nparams = 3 AND a.pos <= 1 END, false) AS reads
+  FROM {pv_arg} a LEFT JOIN {pv_sfunc} f ON f.key = a.callee AND NOT f.external AND a.pos < f.nparams LEFT JOIN {pv_sfunc} o ON o.key = a.callee AND o.external WHERE a.value IS NOT NULL),
+fl AS (SELECT func AS f, value AS v, 'list' AS k, func AS g, dest AS d, 'list' AS l FROM u WHERE kind IN ('assign', 'gep') AND value IS NOT NULL
+  UNION SELECT func, value, 'tail', func, dest, 'tail' FROM u WHERE kind IN ('assign', 'gep', 'load') AND pointer AND value IS NOT NULL
+  UNION SELECT func, value, 'list', func, dest, 'tail' FROM u WHERE kind = 'load' AND pointer AND value IS NOT NULL
+  UNION SELECT func, value, k, callee, concat('v', CAST(pos AS VARCHAR)), k FROM x, (VALUES ('list'), ('tail')) q(k) WHERE inside),
+ah(f, v, k) AS (SELECT func, value, 'list' FROM {pv_vastart} WHERE value IS NOT NULL UNION SELECT fl.g, fl.d, fl.l FROM ah JOIN fl ON fl.f = ah.f AND fl.v = ah.v AND fl.k = ah.k),
+un(f, v, k) AS (SELECT func, value, k FROM u, (VALUES ('list'), ('tail')) q(k) WHERE value IS NOT NULL AND (kind IN ('store', 'memcpy', 'unknown', 'call_indirect') OR at_ = 1 AND kind IN ('return', 'ptr_to_int', 'int_to_ptr'))
+  UNION SELECT func, value, k FROM x, (VALUES ('list'), ('tail')) q(k) WHERE NOT inside AND NOT (k = 'tail' AND reads)
+  UNION SELECT func, value, 'list' FROM x WHERE inside AND callee IN (SELECT func FROM {pv_vastart} WHERE value IS NOT NULL)
+  UNION SELECT f, v, k FROM ah WHERE (f, v) IN (SELECT (f, v) FROM ah GROUP BY f, v HAVING count(*) = 2)
+  UNION SELECT fl.f, fl.v, fl.k FROM un JOIN fl ON fl.g = un.f AND fl.d = un.v AND fl.l = un.k)
+SELECT func, value IS NOT NULL AND (func, value, 'list') NOT IN (SELECT (f, v, k) FROM un) AS safe FROM {pv_vastart}"""
+
+
+@query(TAILS, True)
+def pag8_tail_proofs(v, scratch):
+    """Functions whose opened argument lists are only read, by them and by whom they give them to (PAG8)."""
+    stmts = v("pv_stmt").withColumn("pointer", F.col("idx") % 4 != 0)
+    functions = v("pv_sfunc")
+    inside = functions.where("not external and nparams > 0").select(F.col("key").alias("func"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nparams") - 1)).alias("pos"))
+    known = F.broadcast(contracts(functions.sparkSession)).alias("contracts")
+    reads = functions.where("external").join(known, "name").where("nparams = fixed_params and result = 'scalar' and policy = 'plain' and not contracts.vararg")
+    reads = reads.select(F.col("key").alias("callee"), F.explode(F.array_except("reads", "writes")).alias("pos"))
+    params = inside.withColumn("value", F.concat(F.lit("v"), F.col("pos").cast("string")))
+    return tails.tail_proofs(stmts, v("pv_arg"), params, v("pv_vastart"), reads, scratch)

@@ -78,6 +78,10 @@ SELECT DISTINCT func, src, dst FROM (
     "pv_touch": """
 SELECT func, idx, CAST(substr(op1, 3) AS BIGINT) % 8 AS gvar, CASE WHEN kind IN ('store', 'memcpy') THEN 'mod' WHEN kind = 'ptr_to_int' THEN 'pin' ELSE 'ref' END AS access
 FROM {pv_stmt} WHERE op1 LIKE '@g%'""",
+    "pv_vastart": """
+SELECT f.key AS func, s.dest AS value FROM {pv_sfunc} f LEFT JOIN (SELECT func, min(dest) AS dest FROM {pv_stmt} WHERE kind = 'alloca' AND dest <= 'v4' GROUP BY func) s ON s.func = f.key WHERE f.fid % 4 = 3 AND NOT f.external""",
+    "pv_arg": """
+SELECT s.func, s.callee, CAST(k AS BIGINT) AS pos, CASE k WHEN 0 THEN s.op1 ELSE s.op2 END AS value FROM {pv_stmt} s CROSS JOIN (SELECT 0 AS k UNION SELECT 1) p WHERE s.kind = 'call_direct'""",
     "pv_int": """
 SELECT 8 * l_orderkey + l_linenumber AS dest, CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN 'cast' ELSE CASE l_suppkey % 8 WHEN 0 THEN 'mask' WHEN 1 THEN 'sub' WHEN 2 THEN 'either' WHEN 3 THEN 'sum' WHEN 4 THEN 'other' ELSE 'add' END END AS op,
   CASE WHEN l_linenumber <= 2 AND l_suppkey % 3 > 0 THEN l_partkey ELSE 8 * l_orderkey + 1 + l_partkey % 4 END AS lhs,
