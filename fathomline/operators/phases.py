@@ -69,11 +69,10 @@ def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, ob
     cfg = scratch.save(steps.select("func", "src", "dst").union(entry).distinct(), "flow")
     dom = scratch.save(graph.dominators(cfg, scratch, ENTRY).where(f"node <> {ENTRY} and dominator <> {ENTRY}"), "dominators")
     depth = dom.groupBy("func", "node").agg(F.count("*").alias("depth"))
-    busy = graph.may_write_after(cfg, writes.withColumnRenamed("node", "boundary"), scratch).withColumnRenamed("boundary", "node")
+    busy = scratch.save(graph.may_write_after(cfg, writes.withColumnRenamed("node", "boundary"), scratch).withColumnRenamed("boundary", "node"), "busy")
     quiet = asked.join(depth, "func").join(busy, ["func", "gvar", "node"], "left_anti").join(nodes, ["func", "node"])
     quiet = scratch.save(quiet.select("func", "gvar", "node", "depth", "insertable"), "quiet")
-    able = quiet.where("insertable").select("func", "node").distinct()
-    loops = scratch.save(_on_cycle(cfg, able, scratch), "loops")
+    loops = scratch.save(graph.on_cycles(cfg, scratch), "loops")
     fit = scratch.save(quiet.where("insertable").join(loops, ["func", "node"], "left_anti").drop("insertable"), "fit")
     seen = observed.select("func", F.col("node").alias("at"), "gvar", "routable").distinct()
     seen = scratch.save(seen.join(asked, ["func", "gvar"], "left_semi"), "observed")
@@ -100,17 +99,6 @@ def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, ob
     return scratch.save(rows.select("func", "gvar", outcome.alias("outcome"), "chosen", "latest"), "points")
 
 
-def _on_cycle(cfg: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(func, node) of ``asked`` that come back to themselves."""
-    first = asked.join(cfg.withColumnRenamed("src", "node"), ["func", "node"]).select("func", F.col("node").alias("origin"), F.col("dst").alias("node"))
-    seen = new = scratch.save(first.distinct(), "ahead")
-    while not new.isEmpty():
-        found = new.join(cfg.withColumnRenamed("src", "node"), ["func", "node"]).select("func", "origin", F.col("dst").alias("node")).distinct()
-        new = scratch.save(found.join(seen, ["func", "origin", "node"], "left_anti"), "new")
-        seen = scratch.grow(seen, new, "ahead")
-    return seen.where("origin = node").select("func", "node")
-
-
 def only_callees(calls: DataFrame, changes: DataFrame, direct: DataFrame, opaque: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """(func, gvar, gate, callee): the one boundary of a function by whose only call alone a global is written.
 
