@@ -1,6 +1,7 @@
 """Rounds whose news is small must not shuffle the whole that it meets."""
 
 from fathomline.operators import points_to
+from fathomline.operators.components import connected_components
 from fathomline.runtime import Scratch
 
 EDGES = "kind string, src long, dst long, off long"
@@ -11,11 +12,13 @@ class Seen(Scratch):
 
     def __init__(self, spark):
         super().__init__(spark, "t")
-        self.plans = {}
+        self.plans, self.sizes = {}, {}
 
     def save(self, df, label):
         self.plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
-        return super().save(df, label)
+        out = super().save(df, label)
+        self.sizes.setdefault(label, []).append(out.count())
+        return out
 
 
 def test_small_rounds_of_inclusion_leave_facts_where_they_lie(spark):
@@ -31,3 +34,16 @@ def test_small_rounds_of_inclusion_leave_facts_where_they_lie(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plans = scratch.plans["delta"] + scratch.plans["grown"]
     assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_a_large_component_is_not_joined_in_one_task(spark):
+    star = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21), (30, 30)], "src long, dst long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scratch = Seen(spark)
+        labels = connected_components(star, scratch, small=0, many=4)
+        assert {(r.vertex, r.component) for r in labels.collect()} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20), (30, 30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in scratch.plans["labels"][-1]
