@@ -47,3 +47,11 @@ def test_a_large_component_is_not_joined_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in scratch.plans["labels"][-1]
+
+
+def test_terms_without_edges_take_no_part_in_unification(spark):
+    edges = [("addr_of", 100, 0, None), ("assign", 0, 1, None), ("addr_of", 101, 1, None), ("load", 1, 2, None)]
+    scratch = Seen(spark)
+    found = {r.node: (r["class"], r.star) for r in points_to.solve_unification(spark.createDataFrame(edges, EDGES), scratch).collect()}
+    assert found == {0: (0, 1), 1: (0, 1), 2: (8, 2), 100: (1, 2), 101: (1, 2)}
+    assert scratch.sizes["equal"] == [len(edges)]
