@@ -41,6 +41,8 @@ MAY = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A
 
 OUT, BEGIN, INSIDE = range(3)
 TAGS = 3
+#: Features of a token.
+WIDTH = 7
 #: Weights of hashed features of a token; three places look at it: itself, next, previous.
 DIM = 1 << 15
 #: Documents with and without a secret that the field is fitted to, at most each.
@@ -166,12 +168,22 @@ def text_features(words: Words, s: dict[str, np.ndarray]) -> np.ndarray:
 class Field:
     """Weights: ``own``, ``before`` and ``after`` (DIM, TAGS), ``text`` (16, TAGS), ``move`` (TAGS, TAGS)."""
 
+    SHAPES = {"own": (DIM, TAGS), "before": (DIM, TAGS), "after": (DIM, TAGS), "text": (16, TAGS), "move": (TAGS, TAGS)}
+
     def __init__(self):
         self.own, self.before, self.after = (np.zeros((DIM, TAGS), np.float32) for _ in range(3))
         self.text = np.zeros((16, TAGS), np.float32)
         self.move = np.zeros((TAGS, TAGS), np.float32)
         self.move[OUT, INSIDE] = -1e4  # nothing continues what has not begun
 
+    @classmethod
+    def of(cls, weights) -> Field:
+        """The field whose weights a row has as bytes."""
+        field = cls()
+        for name, shape in cls.SHAPES.items():
+            setattr(field, name, np.frombuffer(weights[name], np.float32).reshape(shape))
+        return field
+
     def emissions(self, f: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
         e = self.own[f].sum(1) + self.text[text[doc]]
         if len(f) > 1:
@@ -412,11 +424,26 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
     texts = documents.where("text is not null").select("doc_id", "text")
     row = texts.agg(F.coalesce(F.sum(may.cast("long")), F.lit(0)), F.count("*")).first()
     picked = _thinned(texts, may, row[0], sample).union(_thinned(texts, ~may, row[1] - row[0], sample))
-    table = map_texts(picked.select("text"), _training, "features binary, kind long, tags binary").toArrow()
-    width = 7
-    rows = [(np.frombuffer(f, np.uint16).reshape(-1, width), k, np.frombuffer(t, np.int8)) for f, k, t in zip(*(table.column(c).to_pylist() for c in ("features", "kind", "tags")), strict=True)]
-    rows.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))  # the same order wherever the rows came from
-    return fit(rows)
+    chains = map_texts(picked.select("text"), _training, "features binary, kind long, tags binary").repartition(1)
+    chains = chains.sortWithinPartitions(F.length("features"), "features", "kind", "tags")  # the same order wherever they came from
+    weights = map_texts(chains, _fitted, ", ".join(f"{w} binary" for w in Field.SHAPES)).first()
+    return Field.of(weights) if weights else fit([])
+
+
+def _cells(column: pa.Array, kind) -> list[np.ndarray]:
+    """The cells of a binary column as arrays over its buffer."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(column.buffers()[2], kind, (hi - lo) // kind().itemsize, lo) for lo, hi in itertools.pairwise(at)]
+
+
+def _fitted(batches):
+    """The weights of a field fitted to all chains, in one task, so that the driver sees those of fixed size alone."""
+    rows = []
+    for batch in batches:
+        f, kind, tags = (batch.column(c) for c in ("features", "kind", "tags"))
+        rows += zip((x.reshape(-1, WIDTH) for x in _cells(f, np.uint16)), kind.to_pylist(), _cells(tags, np.int8), strict=True)
+    field = fit(rows)
+    yield pa.RecordBatch.from_pydict({w: pa.array([getattr(field, w).tobytes()], pa.binary()) for w in Field.SHAPES})
 
 
 class _Distinct:

@@ -137,6 +137,15 @@ def field(spark):
     return secrets.train(spark.read.parquet(DOCS))
 
 
+def test_field_is_fitted_away_from_the_driver(spark, field, monkeypatch):
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(secrets, "fit", here)
+    again = secrets.train(spark.read.parquet(DOCS).repartition(3))
+    assert field.own.any() and all((getattr(field, w) == getattr(again, w)).all() for w in secrets.Field.SHAPES)
+
+
 def test_secret_spans(spark, field):
     tricky = [(1000050, 'é PassWord" : "abcdefgh!, token=short secret=secret=abcdefgh'), (1000051, "AKIAAKIAABCDEFGHIJ AKIA123"), (1000052, "deadbeef" * 4 + "g" + "0" * 31), (1000053, "x=AKIA" + "A" * 12 + " api-key=12345678 apikey = '12345678'")]
     docs = spark.read.parquet(DOCS).select("doc_id", "text").union(spark.createDataFrame(tricky, "doc_id long, text string")).union(odd(spark, False).where("doc_id <> 7"))
