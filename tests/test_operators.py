@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -454,3 +455,14 @@ def test_exports(spark, tmp_path):
     assert pairs(sinks.violations(df, {"named": "v is not null", "small": "k < 9"})) == {("named", 1), ("small", 0)}
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         sinks.write_manifest(df, f"file://{tmp_path}/out", "k")
+
+
+def test_facts_handed_on_are_deleted_once_read(spark, scratch):
+    from fathomline.operators.modref import transitive
+
+    calls = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 1)], "src long, dst long")
+    facts = spark.createDataFrame([(3, "a", "w3"), (2, "a", "w2"), (1, "b", "w1")], "func long, fact string, witness string")
+    found = {tuple(r) for r in transitive(calls, facts, scratch, pairs=0).collect()}
+    assert found == {(3, "a", "w3"), (2, "a", "w2"), (1, "a", "w2"), (4, "a", "w2"), (1, "b", "w1"), (4, "b", "w1")}
+    root = scratch.root.removeprefix("file://")
+    assert not [p for p, dirs, _ in os.walk(root) if "inbox" in p and any(d.startswith("at=") for d in dirs)]
