@@ -203,9 +203,8 @@ def snk1_jsonl_export(v, scratch):
     """A result written as sorted JSON lines and read back (SNK1)."""
     from ..operators import graph
 
-    start = v("pv_func").select(F.col("fid").alias("origin"), F.col("fid").alias("node"))
-    step = v("pv_call").join(start.withColumnRenamed("node", "src"), "src").select("origin", F.col("dst").alias("node"))
-    rows = graph.reachable(v("pv_call"), step, scratch).select(F.col("origin").alias("src"), F.col("node").alias("dst"))
+    known = v("pv_func").select(F.col("fid").alias("src"))
+    rows = graph.distances(v("pv_call"), scratch).select(F.col("origin").alias("src"), F.col("node").alias("dst")).join(known, "src", "left_semi")
     path = scratch.path("jsonl")
     sinks.write_jsonl(rows, path, ["src", "dst"])
     return sinks.read_back(rows.sparkSession, path, rows.schema)

@@ -51,3 +51,12 @@ def test_ways_are_those_spelled_out(spark):
     some = [(100, 0), (100, 3), (101, 3)]
     for start in (every, [*every, *some], some):
         assert found(spark, edges, start, Scratch(spark, "t")) == spelled_out(edges, start)
+
+
+def test_the_export_of_all_ways_takes_few_rounds(spark, monkeypatch):
+    from fathomline.plans import all_queries
+
+    labels, plain = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label: labels.append(label) or plain(self, df, label))
+    assert all_queries.QUERIES["snk1_jsonl_export"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(labels) <= 8
