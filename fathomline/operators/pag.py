@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .derive import union_all
+from .graph import near, unseen
 
 
 def operand(func: str, value: str) -> Column:
@@ -99,20 +100,22 @@ def storage_roots(edge_table: DataFrame, scratch) -> DataFrame:
     producer that none reaches, has none.
     """
     plain = scratch.save(edge_table.select("kind", "src", "dst"), "root-edges")
-    flow = plain.where("kind in ('assign', 'gep')").select(F.col("src").alias("node"), "dst").distinct()
+    flow = scratch.save(plain.where("kind in ('assign', 'gep')").select(F.col("src").alias("node"), "dst").distinct(), "flow")
     start = plain.where("kind = 'addr_of' and src not like 'obj:function:%'").select(F.col("dst").alias("node"), F.col("src").alias("root")).distinct()
     seen = new = scratch.save(start, "roots")
-    while not new.isEmpty():
-        found = new.join(flow, "node").select(F.col("dst").alias("node"), "root").distinct()
-        new = scratch.save(found.join(seen, ["node", "root"], "left_anti"), "new")
+    count = new.count()
+    while count:
+        found = near(new, count).join(flow, "node").select(F.col("dst").alias("node"), "root")
+        new, count = unseen(found, seen, scratch, "new")
         seen = scratch.grow(seen, new, "roots")
     # what any other producer reaches is open
     heads = flow.select("node").distinct().join(plain.where("kind <> 'store'").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
     opened = plain.where("kind in ('load') or kind = 'addr_of' and src like 'obj:function:%'").select(F.col("dst").alias("node")).union(heads).distinct()
     bad = fresh = scratch.save(opened, "open")
-    while not fresh.isEmpty():
-        found = fresh.join(flow, "node").select(F.col("dst").alias("node")).distinct()
-        fresh = scratch.save(found.join(bad, "node", "left_anti"), "fresh")
+    count = fresh.count()
+    while count:
+        found = near(fresh, count).join(flow, "node").select(F.col("dst").alias("node"))
+        fresh, count = unseen(found, bad, scratch, "fresh")
         bad = scratch.grow(bad, fresh, "open")
     one = seen.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("n")).where("n = 1")
     return one.join(bad, "node", "left_anti").select("node", "root")
