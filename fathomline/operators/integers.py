@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from .graph import reachable
+from .graph import near, reachable, unseen
 from .points_to import MOST_OFFSET
 
+#: Stands for an unknown distance in rounds, whose joins do not match nulls.
+LOST = 1 << 62
 
 
 def integer_provenance(ops: DataFrame, scratch: Scratch, most: int = MOST_OFFSET) -> tuple[DataFrame, DataFrame]:
@@ -28,19 +30,19 @@ def integer_provenance(ops: DataFrame, scratch: Scratch, most: int = MOST_OFFSET
     operations make may be any of theirs; one that none makes is a plain integer.  Moves
     beyond ``most`` are unknown, so that integers moved round a cycle settle.
     """
-    ops = scratch.save(ops.select("dest", "op", "lhs", "rhs", "k").distinct(), "ops")
+    ops = scratch.held(ops, "ops").select("dest", "op", "lhs", "rhs", "k")
     lhs, rhs = ops.where("op <> 'cast'").select("op", F.col("lhs").alias("value"), "dest", "k"), ops.where("op in ('either', 'sum')").select("op", F.col("rhs").alias("value"), "dest", "k")
     used = lhs.union(rhs).where("value is not null")
     move = F.when(F.col("op") == "either", 0).when(F.col("op") == "add", F.col("k")).when(F.col("op") == "sub", -F.col("k"))
     steps = scratch.save(used.where("op <> 'other'").select("value", "dest", move.cast("long").alias("move")).distinct(), "steps")
     seen = new = scratch.save(ops.where("op = 'cast'").select(F.col("dest").alias("value"), F.col("lhs").alias("base"), F.lit(0).cast("long").alias("off")).distinct(), "facts")
-    while not new.isEmpty():
+    count = new.count()
+    while count:
         at = F.col("off") + F.col("move")
-        found = new.join(steps, "value").select(F.col("dest").alias("value"), "base", F.when(F.abs(at) <= most, at).alias("off")).distinct()
-        known = seen.select(F.col("value").alias("v"), F.col("base").alias("b"), F.col("off").alias("o"))
-        same = (F.col("value") == F.col("v")) & (F.col("base") == F.col("b")) & F.col("off").eqNullSafe(F.col("o"))
-        new = scratch.save(found.join(known, same, "left_anti"), "new")
+        found = near(new, count).join(steps, "value").select(F.col("dest").alias("value"), "base", F.when(F.abs(at) <= most, at).otherwise(LOST).alias("off"))
+        new, count = unseen(found, seen, scratch, "new")
         seen = scratch.grow(seen, new, "facts")
+    seen = seen.withColumn("off", F.nullif("off", F.lit(LOST)))
     has = scratch.save(seen.select("value").distinct(), "has")
     of = lambda d, c: d.join(has.withColumnRenamed("value", c), c, "left_semi")
     lost = of(ops.where("op = 'other'"), "lhs").select("dest").union(of(of(ops.where("op = 'sum'"), "lhs"), "rhs").select("dest"))
