@@ -38,19 +38,19 @@ def statement_cfg(stmts: DataFrame, branches: DataFrame, scratch: Scratch) -> tu
     order = W.partitionBy("func").orderBy("block", "idx")
     same = (F.col("block") == F.lag("block").over(order)) & F.col("loc").eqNullSafe(F.lag("loc").over(order))
     opens = F.when(same, 0).otherwise(1)
-    placed = scratch.save(rows.withColumn("opens", opens).withColumn("boundary", F.sum("opens").over(order) - 1).drop("opens"), "placed")
+    placed = scratch.save_large(rows.withColumn("opens", opens).withColumn("boundary", F.sum("opens").over(order) - 1).drop("opens"), "placed")
     per = placed.groupBy("func", "boundary").agg(F.min("block").alias("block"), F.min("idx").alias("first_idx"), F.first("loc").alias("loc"))
     inside = W.partitionBy("func", "block").orderBy("boundary")
     before = F.last("loc", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
     alone = F.count("*").over(W.partitionBy("func", "loc.file", "loc.line")) == 1
     insertable = F.col("loc").isNotNull() & alone & F.coalesce(F.col("loc") > F.col("before"), F.lit(True))
     bounds = per.withColumn("before", before).select("func", "boundary", "block", "first_idx", insertable.alias("insertable"))
-    bounds = scratch.save(bounds, "boundaries")
-    ends = scratch.save(bounds.groupBy("func", "block").agg(F.min("boundary").alias("first"), F.max("boundary").alias("last")), "ends")
+    bounds = scratch.save_large(bounds, "boundaries")
+    ends = scratch.save_large(bounds.groupBy("func", "block").agg(F.min("boundary").alias("first"), F.max("boundary").alias("last")), "ends")
     within = bounds.withColumn("dst", F.lead("boundary").over(inside)).where("dst is not null").select("func", F.col("boundary").alias("src"), "dst")
     leave = branches.select("func", F.col("src").alias("block"), F.col("dst").alias("to")).join(ends, ["func", "block"]).select("func", F.col("last").alias("at"), F.col("to").alias("block"))
     across = leave.join(ends, ["func", "block"]).select("func", F.col("at").alias("src"), F.col("first").alias("dst"))
-    return bounds, scratch.save(within.union(across).distinct(), "steps"), placed.select("func", "idx", "boundary")
+    return bounds, scratch.save_large(within.union(across).distinct(), "steps"), placed.select("func", "idx", "boundary")
 
 
 def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, observed: DataFrame, asked: DataFrame, scratch: Scratch, mapped: DataFrame | None = None) -> DataFrame:
@@ -64,21 +64,21 @@ def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, ob
     quiet boundary; or ``no_single_point``, as well for points that are no chain.  An observation
     that the entry does not reach leaves no point.
     """
-    nodes, asked = scratch.save(nodes.distinct(), "nodes"), scratch.save(asked.select("func", "gvar").distinct(), "asked")
+    nodes, asked = scratch.save_large(nodes.distinct(), "nodes"), scratch.save_large(asked.select("func", "gvar").distinct(), "asked")
     entry = nodes.where("node = 0").select("func", F.lit(ENTRY).cast("long").alias("src"), F.col("node").alias("dst"))
-    cfg = scratch.save(steps.select("func", "src", "dst").union(entry).distinct(), "flow")
-    dom = scratch.save(graph.dominators(cfg, scratch, ENTRY).where(f"node <> {ENTRY} and dominator <> {ENTRY}"), "dominators")
+    cfg = scratch.save_large(steps.select("func", "src", "dst").union(entry).distinct(), "flow")
+    dom = scratch.save_large(graph.dominators(cfg, scratch, ENTRY).where(f"node <> {ENTRY} and dominator <> {ENTRY}"), "dominators")
     depth = dom.groupBy("func", "node").agg(F.count("*").alias("depth"))
-    busy = scratch.save(graph.may_write_after(cfg, writes.withColumnRenamed("node", "boundary"), scratch).withColumnRenamed("boundary", "node"), "busy")
+    busy = scratch.save_large(graph.may_write_after(cfg, writes.withColumnRenamed("node", "boundary"), scratch).withColumnRenamed("boundary", "node"), "busy")
     quiet = asked.join(depth, "func").join(busy, ["func", "gvar", "node"], "left_anti").join(nodes, ["func", "node"])
-    quiet = scratch.save(quiet.select("func", "gvar", "node", "depth", "insertable"), "quiet")
-    loops = scratch.save(graph.on_cycles(cfg, scratch), "loops")
-    fit = scratch.save(quiet.where("insertable").join(loops, ["func", "node"], "left_anti").drop("insertable"), "fit")
+    quiet = scratch.save_large(quiet.select("func", "gvar", "node", "depth", "insertable"), "quiet")
+    loops = scratch.save_large(graph.on_cycles(cfg, scratch), "loops")
+    fit = scratch.save_large(quiet.where("insertable").join(loops, ["func", "node"], "left_anti").drop("insertable"), "fit")
     seen = observed.select("func", F.col("node").alias("at"), "gvar", "routable").distinct()
-    seen = scratch.save(seen.join(asked, ["func", "gvar"], "left_semi"), "observed")
+    seen = scratch.save_large(seen.join(asked, ["func", "gvar"], "left_semi"), "observed")
     if mapped is None:
         mapped = nodes.where("insertable").select("func").distinct()
-    mapped = mapped.withColumn("mapped", F.lit(True))
+    mapped = mapped.withColumn("mapped", F.lit(True)).hint("merge")
     over = dom.select("func", F.col("node").alias("at"), F.col("dominator").alias("node"), F.lit(True).alias("after"))
     under = dom.select("func", F.col("dominator").alias("at"), "node", F.lit(True).alias("earlier"))
     pairs = fit.join(seen, ["func", "gvar"]).join(over, ["func", "at", "node"], "left").join(under, ["func", "at", "node"], "left")
@@ -86,7 +86,7 @@ def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, ob
     valid = fit.join(pairs.where(~good).select("func", "gvar", "node").distinct(), ["func", "gvar", "node"], "left_anti")
     valid = valid.join(mapped, "func", "left_semi")
     chain = W.partitionBy("func", "gvar").orderBy("depth", "node")
-    valid = scratch.save(valid.withColumn("at", F.lag("node").over(chain)), "valid")
+    valid = scratch.save_large(valid.withColumn("at", F.lag("node").over(chain)), "valid")
     apart = valid.where("at is not null").join(under, ["func", "at", "node"], "left_anti").select("func", "gvar").distinct()  # equal depths never dominate
     least = F.min(F.struct("depth", "node"))["node"].alias("chosen")
     points = valid.groupBy("func", "gvar").agg(least, F.max(F.struct("depth", "node"))["node"].alias("latest")).join(apart, ["func", "gvar"], "left_anti")
@@ -96,7 +96,7 @@ def publication_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, ob
     early = early.select("func", "gvar").distinct().withColumn("early", F.lit(True))
     rows = asked.join(points, ["func", "gvar"], "left").join(calm, ["func", "gvar"], "left").join(early, ["func", "gvar"], "left").join(mapped, "func", "left")
     outcome = F.when(F.col("chosen").isNotNull(), "point").when(F.col("mapped").isNull(), "no_entry").when(F.col("calm").isNull(), "never_quiet").when(F.col("early"), "observed_before").otherwise("no_single_point")
-    return scratch.save(rows.select("func", "gvar", outcome.alias("outcome"), "chosen", "latest"), "points")
+    return scratch.save_large(rows.select("func", "gvar", outcome.alias("outcome"), "chosen", "latest"), "points")
 
 
 def only_callees(calls: DataFrame, changes: DataFrame, direct: DataFrame, opaque: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
@@ -130,10 +130,10 @@ def descended_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, obse
     the observations that can be served early, are the callee's now.  Callees without boundaries
     are no further level.
     """
-    steps, nodes = scratch.save(steps.distinct(), "steps"), scratch.save(nodes.distinct(), "nodes")
+    steps, nodes = scratch.save_large(steps.distinct(), "steps"), scratch.save_large(nodes.distinct(), "nodes")
     entered = nodes.where("node = 0").select(F.col("func").alias("callee")).distinct()
-    gates = scratch.save(gates.join(entered, "callee", "left_semi"), "gates")
-    writes, observed = scratch.save(writes.distinct(), "writes"), scratch.save(observed.distinct(), "observed")
+    gates = scratch.save_large(gates.join(entered, "callee", "left_semi"), "gates")
+    writes, observed = scratch.save_large(writes.distinct(), "writes"), scratch.save_large(observed.distinct(), "observed")
     flat = publication_points(steps, nodes, writes, observed, asked, scratch)
     ends = nodes.select("func", "node").join(steps.select("func", F.col("src").alias("node")), ["func", "node"], "left_anti")
     # one row per level of each chain; gate is null on its last
@@ -141,7 +141,7 @@ def descended_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, obse
     level = flat.where("outcome <> 'point'").select(F.col("func").alias("root"), "gvar", F.lit(0).alias("level"), F.col("func").alias("leaf"))
     chains, backs, ret = [], [], None
     for k in range(levels + 1):
-        level = scratch.save(level.join(link, ["leaf", "gvar"], "left").select("root", "gvar", "level", "leaf", "gate", "callee"), "level")
+        level = scratch.save_large(level.join(link, ["leaf", "gvar"], "left").select("root", "gvar", "level", "leaf", "gate", "callee"), "level")
         chains.append(level)
         on = level.where("gate is not null")
         if k == levels or on.isEmpty():
@@ -150,17 +150,17 @@ def descended_points(steps: DataFrame, nodes: DataFrame, writes: DataFrame, obse
         if ret is not None:  # a gate at an end returns where its caller does
             last = on.join(ends.select(F.col("func").alias("leaf"), F.col("node").alias("gate")), ["leaf", "gate"], "left_semi").select("root", "gvar")
             after = after.union(ret.join(last, ["root", "gvar"], "left_semi"))
-        ret = scratch.save(after, "return")
+        ret = scratch.save_large(after, "return")
         backs.append(ret.withColumn("level", F.lit(k)))
         level = on.select("root", "gvar", F.lit(k + 1).alias("level"), F.col("callee").alias("leaf"))
     shallow = flat.select("func", "gvar", "outcome", F.lit(0).alias("depth"), "chosen")
-    chain = scratch.save(reduce(DataFrame.union, chains), "chains")
+    chain = scratch.save_large(reduce(DataFrame.union, chains), "chains")
     if backs:
-        back = reduce(DataFrame.union, backs)
+        back = reduce(DataFrame.union, backs).hint("merge")
         graphs = chain.where("level > 0").select("root", "gvar", F.col("level").alias("depth"))
         body = graphs.join(chain, ["root", "gvar"]).where("level <= depth").withColumn("gate", F.when(F.col("level") < F.col("depth"), F.col("gate")))
         spine = F.concat_ws(":", F.col("root").cast("string"), F.col("gvar").cast("string"), F.col("depth").cast("string"))
-        body = scratch.save(body.select(spine.alias("func"), "root", "gvar", "depth", "level", "leaf", "gate"), "spines")
+        body = scratch.save_large(body.select(spine.alias("func"), "root", "gvar", "depth", "level", "leaf", "gate"), "spines")
         base = F.col("level").cast("long") * LEVEL
         is_gate = F.col("node").eqNullSafe(F.col("gate"))
         of = lambda t, *keys: body.join(t.withColumnRenamed("func", "leaf"), ["leaf", *keys])

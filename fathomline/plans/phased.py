@@ -42,22 +42,22 @@ SELECT q.func, q.gvar, CASE WHEN pt.chosen IS NOT NULL THEN 'point' WHEN q.func
 
 
 def _flow(v, scratch):
-    stmts = scratch.save(v("pv_flow").withColumn("col", F.lit(1)), "stmts")
+    stmts = scratch.save_large(v("pv_flow").withColumn("col", F.lit(1)), "stmts")
     return stmts, *phases.statement_cfg(stmts, v("pv_branch"), scratch)
 
 
 def _effects(v, scratch):
     """The tables of points: steps, nodes, writes, observed, asked; calls, changes, direct writes besides."""
     stmts, bounds, steps, places = _flow(v, scratch)
-    own = scratch.save(v("pv_touch").join(places, ["func", "idx"]).select("func", F.col("boundary").alias("node"), "gvar", "access").distinct(), "own")
+    own = scratch.save_large(v("pv_touch").join(places, ["func", "idx"]).select("func", F.col("boundary").alias("node"), "gvar", "access").distinct(), "own")
     sites = stmts.where("kind in ('call_direct', 'call_indirect')").select("func", "idx", "callee").join(places, ["func", "idx"])
-    sites = scratch.save(sites.select("func", F.col("boundary").alias("node"), "callee"), "calls")
+    sites = scratch.save_large(sites.select("func", F.col("boundary").alias("node"), "callee"), "calls")
     up = sites.where("callee is not null").select(F.col("callee").alias("src"), F.col("func").alias("dst")).distinct()
     seeds = own.where("access <> 'pin'").select((F.col("gvar") * 2 + F.when(F.col("access") == "mod", 1).otherwise(0)).alias("origin"), F.col("func").alias("node")).distinct()
     carried = graph.reachable(up, seeds, scratch).select(F.col("node").alias("callee"), F.floor(F.col("origin") / 2).cast("long").alias("gvar"), F.when(F.col("origin") % 2 == 1, "mod").otherwise("ref").alias("access"))
-    carried = scratch.save(carried, "carried")
+    carried = scratch.save_large(carried, "carried")
     through = sites.join(carried, "callee").select("func", "node", "gvar", "access")
-    effects = scratch.save(own.union(through).distinct(), "effects")
+    effects = scratch.save_large(own.union(through).distinct(), "effects")
     writes = effects.where("access = 'mod'").select("func", "node", "gvar")
     observed = effects.where("access <> 'mod'").select("func", "node", "gvar", (F.col("access") == "ref").alias("routable"))
     nodes = bounds.select("func", F.col("boundary").alias("node"), "insertable")
